@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sentencepiece
 from .tables import read, remainder
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn pieces of every text, and whether decoding gives the text back."""
+    coded = sentencepiece.encode(read(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    decoded = sentencepiece.decode(coded, keep=["doc_id", "text", "pieces"], name="decoded")
+    return decoded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = remainder(F.col("doc_id"), 3) != 1
     scored = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
@@ -18,6 +29,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_mixing": op2_mixing,
     "op10_quality": op10_quality,
 }
 
