@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -40,10 +41,10 @@ ALPHA = 1.0
 SEED = 17
 BLANK = "▁"
 
-#: Characters of text that one pass works on, unless one text alone is longer.
+#: Bytes of text that one pass works on, unless one text alone is longer.
 CHUNK = 1 << 20
 #: Lattice edges that a task keeps for words met before.
-KEPT_EDGES = 5_000_000
+KEPT_EDGES = 3_000_000
 #: No piece is longer.
 LONGEST = 16
 
@@ -223,34 +224,66 @@ class Sampler:
         return ids, wide
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows with about CHUNK bytes of text each."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= CHUNK:
             yield lo, i + 1
             lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(column):
+        yield lo, len(column)
 
 
-def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, alpha: float = ALPHA, seed: int = SEED, model: str = MODEL, name: str = "pieces") -> DataFrame:
-    """The columns in keep (the key alone, if not given) and the ids of one drawn segmentation of each text."""
+class Speller:
+    """The text of piece ids."""
+
+    def __init__(self, pieces: list[str], of_byte: list[int]) -> None:
+        byte = {i: bytes([b]) for b, i in enumerate(of_byte)}
+        spelling = [byte.get(i) or p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.data = np.frombuffer(b"".join(spelling), np.uint8)
+        self.width = np.array([len(x) for x in spelling])
+        self.begin = np.cumsum(self.width) - self.width
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The UTF-8 texts of rows of ids, counts[i] ids each, without the blank added in front."""
+        texts, ends = [], np.cumsum(counts)
+        for a, b in zip(ends - counts, ends, strict=True):
+            x = ids[a:b]
+            w = self.width[x]
+            stop = np.cumsum(w)
+            at = np.arange(stop[-1] if len(x) else 0) + np.repeat(self.begin[x] - (stop - w), w)
+            texts.append(self.data[at].tobytes()[1:])
+        return texts
+
+
+def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, alpha: float = ALPHA, seed: int = SEED, model: str = MODEL, name: str = "pieces", lossless: str | None = None) -> DataFrame:
+    """The columns in keep (the key alone, if not given) and the ids of one drawn segmentation of each text.
+
+    lossless: if given, the name of one more column: whether decoding these ids gives the text back.
+    """
     keep = keep or [key]
     pieces, of_byte = vocabulary(model)
     schema = df.select(*keep).schema.add(name, ArrayType(IntegerType()))
+    if lossless:
+        schema = schema.add(lossless, "boolean")
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(pieces, of_byte, alpha)
+        sampler, speller = Sampler(pieces, of_byte, alpha), Speller(pieces, of_byte)
         for batch in batches:
-            texts, seeds = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            missing = np.asarray(texts.is_null())
-            texts, seeds = texts.fill_null("").to_pylist(), seeds.to_numpy().view(np.uint64)
-            for lo, hi in _chunks(texts):
-                ids, counts = sampler.sample(texts[lo:hi], seeds[lo:hi])
+            column, seeds = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
+            for lo, hi in _chunks(column):
+                part = column.slice(lo, hi - lo)
+                missing = np.asarray(part.is_null())
+                texts = part.fill_null("").to_pylist()
+                ids, counts = sampler.sample(texts, seeds[lo:hi])
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=pa.array(missing[lo:hi]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-2]), found], [*keep, name])
+                out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=pa.array(missing))]
+                if lossless:
+                    out.append(pa.array([a.encode() == b for a, b in zip(texts, speller.texts(ids, counts), strict=True)]))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-2]), *out], schema.names)
 
     seeds = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))
     return df.select(*keep, F.col(text).alias("__text"), seeds.alias("__seed")).mapInArrow(drawn, schema)
@@ -263,22 +296,12 @@ def decode(df: DataFrame, *, pieces_col: str = "pieces", keep: list[str] | None
     schema = df.select(*keep).schema.add(name, "string")
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte = {i: bytes([b]) for b, i in enumerate(of_byte)}
-        spelling = [byte.get(i) or p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
-        data = np.frombuffer(b"".join(spelling), np.uint8)
-        width = np.array([len(x) for x in spelling])
-        begin = np.cumsum(width) - width
+        speller = Speller(pieces, of_byte)
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            missing, bounds = np.asarray(lists.is_null()), lists.offsets.to_numpy()
-            texts: list[bytes | None] = []
-            ids = lists.values.to_numpy(zero_copy_only=False)
-            for i in range(len(lists)):
-                x = ids[bounds[i] : bounds[i + 1]]
-                w = width[x]
-                ends = np.cumsum(w)
-                at = np.arange(ends[-1] if len(x) else 0) + np.repeat(begin[x] - (ends - w), w)
-                texts.append(None if missing[i] else data[at].tobytes()[1:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], [*keep, name])
+            missing = np.asarray(lists.is_null())
+            texts = speller.texts(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            texts = [None if m else t for m, t in zip(missing, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], schema.names)
 
     return df.select(*keep, F.col(pieces_col).alias("__pieces")).mapInArrow(spelt, schema)
