@@ -98,20 +98,21 @@ def features(w: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.nda
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader for logistic loss."""
 
-    def __init__(self, bits: int = BITS) -> None:
-        self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
+    def __init__(self, size: int, alpha: float = ALPHA, l1: float = L1, l2: float = L2) -> None:
+        self.z, self.n = np.zeros(size), np.zeros(size)
+        self.alpha, self.l1, self.l2 = alpha, l1, l2
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z = self.z[at]
-        return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
+        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((BETA + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def learn(self, at: np.ndarray, x: np.ndarray, label: int) -> None:
+    def learn(self, at: np.ndarray, x: np.ndarray, label: int, weight: float = 1.0) -> None:
         at, which = np.unique(at, return_inverse=True)  # two features may share a place
         x = np.bincount(which, x)
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-        g = (p - label) * x
-        step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
+        g = weight * (p - label) * x
+        step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - step * w
         self.n[at] += g * g
 
@@ -133,7 +134,7 @@ def train(labelled: DataFrame, key: str, text: str, label: str, *, bits: int = B
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["k", "y"], key=lambda c: pd.util.hash_array(c.to_numpy()) if c.name == "k" else c, kind="stable")
-        model, y = Ftrl(bits), group["y"].to_numpy()
+        model, y = Ftrl(1 << bits), group["y"].to_numpy()
         seen = list(vectors(pa.array(group["t"].tolist(), pa.string()), bits))
         for _ in range(EPOCHS):
             for (at, x), label_ in zip(seen, y, strict=True):
@@ -142,7 +143,7 @@ def train(labelled: DataFrame, key: str, text: str, label: str, *, bits: int = B
         at = np.flatnonzero(w)
         return pd.DataFrame({"f": at, "w": w[at] * len(group), "n": np.full(len(at), len(group))})
 
-    learnt = rows.groupBy("shard").applyInPandas(learn, "f long, w double, n long")
+    learnt = rows.repartition(shards, "shard").groupBy("shard").applyInPandas(learn, "f long, w double, n long")
     out = np.zeros(1 << bits)
     # each shard counts by its rows, also where it has no weight; at most 2**bits rows come back
     sizes = rows.groupBy("shard").count().agg(F.sum("count")).first()[0]

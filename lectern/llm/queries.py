@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sentencepiece
+from . import mixing, quality, secrets, sentencepiece, toxicity
 from .tables import read, remainder
 
 
@@ -21,6 +21,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    spans = F.col("secrets")
+    counts = [secrets.count_of(spans, k).alias(f"n_{k}") for k in secrets.KINDS]
+    base = secrets.digest(F.filter(spans, lambda s: s["kind"] != "guess"))
+    return found.select("doc_id", *counts[:3], F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans).alias("spans"), counts[3])
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = remainder(F.col("doc_id"), 3) != 1
+    scored = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
+    return scored.select("doc_id", (~learn).alias("held_out"), "p_quality", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = remainder(F.col("doc_id"), 3) != 1
     scored = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
@@ -30,6 +44,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
+    "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
 
