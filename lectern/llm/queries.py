@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, sentencepiece, toxicity
+from . import mixing, quality, secrets, sentencepiece, substring, toxicity
 from .tables import read, remainder
 
 
@@ -21,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeated(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"), keep=["doc_id"])
     spans = F.col("secrets")
@@ -44,10 +48,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
+    "op3_substring": op3_substring,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring": r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i:i + 12] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts)
+), least AS (
+  SELECT win, min(doc_id) AS first_doc FROM windows GROUP BY win
+), covered AS (
+  SELECT DISTINCT doc_id, i + j AS pos
+  FROM (SELECT doc_id, i FROM windows JOIN least USING (win) WHERE first_doc < doc_id), range(0, 13) AS r(j)
+), placed AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM texts
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM placed ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+""",
+}
