@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, sentencepiece, substring, toxicity
+from . import minhash, mixing, quality, secrets, sentencepiece, substring, toxicity
 from .tables import read, remainder
 
 
@@ -25,6 +25,10 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeated(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"), keep=["doc_id"])
     spans = F.col("secrets")
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
+    "op4_minhash": op4_minhash,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
@@ -73,5 +78,27 @@ WITH texts AS (
 )
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k USING (doc_id)
+""",
+    "op4_minhash": r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM texts WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)
+), near AS (
+  SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT u AS doc_id, u AS r FROM near UNION SELECT n.v, r FROM reach JOIN near n ON n.u = reach.doc_id
+), least AS (
+  SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, t.doc_id) AS component_id, t.doc_id = coalesce(c, t.doc_id) AS kept
+FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """,
 }
