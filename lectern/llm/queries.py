@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, secrets, sentencepiece, substring, toxicity
+from . import katz, minhash, mixing, quality, secrets, sentencepiece, substring, toxicity
 from .tables import read, remainder
 
 
@@ -43,6 +43,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learn).alias("held_out"), "p_quality", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = remainder(F.col("doc_id"), 7) != 2
+    scored = katz.katz_scores(read(spark, sf_dir, "documents"), train)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = remainder(F.col("doc_id"), 3) != 1
     scored = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn)
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op9_katz": op9_katz,
     "op10_quality": op10_quality,
 }
 
