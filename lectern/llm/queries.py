@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, minhash, mixing, quality, secrets, sentencepiece, substring, topk, toxicity
+from . import ann, katz, minhash, mixing, quality, secrets, sentencepiece, substring, topk, toxicity
 from .tables import read, remainder
 
 
@@ -29,6 +29,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
     "op4_minhash": op4_minhash,
+    "op5_ann": op5_ann,
     "op6_topk": op6_topk,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
