@@ -10,11 +10,11 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import quality
-from lectern.llm.tables import read, remainder
+from lectern.llm import minhash, mixing, quality, secrets, sentencepiece
+from lectern.llm.tables import held, read, remainder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,8 +26,45 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where("score >= 0.5").select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Five-word shingles, similarity 0.8 or more. Of rows that share a doc_id one
+    stays, the least by text; rows without doc_id stay.
+    """
+    found = minhash.near_duplicates(docs, shingle=5, percent=80)
+    per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("stays"), F.count("*").alias("rows"))
+    per_id = held(per_id.where("NOT stays OR rows > 1"))
+    rest = docs.join(per_id.where("NOT stays").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    several = per_id.where("stays").select("doc_id")
+    if several.limit(1).count():
+        least = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
+        one = rest.join(several, "doc_id", "left_semi").withColumn("__row", F.row_number().over(least)).where("__row = 1").select(*COLUMNS)
+        rest = rest.join(several, "doc_id", "left_anti").select(*COLUMNS).union(one)
+    return rest
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the values of secrets in them are masked, and n_chars follows the text."""
+    return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: not at all, once or up to three times."""
+    return mixing.apply_mix(docs.select(*COLUMNS), mixing.mix(docs))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the pieces drawn for it."""
+    return sentencepiece.encode(docs, keep=COLUMNS)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_filter),
+    ("near_dedup", near_dedup),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
 ]
 
 #: Stages sample and learn, which SQL can't express; tests hold them against plain versions.
