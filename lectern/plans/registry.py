@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "search_library"
+from . import relational_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "library_overview"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational_queries.Q}
+ORACLE_SQL: dict[str, str] = {**relational_queries.SQL}
