@@ -11,11 +11,12 @@ under each (coordinate, value) pair:
    class with the most live coordinates (in a group of near copies that is the copy
    with the fewest changes), and each pair is counted over all lists it is in.  Pairs that match in enough coordinates are confirmed on the full
    sets, and confirmed links make components.
-3. The rest.  In lists that still hold more than one component, a class whose
-   shingles are too often its own can't be linked to any other and ends here.  What is left
-   is merged pair by pair, but only across components, in the prefix of ``coords -
-   matches + 1`` coordinates in which any such pair must meet, and skipping pairs whose
-   live coordinates, sizes or shared shingles rule them out.  Survivors are confirmed in the same way.
+3. The rest.  A leader's family is all classes that have met it, so classes that could be
+   linked are in a family together.  In families that hold more than one component, a class
+   whose shingles are too often its own can't be linked to any other and ends here.  Of
+   what is left, the classes outside the family's main component are compared with all
+   classes of other components on the full sets, in cells of at most ``CELL`` by ``CELL``
+   that split any large family; each gives one link for each component it is linked to.
 
 Nothing is capped: what the leaders leave open, step 3 settles.  A pair at exactly the
 similarity limit misses ``matches`` with a probability of about 1e-5.
@@ -32,6 +33,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ from .tables import held
 from .words import Words, mix, rolling, seeded, windows, words
 
 COORDS = 64
+#: Classes on either side of a comparison of components.
+CELL = 512
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = np.array([seeded(41, i) | 1 for i in range(COORDS)], np.uint64)
 
@@ -161,6 +165,44 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int,
     return held(with_both(near, sets, "set").mapInArrow(linked, "a long, b long"))
 
 
+def _cross_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components of one family (rows a: its leader, id, component), at least one for each class and component that have any."""
+    sizes = families.groupBy("a", "component").agg(F.count("*").alias("many"))
+    main = sizes.groupBy("a").agg(F.max(F.struct("many", -F.col("component"), "component"))["component"].alias("main"), F.sum("many").alias("all"), F.max("many").alias("most"))
+    rows = families.join(main.hint("merge"), "a").withColumn("ups", F.ceil((F.col("all") - F.col("most")) / CELL)).withColumn("downs", F.ceil(F.col("all") / CELL))
+    up = F.pmod(F.xxhash64("id"), F.col("ups"))
+    down = F.pmod(F.xxhash64("id", F.lit(1)), F.col("downs"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = rows.where("component <> main").withColumn("up", up).withColumn("down", every("downs")).withColumn("asks", F.lit(True))
+    told = rows.withColumn("down", down).withColumn("up", every("ups")).withColumn("asks", F.lit(False))
+    names = ["a", "up", "down", "asks", "id", "component"]
+    cells = asks.select(*names).union(told.select(*names)).join(sets, "id")
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        left, right = cell[cell["asks"]], cell[~cell["asks"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        theirs = [np.frombuffer(x, np.uint64) for x in right["set"]]
+        n = np.array([len(x) for x in theirs])
+        flat, owner = np.concatenate(theirs), np.repeat(np.arange(len(n)), n)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
+        out = []
+        for i, c, x in zip(left["id"], left["component"], left["set"], strict=True):
+            x = np.frombuffer(x, np.uint64)
+            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            size = hi - lo
+            at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+            shared = np.bincount(owner[at], minlength=len(n))
+            hit = np.flatnonzero((100 * shared >= percent * (len(x) + n - shared)) & (comps != c))
+            _, first = np.unique(comps[hit], return_index=True)
+            out += [(i, j) for j in ids[hit[first]]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return cells.groupBy("a", "up", "down").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id and kept for every row; links need 100 * intersection >= percent * union."""
     matches = matches_for(percent)
@@ -175,12 +217,12 @@ def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     mine = held(lists.join(shared.hint("merge"), "cv"))
     bit = F.expr("shiftleft(1L, CAST(shiftright(cv, 32) AS INT))")
     mask = mine.groupBy("id").agg(F.bit_or(bit).alias("mask")).withColumn("alive", F.bit_count("mask")).where(F.col("alive") >= matches)
-    live = held(mask.join(reps, "id").select("id", "sig", "n", "mask", "alive"))
+    live = held(mask.join(reps, "id").select("id", "sig", "n", "alive"))
 
-    posts = held(mine.join(live.select("id", "n", "mask", "alive"), "id"))
+    posts = held(mine.join(live.select("id", "alive"), "id"))
     leader = posts.groupBy("cv").agg(F.min(F.struct(-F.col("alive"), F.col("id").alias("lead"))).alias("best"), F.count("*").alias("many")).where("many > 1").select("cv", F.col("best.lead").alias("a"))
     met = posts.join(leader.hint("merge"), "cv").where("id <> a").select("a", F.col("id").alias("b"))
-    pairs = met.groupBy("a", "b").count().select("a", "b")
+    pairs = held(met.groupBy("a", "b").count().select("a", "b"))
 
     texts = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(live.select("id"), "id", "left_semi")
     # a key with several texts has several sets: all of them count for it
@@ -188,22 +230,16 @@ def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     links = _confirmed(pairs, live, sets, matches, percent)
     found = components(links)
 
-    placed = posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    prefix = F.shiftright("cv", 32) <= COORDS - matches
-    mixed = placed.where(prefix).groupBy("cv").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("cv")
-    rest = held(placed.join(mixed.hint("merge"), "cv"))
+    families = pairs.select("a", F.col("b").alias("id")).union(pairs.select("a", F.col("a").alias("id")).distinct())
+    families = families.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = lambda f: f.join(f.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a").hint("merge"), "a")
+    rest = held(several(families))
     shingles = _exploded(sets.join(rest.select("id").distinct(), "id", "left_semi"))
     common = shingles.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     able = shingles.join(common.hint("merge"), "h").groupBy("id").agg(F.count_distinct("h").alias("s"))
-    rest = held(rest.join(able, "id").where(100 * F.col("s") >= percent * F.col("n")))
-    left = rest.select("cv", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("mask").alias("m_a"), F.col("component").alias("c_a"), F.col("s").alias("s_a"))
-    right = rest.select("cv", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("mask").alias("m_b"), F.col("component").alias("c_b"), F.col("s").alias("s_b"))
-    possible = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    possible &= F.bit_count(F.col("m_a").bitwiseAND(F.col("m_b"))) >= matches
-    possible &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    possible &= (100 + percent) * F.least("s_a", "s_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    more = left.hint("merge").join(right, (left["cv"] == right["cv"]) & possible).groupBy("a", "b").count().select("a", "b")
-    links = links.union(_confirmed(more, live, sets, matches, percent))
+    able = able.join(live.select("id", "n"), "id").where(100 * F.col("s") >= percent * F.col("n")).select("id")
+    rest = held(several(rest.join(able, "id")))
+    links = held(links.union(_cross_links(rest, sets, percent)))
     found = components(links)
 
     owner = classes.join(found, classes["rep"] == found["id"], "left").select("n", "one", "two", F.coalesce("component", "rep").alias("c"))
