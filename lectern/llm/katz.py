@@ -12,7 +12,7 @@ words not met after h, so each history's probabilities add up to 1.  A history t
 backs off to p(w) at once.  The history of a text's first word is a start mark.
 
 How it runs: pairs are counted where they are scored.  Tokens go to tables partitioned
-by word (by pair for the ``frequent`` most common words, whose counts are a bounded broadcast table),
+by word (by pair for the most common words, at most ``frequent``, whose counts are a bounded broadcast table),
 packed in compressed column blocks; each partition counts its words and pairs over training documents and
 scores its tokens.  What a history has left over needs sums over its partitions: these
 and the held-out tokens that back off meet in a second shuffle, by history; the
@@ -116,7 +116,16 @@ def count_unigrams(df: DataFrame, frequent: int) -> Unigrams:
     counts = held(df.where("train").select("id", "train", "text").mapInArrow(found, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     ofs = [F.count_if(F.col("c") == r) for r in range(1, DISCOUNTED + 2)]
     total, types, ends, *n = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("w") == END, F.col("c"))), *ofs).first()
-    top = counts.where(F.col("w") != END).orderBy(F.desc("c"), "w").limit(frequent).collect()
+    # all words from some count on, at most `frequent`: found by a histogram of counts with few bins
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    bins = counts.where(F.col("w") != END).groupBy(step.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
+    room, least = frequent, None
+    for b in bins:
+        room -= b["n"]
+        if room < 0:
+            break
+        least = b["bin"]
+    top = counts.where((F.col("w") != END) & (step >= least)).collect() if least is not None else []
     return Unigrams(total or 0, types, np.array([0, *n]), ends or 0, [(r["w"], r["c"]) for r in top])
 
 
@@ -288,7 +297,7 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
     """
     rows = documents.select(F.col(key).cast("long").alias("id"), train.alias("train"), F.col(text).alias("text")).where("id IS NOT NULL")
     model = count_unigrams(rows, frequent)
-    buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # half as much to hold at once
     tokens = _token_blocks(rows, model, buckets)
     sums = tokens.groupBy("bucket").applyInPandas(_sums(model, buckets), "bucket int, kind string, block binary")
     parts = sums.groupBy("bucket").applyInPandas(_finish, "id long, base double, score double, tokens long, known long")
