@@ -5,8 +5,8 @@ of its words (letter case, digits, marks) alone, in pairs and in threes, and how
 word pairs, long ones and lines it repeats, all hashed into one weight table of 2**bits
 numbers.  Counts are damped by log1p and each text's vector has length one.
 
-Training takes at most ``max_rows`` labelled texts, those with the smallest
-hash of their key, in ``shards`` tasks; each task runs follow-the-regularised-
+Training takes all labelled texts, or about ``max_rows`` of them by a hash of
+their key if there are more, in ``shards`` tasks; each task runs follow-the-regularised-
 leader over its own rows and the shards' weights are averaged feature by
 feature.  Scoring is one pass over the texts, a sparse dot product each.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bounded_sample
 from .words import Words, mix, windows, words
 
 BITS = 18
@@ -126,10 +127,9 @@ def vectors(texts: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray
             yield feature[a:b], value[a:b]
 
 
-def train(labelled: DataFrame, key: str, text: str, label: str, *, bits: int = BITS, max_rows: int = MAX_ROWS, shards: int = SHARDS) -> np.ndarray:
-    """The weight table learnt from a bounded sample of labelled rows; the sample's size is max_rows."""
+def train(labelled: DataFrame, key: str, text: str, label: str, *, bits: int = BITS, shards: int = SHARDS) -> np.ndarray:
+    """The weight table learnt from labelled rows, a bounded sample."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    rows = rows.orderBy(F.xxhash64("k", F.lit(3)), "k", "y").limit(max_rows)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("k", F.lit(5)), F.lit(shards)))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +180,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: Column |
     if learn_from is not None:
         taught = taught.where(learn_from)
     # choose the bounded sample by key first, so that only its texts move
-    bound = options.get("max_rows", MAX_ROWS)
-    sample = taught.where(F.col(label).isin(0, 1)).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(3)), key, label).limit(bound)
+    bound = options.pop("max_rows", MAX_ROWS)
+    sample = bounded_sample(taught.where(F.col(label).isin(0, 1)), key, bound, 3)
     weights = train(documents.select(key, text).join(F.broadcast(sample), key), key, text, label, **options)
     return score(documents, weights, text, keep=keep or [key])

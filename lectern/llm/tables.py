@@ -26,6 +26,14 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
+    """All rows if they are at most `most`, else about that many: those whose key's hash falls in the share that gives them."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 40)) < int((1 << 40) * most / n))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with consecutive numbers from 0 in that order, without one task that sorts all rows.
 

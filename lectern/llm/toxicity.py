@@ -7,8 +7,8 @@ out-of-fold probabilities of the earlier categories: those that models made whic
 had not seen the row.  So training and scoring feed a model the same kind of
 numbers.
 
-Training takes at most ``max_rows`` labelled texts, those with the smallest
-hash of their key.  The folds' models are trained in separate tasks.  Scoring is
+Training takes all labelled texts, or about ``max_rows`` of them by a hash of
+their key if there are more.  The folds' models are trained in separate tasks.  Scoring is
 one pass over the whole texts.
 
 Defined results: a null or empty text has no word features and gets the chain's
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import Ftrl
+from .tables import bounded_sample
 from .words import _TABLE, Words, mix, rolling, words
 
 BITS = 18
@@ -117,12 +118,12 @@ def learner(c: int, bits: int, folds: int) -> Callable[[pd.DataFrame], pd.DataFr
     return learn
 
 
-def train(labelled: DataFrame, key: str, text: str, categories: list[str], *, bits: int = BITS, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> list[np.ndarray]:
-    """The chain's weights, one array for each category, from a bounded sample of labelled rows."""
+def train(labelled: DataFrame, key: str, text: str, categories: list[str], *, bits: int = BITS, folds: int = FOLDS) -> list[np.ndarray]:
+    """The chain's weights, one array for each category, from labelled rows, a bounded sample."""
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
     for i in range(len(categories)):
         rows = rows.where(F.col(f"y{i}").isin(0, 1))
-    rows = rows.orderBy(F.xxhash64("k", F.lit(7)), *rows.columns).limit(max_rows).withColumn("fold", F.pmod(F.xxhash64("k", F.lit(9)), F.lit(folds)))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("k", F.lit(9)), F.lit(folds)))
     chain: list[np.ndarray] = []
     for c in range(len(categories)):
         done = list(chain)
@@ -130,7 +131,7 @@ def train(labelled: DataFrame, key: str, text: str, categories: list[str], *, bi
             rows = rows.withColumn("id", F.sha2(F.concat_ws("\x00", "k", "t"), 256)).withColumn("before", F.array().cast("array<double>"))
         last = c == len(categories) - 1
         models = F.array(*[F.lit(m) for m in ([] if last else range(folds))], F.lit(folds))
-        out = rows.withColumn("model", F.explode(models)).repartition(folds + 1, "model").groupBy("model").applyInPandas(learner(c, bits, folds), "id string, place long, value double").collect()  # at most max_rows and 2**bits rows
+        out = rows.withColumn("model", F.explode(models)).repartition(folds + 1, "model").groupBy("model").applyInPandas(learner(c, bits, folds), "id string, place long, value double").collect()  # a bounded sample's rows, and at most 2**bits
         w = np.zeros((1 << bits) + 1 + c)
         for r in out:
             if r["place"] >= 0:
@@ -167,6 +168,6 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, learn_from: Column
         taught = taught.where(learn_from)
     for c in categories:
         taught = taught.where(F.col(c).isin(0, 1))
-    sample = taught.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(7)), key, *categories).limit(options.get("max_rows", MAX_ROWS))
+    sample = bounded_sample(taught, key, options.pop("max_rows", MAX_ROWS), 7)
     chain = train(documents.select(key, text).join(F.broadcast(sample), key), key, text, list(categories), **options)
     return score(documents, chain, text, list(names), keep=[key])
