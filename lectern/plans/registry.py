@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational_queries
+from . import relational_queries, text_queries
 
-FLAGSHIP = "library_overview"
+FLAGSHIP = "search_library"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational_queries.Q}
-ORACLE_SQL: dict[str, str] = {**relational_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational_queries.Q, **text_queries.Q}
+ORACLE_SQL: dict[str, str] = {**relational_queries.SQL, **text_queries.SQL}
