@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash, mixing, quality, secrets, sentencepiece
-from lectern.llm.tables import held, read, remainder
+from lectern.llm.tables import held, read, remainder, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score under 0.5) go."""
+    small_batches(spark)
     learn = remainder(F.col("doc_id"), 3) != 1
     scored = quality.quality_scores(docs, read(spark, sf_dir, "labels"), learn, keep=COLUMNS)
     return scored.where("score >= 0.5").select(*COLUMNS)
@@ -32,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Five-word shingles, similarity 0.8 or more. Of rows that share a doc_id one
     stays, the least by text; rows without doc_id stay.
     """
+    small_batches(spark)
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("stays"), F.count("*").alias("rows"))
     per_id = held(per_id.where("NOT stays OR rows > 1"))
@@ -46,6 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; the values of secrets in them are masked, and n_chars follows the text."""
+    small_batches(spark)
     return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -56,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the pieces drawn for it."""
+    small_batches(spark)
     return sentencepiece.encode(docs, keep=COLUMNS)
 
 

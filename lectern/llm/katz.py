@@ -44,7 +44,7 @@ DISCOUNTED = 5
 START, END = 0, 1  # symbols; the frequent words follow, and then all others by hash
 _RARE = np.uint64(1 << 63)
 #: Tokens packed at a time.
-STEP = 1_500_000
+STEP = 1_000_000
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -162,9 +162,11 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(which, np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, ids, train, size = [], [], [], 0
         for batch in batches:
-            ids, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            parts, size = [], 0
+            base = sum(map(len, ids))
+            ids.append(batch.column(0).to_numpy(zero_copy_only=False))
+            train.append(batch.column(1).to_numpy(zero_copy_only=False))
             for x in words(batch.column(2), lower=True):
                 s = model.symbols(x.hashes())
                 # each text: its words and an end; histories are these moved by one
@@ -177,13 +179,13 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
                 h = np.empty_like(w)
                 h[1:] = w[:-1]
                 h[ends - n + 1] = START
-                parts.append((w, h, np.repeat(np.arange(x.lo, x.hi), n)))
+                parts.append((w, h, np.repeat(np.arange(x.lo, x.hi) + base, n)))
                 size += len(w)
-                if size >= STEP:
-                    yield from flush(parts, ids, train)
-                    parts, size = [], 0
-            if parts:
-                yield from flush(parts, ids, train)
+            if size >= STEP:
+                yield from flush(parts, np.concatenate(ids), np.concatenate(train))
+                parts, ids, train, size = [], [], [], 0
+        if parts:
+            yield from flush(parts, np.concatenate(ids), np.concatenate(train))
 
     return df.select("id", "train", "text").mapInArrow(found, "bucket int, block binary")
 

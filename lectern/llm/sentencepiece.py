@@ -42,9 +42,9 @@ SEED = 17
 BLANK = "▁"
 
 #: Bytes of text that one pass works on, unless one text alone is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Lattice edges that a task keeps for words met before.
-KEPT_EDGES = 3_000_000
+KEPT_EDGES = 2_000_000
 #: No piece is longer.
 LONGEST = 16
 

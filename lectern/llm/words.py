@@ -19,7 +19,7 @@ import pyarrow as pa
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one numpy pass works on, unless one text alone is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
