@@ -44,7 +44,7 @@ DISCOUNTED = 5
 START, END = 0, 1  # symbols; the frequent words follow, and then all others by hash
 _RARE = np.uint64(1 << 63)
 #: Tokens packed at a time.
-STEP = 1_000_000
+STEP = 1_500_000
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -299,7 +299,7 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
     """
     rows = documents.select(F.col(key).cast("long").alias("id"), train.alias("train"), F.col(text).alias("text")).where("id IS NOT NULL")
     model = count_unigrams(rows, frequent)
-    buckets = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # half as much to hold at once
+    buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = _token_blocks(rows, model, buckets)
     sums = tokens.groupBy("bucket").applyInPandas(_sums(model, buckets), "bucket int, kind string, block binary")
     parts = sums.groupBy("bucket").applyInPandas(_finish, "id long, base double, score double, tokens long, known long")
