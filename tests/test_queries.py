@@ -1,6 +1,7 @@
 """Every query of the library runs, and gives the rows of its SQL, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lectern.plans import registry
@@ -19,7 +20,7 @@ def db():
 
 def rows(frame):
     names = sorted(frame.columns)
-    return sorted(tuple("" if x is None or x != x else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in frame[names].astype(object).itertuples(index=False))
+    return sorted(tuple("" if pd.isna(x) else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in frame[names].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
