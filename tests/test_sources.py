@@ -59,3 +59,33 @@ def test_meter(spark, tmp_path):
     run = meter.throughput(stream, "k", "at", "done").writeStream.format("memory").queryName("rates").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck2")).start()
     run.awaitTermination(120)
     assert spark.table("rates").orderBy("at").collect()[-1]["rate"] == 2.0
+
+
+def test_books(spark, tmp_path):
+    import zipfile
+
+    from lectern.sources import epub
+
+    with zipfile.ZipFile(tmp_path / "a.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="c"><rootfiles><rootfile full-path="OPS/b.opf"/></rootfiles></container>')
+        z.writestr("OPS/b.opf", '<package xmlns="o"><manifest><item id="x" href="one%201.xhtml"/><item id="y" href="two.xhtml"/></manifest><spine><itemref idref="y"/><itemref idref="x"/></spine></package>')
+        z.writestr("OPS/one 1.xhtml", "<html><body><h1>One</h1><p>first</p></body></html>")
+        z.writestr("OPS/two.xhtml", "<html><body><p>second</p></body></html>")
+    (tmp_path / "b.epub").write_bytes(b"not a zip")
+    rows = epub.read_books(spark, str(tmp_path / "*.epub")).collect()
+    assert [(r["file"], r["text"]) for r in sorted((r for r in rows if r["error"] is None), key=lambda r: r["place"])] == [("OPS/two.xhtml", "second"), ("OPS/one 1.xhtml", "One\nfirst")]
+    assert sum(r["error"] is not None for r in rows) == 1
+
+
+def test_contents(spark):
+    from lectern.operators import contents
+
+    heads = [{"text": t, "page": p} for t, p in (("The Long Road", 12), ("Notes", 13), ("A Second Start", 22), ("The Long Road", 90), ("An Ending Comes", 31))]
+    entries = [{"title": t, "page": p} for t, p in (("The long road", 1), ("A second start", 11), ("An ending comes", 20), ("Missing part here", 25))]
+    chain = contents.page_chain(contents.anchors(entries, heads))
+    assert [(q, p) for _, q, p in chain] == [(1, 12), (11, 22), (20, 31)] and contents.expected_page(chain, 6) == 17
+    assert contents.locate_entries(entries, heads) == [0, 2, 4, None]
+    e = spark.createDataFrame([(1, i, x["title"], x["page"]) for i, x in enumerate(entries)], "u int, entry int, title string, page int")
+    h = spark.createDataFrame([(1, i * 10, x["text"], x["page"]) for i, x in enumerate(heads)], "u int, block int, text string, page int")
+    assert [r["heading"] for r in contents.locate_contents(e, h, "u").orderBy("entry").collect()] == [0, 20, 40, None]
+    assert contents.salvage_json('ok:\n```json\n{"a": [1]}\n```') == {"a": [1]} and contents.salvage_json("so [1, 2] it is") == [1, 2] and contents.salvage_json("none") is None
