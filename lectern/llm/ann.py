@@ -81,6 +81,8 @@ def _cells(nodes: DataFrame, dim: int, count: int, spread: int) -> DataFrame:
             x = _floats(batch.column(1), dim)
             side = (x @ planes > 0).reshape(len(x), TREES, bits)
             code = (side << np.arange(bits)).sum(axis=2).astype(np.int64)
+            if count <= LEAF:
+                code[:, 0] = 0  # all nodes meet once: opposite vectors never share a side
             for t in range(TREES):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code[:, t] * TREES + t)], ["node", "g", "cell"])
 

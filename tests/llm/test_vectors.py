@@ -70,3 +70,5 @@ def test_ann_recall(spark, table_bytes):
     assert ann.nearest(table(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     few = ann.nearest(table(spark, rows[:4]), F.col("vec_id") % 20 == 0, table_bytes=table_bytes)
     assert few.count() == 3
+    opposite = [(0, [1.0, 2.0]), (7, [-1.0, -2.0])]
+    assert [(r["vec_id"], r["score"]) for r in ann.nearest(table(spark, opposite), F.col("vec_id") % 20 == 0, table_bytes=table_bytes).collect()] == [(7, -5.0)]
