@@ -5,14 +5,15 @@ vectors get one more component that makes them equally long, so that
 inner products order them as distances do.
 
 Building: random hyperplanes give each node first neighbours among about ``leaf`` nodes
-of its own cell (a dense cell is cut at random).  Then each round joins the
+of its own cell (a dense cell is cut at random).  One more tree cuts all nodes at random, so
+that a node alone in its cells has a first list, too.  Then each round joins the
 graph with its reverse, so that a node's neighbours and a sample of those it is a
 neighbour of meet at that node and are compared with each other: neighbours
 of neighbours.  What beats a node's list goes into it.  Rounds end when few
 lists change.
 
-Search: a query starts from its node's list and expands, again and again, the
-unexpanded nodes among its ``width`` best, until there are none.  The final scores are
+Search: a query starts from its node's list and from a fixed set of more than k entry nodes,
+and expands, again and again, the unexpanded nodes among its ``width`` best, until there are none.  The final scores are
 inner products of the original vectors in double precision.
 
 Vectors are looked up in a table that goes to each task while it has at most
@@ -22,7 +23,7 @@ Defined results: vectors that are null, all zero (or empty) or hold a null or no
 component take no part; vectors shorter than the longest count as padded with zeros; rows
 that share an id are candidates each for itself, never for their own id, and search once
 (with the least vector); ties go to the smaller id; fewer candidates than k give
-them all that are found; an empty table gives an empty result; other columns are not read.
+them all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ from pyspark.sql import functions as F
 
 from .tables import held
 from .topk import _matrix, usable
+from .words import mix
 
 NEIGHBOURS, REVERSE, OFFERED = 40, 40, 12
 TREES, LEAF, ROUNDS, STILL = 6, 128, 8, 0.08
-WIDTH = 100
+WIDTH, ENTRIES = 100, 12
 TABLE_BYTES = 64 << 20
 
 
@@ -81,10 +83,11 @@ def _cells(nodes: DataFrame, dim: int, count: int, spread: int) -> DataFrame:
             x = _floats(batch.column(1), dim)
             side = (x @ planes > 0).reshape(len(x), TREES, bits)
             code = (side << np.arange(bits)).sum(axis=2).astype(np.int64)
-            if count <= LEAF:
-                code[:, 0] = 0  # all nodes meet once: opposite vectors never share a side
-            for t in range(TREES):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code[:, t] * TREES + t)], ["node", "g", "cell"])
+            # one more tree by hash alone, which a node far from all others shares with some, too
+            anyhow = mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(max(1, -(-count // LEAF)))
+            code = np.concatenate((code, anyhow.astype(np.int64)[:, None]), axis=1)
+            for t in range(TREES + 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code[:, t] * (TREES + 1) + t)], ["node", "g", "cell"])
 
     placed = nodes.select("node", "g").mapInArrow(coded, "node long, g binary, cell long")
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
@@ -167,13 +170,26 @@ def _merge(ids: np.ndarray, scores: np.ndarray, done: np.ndarray, new: np.ndarra
 _STATE = "q long, ids array<long>, scores array<float>, done array<boolean>, open array<long>"
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, table: Table | None, *, width: int = WIDTH, reverse: int = REVERSE) -> DataFrame:
-    """q, node: the up to 2 * width best nodes found of each query node (rows node, g; g as the query's own vector is to be compared)."""
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, table: Table | None, *, width: int = WIDTH, entries: int = ENTRIES, reverse: int = REVERSE) -> DataFrame:
+    """q, node: the up to 2 * width best nodes found of each query node (rows node, g; g as the query's own vector is to be compared), at least min(entries, nodes) - 1."""
     links = graph.select(F.col("a").alias("at"), F.col("b").alias("who")).union(_sampled_reverse(graph, reverse, -1)).distinct()
     near = held(links.groupBy("at").agg(F.collect_list("who").alias("near")))
-    start = queries.select("node").join(near, F.col("node") == F.col("at"), "left").select(F.col("node").alias("q"), F.coalesce("near", F.array().cast("array<long>")).alias("found"))
-    empty = "array<long>", "array<float>", "array<boolean>"
-    state = start.select("q", *[F.array().cast(t).alias(n) for n, t in zip(("ids", "scores", "done"), empty, strict=True)], "found")
+    # all queries meet the entry nodes: their vectors and lists go to each task
+    fixed = nodes.orderBy(F.xxhash64("node"), "node").limit(entries).collect()
+    doors, door_g = np.array([r["node"] for r in fixed], np.int64), np.frombuffer(b"".join(r["g"] for r in fixed), np.float32).reshape(-1, dim)
+    is_door = F.col("at").isin(doors.tolist())
+    near_doors = F.broadcast(held(near.where(is_door)))
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for q, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                other = doors != q
+                rows.append({"q": q, "ids": doors[other], "scores": door_g[other] @ np.frombuffer(g, np.float32), "done": np.zeros(other.sum(), bool)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_()))]))
+
+    begin = queries.select("node", "g").mapInArrow(begun, "q long, ids array<long>, scores array<float>, done array<boolean>")
+    state = begin.join(near, F.col("q") == F.col("at"), "left").select("q", "ids", "scores", "done", F.coalesce("near", F.array().cast("array<long>")).alias("found"))
     while True:
         fresh = state.withColumn("new", F.array_except(F.array_remove(F.array_distinct("found"), F.col("q")), F.col("ids"))).drop("found")
         if table is None:
@@ -204,7 +220,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, tab
         opened = state.select("q", F.explode("open").alias("at"))
         if not opened.limit(1).count():
             return state.select("q", F.explode("ids").alias("node"))
-        found = opened.join(near, "at").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("found"))
+        lists = opened.where(~is_door).join(near, "at").select("q", "near").union(opened.where(is_door).join(near_doors, "at").select("q", "near"))
+        found = lists.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("found"))
         state = state.drop("open").join(found, "q", "left").withColumn("found", F.coalesce("found", F.array().cast("array<long>")))
 
 
@@ -238,7 +255,7 @@ def nearest(vectors: DataFrame, query_filter: Column, *, key: str = "vec_id", ve
     asking = held(members.withColumnRenamed("id", key).where(query_filter).withColumnRenamed(key, "id").groupBy("id").agg(F.min_by("node", "v").alias("node"), F.min("v").alias("qv")))
     # a query's own vector has nothing to lengthen it
     flat = asking.groupBy("node").agg(F.min("qv").alias("v")).withColumn("norm", F.lit(most))
-    found = search(graph, nodes, flat.mapInArrow(lengthened, "node long, g binary"), dim + 1, table, width=width)
+    found = search(graph, nodes, flat.mapInArrow(lengthened, "node long, g binary"), dim + 1, table, width=max(width, k + 1 + ENTRIES), entries=k + 1 + ENTRIES)
     found = found.union(asking.select("node", "node")).distinct()
 
     # final scores on the original vectors; then the members of the best nodes

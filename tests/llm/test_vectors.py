@@ -72,3 +72,21 @@ def test_ann_recall(spark, table_bytes):
     assert few.count() == 3
     opposite = [(0, [1.0, 2.0]), (7, [-1.0, -2.0])]
     assert [(r["vec_id"], r["score"]) for r in ann.nearest(table(spark, opposite), F.col("vec_id") % 20 == 0, table_bytes=table_bytes).collect()] == [(7, -5.0)]
+
+
+def test_ann_outliers(spark):
+    """A vector opposite to all others, and a small group far from the rest, get k rows each, too."""
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(3000, 8)) * 0.02 + np.eye(8)[0]
+    x[1000] = -np.eye(8)[0]
+    x[2000:2005] = draw.normal(size=(5, 8)) * 0.02 - np.eye(8)[1] - np.eye(8)[0]
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x.astype(np.float32))]
+    asked = [1000, 2000, 2004, 2500]
+    got = {q: {} for q in asked}
+    for r in ann.nearest(table(spark, rows), F.col("vec_id").isin(asked), k=20).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    assert {q: len(found) for q, found in got.items()} == dict.fromkeys(asked, 20)
+    assert all(set(range(2000, 2005)) - {q} <= set(got[q]) for q in (2000, 2004))
+    want = exact(rows, lambda i: i in asked, 20, lambda v, w: sum(a * b for a, b in zip(v, w)))
+    assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / 20 for q in asked]) >= 0.9
