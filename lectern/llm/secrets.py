@@ -6,7 +6,8 @@ bearer header, or as the password in an address - is priced: dynamic programming
 the segmentation into words, dates, repeats, sequences, keyboard walks and
 brute-forced characters that takes the fewest guesses.  A value that mixes
 letters and digits and takes at least 10 ** ``least`` guesses is a secret, too (kind guess).
-Base matches stay whatever their price; a guess span never overlaps a base one.
+Base matches stay whatever their price; a guess span goes only if one base value covers all
+of it, so that a value whose head alone is a base match is found, and masked, whole.
 
 Offsets are code points, ends exclusive.  Defined results: a null or empty text
 has no spans; whole texts are read, whatever their length, and the price takes time
@@ -127,14 +128,14 @@ def scan(text: str, least: float = LEAST) -> list[Span]:
     for m in HEX.finditer(text):
         found.append(Span("hex", m.start(), m.end(), m.start(), m.end(), guess_cost(m[0])))
     if any(h in low for h in _HINTS):
-        taken = sorted((s.start, s.end) for s in found)
+        taken = [(s.value_start, s.value_end) for s in found]
         for m in CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
             end -= len(m[m.lastindex]) - len(m[m.lastindex].rstrip(".,;:!?)]}"))
             value = text[start:end]
             if end - start < 6 or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
                 continue
-            if any(a < end and start < b for a, b in taken):
+            if any(a <= start and end <= b for a, b in taken):
                 continue
             cost = guess_cost(value)
             if cost >= least:

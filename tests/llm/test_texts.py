@@ -224,6 +224,14 @@ def test_secrets_against_plain(spark):
     assert secrets.find_secrets(table(spark, []), keep=["doc_id"]).count() == 0
 
 
+def test_secret_values_whole():
+    """A base match of a value's head does not hide the rest of the value."""
+    text = 'password=Tr0ub4dor&3xyz$Q9 then secret: "abcdefgh1234"'
+    spans = secrets.scan(text)
+    assert [(s.kind, text[s.value_start : s.value_end]) for s in spans] == [("assign", "Tr0ub4dor"), ("guess", "Tr0ub4dor&3xyz$Q9"), ("assign", "abcdefgh1234")]
+    assert secrets.masked(text, spans) == f'password={secrets.MASK} then secret: "{secrets.MASK}"'
+
+
 def test_classifiers(spark):
     draw = random.Random(11)
     plain = "the and of to in it was for on with as by at from".split()
