@@ -4,8 +4,9 @@ Three patterns always count (kinds assign, access and hex).  Beyond them, a
 value in a credential context - after a word for a secret and a sign for "is", in a
 bearer header, or as the password in an address - is priced: dynamic programming finds
 the segmentation into words, dates, repeats, sequences, keyboard walks and
-brute-forced characters that takes the fewest guesses.  A value that mixes
-letters and digits and takes at least 10 ** ``least`` guesses is a secret, too (kind guess).
+brute-forced characters that takes the fewest guesses.  A value that
+takes at least 10 ** ``least`` guesses is a secret, too (kind guess).  Ordinary words are cheap by a
+fixed list (COMMON_WORDS, then ``wordlist``, about 5,000, English); a rare word that is not in it may count.
 Base matches stay whatever their price; a guess span goes only if one base value covers all
 of it, so that a value whose head alone is a base match is found, and masked, whole.
 
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from .wordlist import WORDS
+
 LEAST = 10.0
 MASK = "<redacted>"
 KINDS = ("assign", "access", "hex", "guess")
@@ -36,9 +39,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # a run of under 24 fails as a whole
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-#: Where a credential's value follows; the value is the last group.
+#: Where a credential's value follows; the value is the last group. Key words follow anything but a letter or digit, or start a camelCase part.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?secret|signing[ _-]?key|auth)["']?\s{0,3}(?:[:=]>?|:=|->|\bis\b)\s{0,3}["']?([^\s"'<>]{6,})"""
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|(?:client[ _-]?)?secret(?:[ _-]?(?:access[ _-]?)?key)?|token|credentials?|authorization|(?:api|access|private|signing)[ _-]?key|auth)"""
+    r"""["']?\s{0,3}(?:[:=]>?|:=|->|\bis\b)\s{0,3}["']?([^\s"'<>]{6,})"""
     r"""|\bbearer\s{1,3}([A-Za-z0-9+/_.~=-]{6,})|://[^\s/:@]{1,256}:([^\s/:@]{6,})@""",
     re.I | re.A,
 )
@@ -55,8 +59,8 @@ example sample dummy demo placeholder qwerty abc temp temporary backup public pr
 black white star angel baby flower money happy freedom whatever trust ninja hunter killer soccer hockey
 charlie thomas robert daniel jessica ashley computer internet
 """.split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
+RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS + WORDS))}
+_LONGEST_WORD = max(map(len, RANK))
 _LEET = str.maketrans("4@830175$", "aabeoltss")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {(a, b) for row in _ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
@@ -129,17 +133,20 @@ def scan(text: str, least: float = LEAST) -> list[Span]:
         found.append(Span("hex", m.start(), m.end(), m.start(), m.end(), guess_cost(m[0])))
     if any(h in low for h in _HINTS):
         taken = [(s.value_start, s.value_end) for s in found]
-        for m in CONTEXT.finditer(text):
+        at = 0
+        while m := CONTEXT.search(text, at):
             start, end = m.span(m.lastindex)
+            at = start  # a rejected value may itself begin a context: authorization: bearer ...
             end -= len(m[m.lastindex]) - len(m[m.lastindex].rstrip(".,;:!?)]}"))
-            value = text[start:end]
-            if end - start < 6 or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+            if end - start < 6:
                 continue
             if any(a <= start and end <= b for a, b in taken):
+                at = end
                 continue
-            cost = guess_cost(value)
+            cost = guess_cost(text[start:end])
             if cost >= least:
                 found.append(Span("guess", start, end, start, end, cost))
+                at = end
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 

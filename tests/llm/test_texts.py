@@ -232,6 +232,18 @@ def test_secret_values_whole():
     assert secrets.masked(text, spans) == f'password={secrets.MASK} then secret: "{secrets.MASK}"'
 
 
+def test_secret_contexts():
+    """Compound key words count, and the guess cost alone decides, in both directions."""
+    guessed = lambda t: [t[s.start : s.end] for s in secrets.scan(t) if s.kind == "guess"]
+    for name in ("aws_secret_access_key = ", "MYSQL_PWD=", "db_pass=", "DB_PASSWORD=", "dbPassword=", "SECRET_KEY: ", "pwd: "):
+        assert guessed(f"x {name}k9$fQ2&vLw7 y") == ["k9$fQ2&vLw7"], name
+    assert guessed("pwd: QzKxWvPlMnTrYhGb") == ["QzKxWvPlMnTrYhGb"]
+    assert guessed("passphrase = 83920174650218") == ["83920174650218"]
+    assert guessed("Authorization: Bearer kX9vR2pLq7Zt41Q") == ["kX9vR2pLq7Zt41Q"]
+    for text in ("password: required", "the secret is something", "token: configuration", "pwd: 12345678901234", "auth: disabled", "authorization: permission", "pass: 2024-01-31", "compass: QzKxWvPlMnTrYhGb"):
+        assert guessed(text) == [], text
+
+
 def test_classifiers(spark):
     draw = random.Random(11)
     plain = "the and of to in it was for on with as by at from".split()
