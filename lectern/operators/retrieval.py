@@ -71,12 +71,41 @@ def cover_density(positions: list[list[int]]) -> float:
     return rank
 
 
-def keyword_leg(chunks: DataFrame, query: str, *, key: str, text: str, most: int = LEG) -> DataFrame:
-    """The best matching rows by how often they have the query's words: key, hits and rank (from 1)."""
-    wanted = list(dict.fromkeys(t for a in parse_query(query) for ok, ts in a if ok for t in ts))
-    hits = F.size(F.filter(T.words_of(F.col(text)), lambda w: w.isin(*wanted))) if wanted else F.lit(0)
-    best = chunks.where(matches(F.col(text), query)).select(key, hits.cast("long").alias("hits")).orderBy(F.desc("hits"), key).limit(most)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), key)))  # at most `most` rows
+def _positions(words: list[str], tokens: list[str]) -> list[list[int]]:
+    """Where each token of a phrase stands, of whole occurrences of the phrase only."""
+    n = len(tokens)
+    starts = [i for i in range(len(words) - n + 1) if words[i : i + n] == tokens]
+    return [[i + j for i in starts] for j in range(n)]
+
+
+def cover_rank(words: list[str], query: list[list[tuple[bool, list[str]]]]) -> float:
+    """Cover density of the wanted words, summed over the alternatives of a query."""
+    terms = [[tokens for wanted, tokens in alternative if wanted] for alternative in query]
+    return sum(cover_density([ps for tokens in t for ps in _positions(words, tokens)]) for t in terms)
+
+
+def keyword_leg(chunks: DataFrame, query: str, *, key: str, text: str, most: int = LEG, by_hits: bool = False) -> DataFrame:
+    """The best matching rows by cover density, or by how often they have the query's words: key, hits and rank (from 1)."""
+    parsed = parse_query(query)
+    wanted = list(dict.fromkeys(t for a in parsed for ok, ts in a if ok for t in ts))
+    words = T.words_of(F.col(text))
+    hits = F.size(F.filter(words, lambda w: w.isin(*wanted))) if wanted else F.lit(0)
+    rows = chunks.where(matches(F.col(text), query)).select(key, hits.cast("long").alias("hits"), words.alias("__words"))
+    if by_hits:
+        order = [F.desc("hits"), F.col(key)]
+        rows = rows.drop("__words")
+    else:
+        order = [F.desc("__cover"), F.col(key)]
+        schema = rows.select(key, "hits").schema.add("__cover", "double")
+
+        def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                covers = [float(cover_rank(w.as_py() or [], parsed)) for w in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(covers, pa.float64())], schema.names)
+
+        rows = rows.mapInArrow(ranked, schema)
+    best = rows.orderBy(*order).limit(most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, "hits", "rank")  # at most `most` rows
 
 
 # ---- vector leg ----

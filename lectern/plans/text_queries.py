@@ -112,7 +112,7 @@ h AS (SELECT doc_id, CAST(len(list_filter(w, lambda x: x IN ('the', 'and', 'of')
 SELECT doc_id, hits, CAST(row_number() OVER (ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM h ORDER BY rank LIMIT 50
 """)
 def keyword_top50(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_leg(read(spark, d, "documents"), ASKED, key="doc_id", text="text")
+    return retrieval.keyword_leg(read(spark, d, "documents"), ASKED, key="doc_id", text="text", by_hits=True)
 
 
 @query("""

@@ -124,3 +124,16 @@ def test_trees_and_scopes(spark):
     assert R.in_scope(books, "id", books.where("1 = 0"), "id").count() == 0  # an empty scope is nothing
     bound = spark.createDataFrame([(" 1,5 ",), ("",), ("-2",), ("x",)], "t string").select(R.parse_bound(F.col("t")).alias("x"))
     assert [r["x"] for r in bound.collect()] == [1.5, None, None, None]
+
+
+def test_keyword_leg_by_cover_density(spark):
+    """Words that stand close together rank before words repeated far apart."""
+    rows = [(1, "red " * 9 + "x " * 60 + "fox"), (2, "a red fox ran"), (3, "red only"), (4, "fox x red")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    ranks = lambda query, **how: [r["id"] for r in retrieval.keyword_leg(docs, query, key="id", text="text", **how).orderBy("rank").collect()]
+    assert ranks("red fox") == [2, 4, 1]
+    assert ranks("red fox", most=1) == [2]
+    assert ranks("red fox", by_hits=True) == [1, 2, 4]
+    assert ranks('"red fox"') == [2]
+    assert ranks("red -fox") == [3]
+    assert set(ranks("only or ran")) == {2, 3}
