@@ -19,7 +19,7 @@ under each (coordinate, value) pair:
    that split any large family; each gives one link for each component it is linked to.
 
 Nothing is capped: what the leaders leave open, step 3 settles.  A pair at exactly the
-similarity limit misses ``matches`` with a probability of about 1e-5.
+similarity limit misses ``matches`` with a probability of 3.0e-5 at 85 % and 1.4e-5 at 80 %.
 
 Defined results: lower-casing is for A-Z; a text with fewer words than the shingle has one
 shingle, all its words; null, empty and blank texts have no shingles and no links; a
