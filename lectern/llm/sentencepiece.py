@@ -5,9 +5,10 @@ each vocabulary piece that spells the characters between two nodes; a character
 without a piece of its own gets one edge that spells its UTF-8 bytes.  The
 forward pass adds up the probability of all segmentations that end at a node;
 the backward pass draws one segmentation from the end to the start, so each
-comes with exactly its share of the probability.  No piece crosses a blank
-other than at its front, nor a line end, so the lattice falls apart into one
-for each word and the forward pass runs once for each different word.
+comes with exactly its share of the probability (up to 2**-32).  Between two bytes
+that stand side by side in no piece of the vocabulary no edge passes (so before a
+blank, about a line end, and between most letters and marks): there the lattice falls apart into one for
+each word, and the forward pass runs once for each different word that a task keeps.
 
 The draws depend on the seed, the row's key and the word's place alone: the
 same key and text give the same pieces in any partitioning.  The vocabulary's
@@ -24,7 +25,6 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .words import mix, rolling
+from .words import _TABLE, buffers, inverse_powers, mix, powers, rolling
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -42,17 +42,10 @@ SEED = 17
 BLANK = "▁"
 
 #: Bytes of text that one pass works on, unless one text alone is longer.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 #: Lattice edges that a task keeps for words met before.
-KEPT_EDGES = 2_000_000
-#: No piece is longer.
-LONGEST = 16
-
-_MARK = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
-#: Parts of a text that no piece reaches across, if none has a mark after a letter or digit (² apart).
-_PART = re.compile(rf"\n+| *[{_MARK}]*[^{_MARK} \n]+(?:(?<![^\W_²])[{_MARK}]+[^{_MARK} \n]*)*| *[{_MARK}]+| +")
-#: The same for any vocabulary without blanks or line ends inside a piece.
-_WORD = re.compile(r"\n+| *[^ \n]+| +")
+KEPT_EDGES = 6_000_000
+
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -75,141 +68,227 @@ def _points(text: str) -> np.ndarray:
 
 
 class Sampler:
-    """Draws segmentations. Edges of the words met so far are kept in one table, ordered by the node they end at."""
+    """Draws segmentations. Lattices of words met before are kept in one table, the edges ordered by the node they end at."""
 
     def __init__(self, pieces: list[str], of_byte: list[int], alpha: float) -> None:
         self.size, self.of_byte = len(pieces), np.array(of_byte)
-        ranked = [(p.replace(BLANK, " "), i) for i, p in enumerate(pieces) if p and len(p) <= LONGEST]
-        text = _points("".join(p for p, _ in ranked))
-        ends = np.cumsum([len(p) for p, _ in ranked])
-        starts = ends - [len(p) for p, _ in ranked]
-        keys = rolling(mix(text.astype(np.uint64) + _C1), starts, ends)
+        ranked = [(p.replace(BLANK, " "), i) for i, p in enumerate(pieces) if p]
+        self.longest = max((len(p) for p, _ in ranked), default=1)
+        text = mix(_points("".join(p for p, _ in ranked)).astype(np.uint64) + _C1)
+        sizes = np.array([len(p) for p, _ in ranked])
+        starts = np.cumsum(sizes) - sizes
+        keys = rolling(text, starts, starts + sizes)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array([i for _, i in ranked])[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> np.uint64(44)] = True
-        inner = re.compile(rf"[^\W_²][{_MARK}]")
-        self.part = _WORD if any(inner.search(p) for p, _ in ranked) else _PART
-        if any(re.search(r"[^ ] |.\n|\n.", p) for p, _ in ranked):
-            raise ValueError("a piece reaches across a blank or a line end")
-        self.logs = -alpha * np.log(np.append(np.arange(1, self.size + 1), 10 * self.size))
-        self.start_over()
-
-    def start_over(self) -> None:
-        self.known: dict[str, int] = {}
-        self.begin = np.zeros(0, np.int64)  # of each word: its first node and its last
-        self.end = np.zeros(0, np.int64)
-        self.nodes = 0
-        self.reach = np.zeros(0)  # of each edge: its end node plus the probability of the edges up to it
+        # whether a longer piece may begin like this
+        self.begins = np.zeros(1 << 22, bool)
+        for n in range(1, self.longest):
+            at = starts[sizes > n]
+            self.begins[rolling(text, at, at + n) >> np.uint64(42)] = True
+        # bytes that stand side by side in some piece, the second at the start of a character
+        self.joined = np.zeros((256, 256), bool)
+        for p, _ in ranked:
+            x = np.frombuffer(p.encode(), np.uint8)
+            self.joined[x[:-1], x[1:]] = True
+        self.joined[:, 0x80:0xC0] = True
+        self.joined = self.joined.ravel()
+        # a word of so many characters has no sum too small for a number
+        self.linear = int(690 / max(alpha * np.log(10 * self.size), 1e-6))
+        self.ranks, self.alpha = np.append(np.arange(1.0, self.size + 1), 10.0 * self.size), alpha
+        self.known = np.zeros(0, np.uint64)  # hashes of the words of the table, sorted
+        self.row = np.zeros(0, np.int64)  # their places in the table
+        self.met = np.zeros(0, np.int64)  # of each word of the table: chunks that had it
+        self.begin = np.zeros(0, np.int64)  # its first node
+        self.end = np.zeros(0, np.int64)  # its last node
+        self.first = np.zeros(0, np.int64)  # of each node: the first edge that ends there
+        self.upto = np.zeros(0, np.uint32)  # of each edge: the largest draw for it; likelier edges of a node come first
         self.length = np.zeros(0, np.int16)
         self.piece = np.zeros(0, np.int32)
 
-    def learn(self, new: list[str]) -> None:
-        """Forward-filter the lattices of new words and keep their edges."""
-        sizes = np.array([len(s) for s in new])
-        points = _points("".join(new)).astype(np.int64)
-        n, stops = len(points), np.cumsum(sizes)
-        stop = np.repeat(stops, sizes)  # where the word of each character stops
-        values = mix(points.astype(np.uint64) + _C1)
-        # every edge, as (start character, length, piece)
-        edges = []
-        for length in range(1, min(LONGEST, int(sizes.max())) + 1):
-            at = np.flatnonzero(np.arange(length, n + length) <= stop)
-            h = rolling(values, at, at + length)
-            hit = self.maybe[h >> np.uint64(44)]
-            at_hit, h_hit = at[hit], h[hit]
-            place = np.minimum(np.searchsorted(self.keys, h_hit), len(self.keys) - 1)
-            true = self.keys[place] == h_hit
-            edges.append((at_hit[true], np.full(true.sum(), length), self.ids[place[true]]))
-            if length == 1:
+    def edges(self, points: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in words of these characters, as (start character, length, piece); stop: where each character's word stops."""
+        n = len(points)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(points.astype(np.uint64) + _C1) * powers(n), dtype=np.uint64)))
+        back = inverse_powers(n)
+        at, found = np.arange(n), []
+        for length in range(1, self.longest + 1):
+            at = at[at + length <= stop[at]]
+            h = mix((sums[at + length] - sums[at]) * back[at] + np.uint64(length))
+            hit = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
+            true = self.keys[place] == h[hit]
+            found.append((at[hit[true]], np.full(int(true.sum()), length), self.ids[place[true]]))
+            if length == 1:  # characters without a piece of their own
                 alone = np.ones(n, bool)
-                alone[edges[0][0]] = False
-                at = np.flatnonzero(alone)
-                edges.append((at, np.ones(len(at), np.int64), self.size + points[at]))
-        start, length, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
-        # words have one node more than characters; edges in order of their end node, shorter ones first
-        word = np.repeat(np.arange(len(new)), sizes)
+                alone[found[0][0]] = False
+                spelt = np.flatnonzero(alone)
+                found.append((spelt, np.ones(len(spelt), np.int64), self.size + points[spelt]))
+            at = at[self.begins[h >> np.uint64(42)]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def weight(self, piece: np.ndarray, logs: bool) -> np.ndarray:
+        table = -self.alpha * np.log(self.ranks) if logs else self.ranks**-self.alpha
+        return table[np.minimum(piece, self.size)]
+
+    def learn(self, points: np.ndarray, sizes: np.ndarray) -> None:
+        """Forward-filter the lattices of new words, given as their characters in a row, and add them to the table."""
+        n, stops = len(points), np.cumsum(sizes)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        start, length, piece = self.edges(points, stops[word])
+        # words have one node more than characters; edges in order of their end node's distance from the word's start
+        offset = start - (stops - sizes)[word[start]] + length
         node = start + word[start] + length
         order = np.argsort(node, kind="stable")
-        start, length, piece, node = start[order], length[order], piece[order], node[order]
-        # and in order of their end's distance from the start of the word
-        offset = start - (stops - sizes)[word[start]] + length
-        forward = np.argsort(offset.astype(np.uint16) if sizes.max() < 65536 else offset, kind="stable")
-        logs = self.logs[np.minimum(piece, self.size)]
-        first = (stops - sizes) + np.arange(len(new))
-        # sums of the probability of all segmentations, in logarithms; all words' nodes at one distance at a time
-        total = np.full(n + len(new), -np.inf)
-        total[first] = 0
+        order = order[np.argsort(offset[order].astype(np.uint16) if sizes.max() < 65536 else offset[order], kind="stable")]
+        length, piece, node, offset = length[order], piece[order], node[order], offset[order]
+        first = (stops - sizes) + np.arange(len(sizes))
+        # sums of the probability of all segmentations; all words' nodes at one distance at a time
+        logs = sizes.max() > self.linear
+        weight = self.weight(piece, logs)
+        total = np.full(n + len(sizes), -np.inf if logs else 0.0)
+        total[first] = 0.0 if logs else 1.0
         share = np.empty(len(node))
-        cuts = np.searchsorted(offset[forward], np.arange(1, int(sizes.max()) + 2))
+        cuts = np.searchsorted(offset, np.arange(1, int(sizes.max()) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            edge = forward[a:b]
-            ends = node[edge]
-            v = total[ends - length[edge]] + logs[edge]
+            ends = node[a:b]
             heads = np.flatnonzero(np.diff(ends, prepend=-1))
-            top = np.maximum.reduceat(v, heads)
             at = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, b - a)))
-            x = np.exp(v - top[at])
-            sums = np.add.reduceat(x, heads)
-            total[ends[heads]] = top + np.log(sums)
-            share[edge] = x / sums[at]
-        cumulative = np.cumsum(share)
+            if logs:
+                v = total[ends - length[a:b]] + weight[a:b]
+                top = np.maximum.reduceat(v, heads)
+                v = np.exp(v - top[at])
+            else:
+                v = total[ends - length[a:b]] * weight[a:b]
+            sums = np.add.reduceat(v, heads)
+            total[ends[heads]] = top + np.log(sums) if logs else sums
+            share[a:b] = v / sums[at]
+        # by node, likelier edges first; a node's edges differ in length
+        bits = int(self.longest).bit_length()
+        rank = ((1.0 - share) * (2.0 ** (32 - bits) - 1)).astype(np.uint64)
+        order = np.argsort(node.astype(np.uint64) << np.uint64(32) | rank << np.uint64(bits) | length.astype(np.uint64))
+        node, length, piece, share = node[order], length[order], piece[order], share[order]
         heads = np.flatnonzero(np.diff(node, prepend=-1))
-        at = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(node))))
-        reach = cumulative - (cumulative[heads] - share[heads])[at]
-        reach[np.append(heads[1:], len(node)) - 1] = 1.0
-        for i, s in enumerate(new, len(self.known)):
-            self.known[s] = i
-        self.begin = np.append(self.begin, first + self.nodes)
-        self.end = np.append(self.end, first + sizes + self.nodes)
-        self.reach = np.append(self.reach, node + self.nodes + reach)
+        many = np.diff(np.append(heads, len(node)))
+        # add up each node's shares one after another, so that no other word matters to the rounding
+        for k in range(1, int(many.max(initial=1))):
+            at = heads[many > k] + k
+            share[at] += share[at - 1]
+        upto = np.minimum(share * 2.0**32, 2.0**32 - 1).astype(np.uint32)
+        upto[heads + many - 1] = 0xFFFFFFFF
+        edge = np.searchsorted(node, np.arange(n + len(sizes)))
+        nodes, edges = len(self.first), len(self.upto)
+        self.begin = np.append(self.begin, first + nodes)
+        self.end = np.append(self.end, first + sizes + nodes)
+        self.first = np.append(self.first, edge + edges)
+        self.upto = np.append(self.upto, upto)
         self.length = np.append(self.length, length.astype(np.int16))
         self.piece = np.append(self.piece, piece.astype(np.int32))
-        self.nodes += n + len(new)
 
-    def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of one segmentation of each text, all in a row, and how many each has."""
-        if len(self.reach) > KEPT_EDGES:
-            self.start_over()
-        parts = [self.part.findall(" " + t) if t else [] for t in texts]
-        flat = [p for ps in parts for p in ps]
-        new = [p for p in dict.fromkeys(flat) if p not in self.known]
-        if new:
-            self.learn(new)
-        counts = np.array([len(ps) for ps in parts])
-        word = np.array(list(map(self.known.__getitem__, flat)), np.int64)
-        doc = np.repeat(np.arange(len(texts)), counts)
+    def forget(self) -> None:
+        """Keep the words that most chunks had, up to half of the table."""
+        edges = np.append(self.first, len(self.upto))
+        cost = edges[self.end + 1] - edges[self.begin]
+        likely = np.argsort(-self.met, kind="stable")
+        stay = np.sort(likely[np.cumsum(cost[likely]) <= KEPT_EDGES // 2])
+        nodes = self.end[stay] - self.begin[stay] + 1
+        at = np.repeat(self.begin[stay] - (np.cumsum(nodes) - nodes), nodes) + np.arange(nodes.sum())
+        many = edges[at + 1] - edges[at]
+        edge = np.repeat(edges[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        self.first = np.cumsum(many) - many
+        self.upto, self.length, self.piece = self.upto[edge], self.length[edge], self.piece[edge]
+        self.end = np.cumsum(nodes) - 1
+        self.begin = self.end - nodes + 1
+        self.met = self.met[stay]
+        new = np.full(len(cost), -1)
+        new[stay] = np.arange(len(stay))
+        self.known, self.row = self.known[new[self.row] >= 0], new[self.row][new[self.row] >= 0]
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place in the table of each word data[start:end]; new words are learnt."""
+        hashes, one, which = np.unique(rolling(_TABLE[data], starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, hashes)
+        here = np.zeros(len(hashes), bool)
+        here[place < len(self.known)] = self.known[place[place < len(self.known)]] == hashes[place < len(self.known)]
+        new = np.flatnonzero(~here)
+        if len(new):
+            if len(self.upto) > KEPT_EDGES:
+                self.forget()
+                return self.rows(data, starts, ends)
+            a, size = starts[one[new]], (ends - starts)[one[new]]
+            spelling = data[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            letters = np.add.reduceat((spelling & 0xC0) != 0x80, np.cumsum(size) - size)
+            had = len(self.begin)
+            points = _points(spelling.tobytes().decode()).astype(np.int64)
+            short = letters <= self.linear
+            for some in (short, ~short):
+                if some.any():
+                    self.learn(points[np.repeat(some, letters)], letters[some])
+            new = np.concatenate((new[short], new[~short]))
+            self.met = np.append(self.met, np.zeros(len(new), np.int64))
+            known, row = np.append(self.known, hashes[new]), np.append(self.row, np.arange(had, had + len(new)))
+            order = np.argsort(known)
+            self.known, self.row = known[order], row[order]
+            place = np.searchsorted(self.known, hashes)
+        row = self.row[place]
+        self.met[row] += 1
+        return row[which]
+
+    def draw(self, data: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of one segmentation of each text data[bounds[i]:bounds[i + 1]], all in a row, and how many each has.
+
+        Texts, if not empty, begin with the added blank.
+        """
+        n = len(bounds) - 1
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(n, np.int64)
+        cut = np.empty(len(data), bool)
+        cut[1:] = ~self.joined[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        cut[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        word = self.rows(data, starts, np.append(starts[1:], len(data)))
+        counts = np.diff(np.searchsorted(starts, bounds))
+        doc = np.repeat(np.arange(n), counts)
         place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
         with np.errstate(over="ignore"):
             state = mix(seeds[doc] + place.astype(np.uint64) * _C1)
-        todo = np.argsort(word, kind="stable")  # like words side by side: their edges are close together
-        node, begin = self.end[word[todo]], self.begin[word[todo]]
-        state = state[todo]
-        drawn = []
+        node, begin = self.end[word], self.begin[word]
+        todo, drawn = np.arange(len(word)), []
         steps = np.zeros(len(word), np.int64)
         while len(todo):
             state = mix(state + _C2)
-            draw = (state >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            # nodes are well under 2**31, so node + draw keeps over 20 bits of the draw
-            edge = np.minimum(np.searchsorted(self.reach, node + draw, "right"), len(self.reach) - 1)
+            aim = (state >> np.uint64(32)).astype(np.uint32)
+            edge = self.first[node]
+            on = np.flatnonzero(aim > self.upto[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[aim[on] > self.upto[edge[on]]]
             drawn.append((todo, self.piece[edge]))
             steps[todo] += 1
             node = node - self.length[edge]
-            left = node > begin
+            left = np.flatnonzero(node > begin)
             todo, node, begin, state = todo[left], node[left], begin[left], state[left]
         last = np.cumsum(steps) - 1
         out = np.empty(int(steps.sum()), np.int64)
         for i, (which, piece) in enumerate(drawn):
             out[last[which] - i] = piece
+        by_word = np.append(0, np.cumsum(steps))
         ids, wide = self.spelt(out)
-        by_doc = np.bincount(np.repeat(doc, steps), wide, len(texts)).astype(np.int64)
-        return ids, by_doc
+        at = np.append(0, np.cumsum(wide))[by_word[np.append(0, np.cumsum(counts))]]
+        return ids, np.diff(at)
+
+    def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As draw, for texts without the added blank."""
+        return self.draw(*blanked(pa.array(texts, pa.string())), seeds)
 
     def spelt(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids with the bytes of characters in place of characters, and how many ids each has become."""
         at = np.flatnonzero(out >= self.size)
+        if not len(at):
+            return out, np.ones(len(out), np.int64)
         c = out[at] - self.size
         width = np.select([c < 0x80, c < 0x800, c < 0x10000], [1, 2, 3], 4)
         wide = np.ones(len(out), np.int64)
@@ -226,15 +305,20 @@ class Sampler:
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows with about CHUNK bytes of text each."""
-    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    lo = size = 0
-    for i, n in enumerate(sizes):
-        size += n
-        if size >= CHUNK:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(column):
-        yield lo, len(column)
+    upto = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def blanked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, each (if not empty) with a blank added in front, and the bounds of each."""
+    at, data = buffers(texts)
+    full = np.diff(at) > 0
+    data = np.insert(data[at[0] : at[-1]], (at[:-1] - at[0])[full], 32)
+    return data, at - at[0] + np.append(0, np.cumsum(full))
 
 
 class Speller:
@@ -258,6 +342,17 @@ class Speller:
             texts.append(self.data[at].tobytes()[1:])
         return texts
 
+    def spells(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether each row of ids decodes to data[bounds[i]:bounds[i + 1]], byte for byte."""
+        w = self.width[ids]
+        ends = np.append(0, np.cumsum(w))
+        if not np.array_equal(ends[np.append(0, np.cumsum(counts))], bounds):
+            rows = zip(self.texts(ids, counts), bounds[:-1], bounds[1:], strict=True)
+            return np.array([x == data[a:b].tobytes()[1:] for x, a, b in rows], bool)
+        back = self.data[np.arange(ends[-1]) + np.repeat(self.begin[ids] - ends[:-1], w)]
+        wrong = np.append(0, np.cumsum(back != data))
+        return np.diff(wrong[bounds]) == 0
+
 
 def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, alpha: float = ALPHA, seed: int = SEED, model: str = MODEL, name: str = "pieces", lossless: str | None = None) -> DataFrame:
     """The columns in keep (the key alone, if not given) and the ids of one drawn segmentation of each text.
@@ -276,13 +371,12 @@ def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list
             column, seeds = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
             for lo, hi in _chunks(column):
                 part = column.slice(lo, hi - lo)
-                missing = np.asarray(part.is_null())
-                texts = part.fill_null("").to_pylist()
-                ids, counts = sampler.sample(texts, seeds[lo:hi])
-                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=pa.array(missing))]
+                data, bounds = blanked(part.fill_null(""))
+                ids, counts = sampler.draw(data, bounds, seeds[lo:hi])
+                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+                out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=part.is_null())]
                 if lossless:
-                    out.append(pa.array([a.encode() == b for a, b in zip(texts, speller.texts(ids, counts), strict=True)]))
+                    out.append(pa.array(speller.spells(ids, counts, data, bounds)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-2]), *out], schema.names)
 
     seeds = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))

@@ -63,6 +63,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """The factors of n places in a rolling hash."""
+    return _power(_BASE, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _power(_INVERSE, n)
+
+
 def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each values[start:end]; equal slices hash equally."""
     sums = np.zeros(len(values) + 1, np.uint64)
@@ -95,7 +104,7 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     else:
@@ -112,7 +121,7 @@ def words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
     """The words of a string column in chunks of about CHUNK_BYTES; lower: A-Z become a-z."""
     if column.null_count:
         column = column.fill_null("")
-    at, data = _buffers(column)
+    at, data = buffers(column)
     n, lo = len(column), 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK_BYTES, "right")) - 1)
