@@ -3,7 +3,7 @@
 The edges of the graph are the windows of k consecutive words.  Neighbouring windows
 that share their least inner m-word gram (their minimiser) form a path without
 branches of their own; such a path is one row: minimiser, hash of all its words,
-document, first window, number of windows.  Equal windows have equal minimisers at equal
+text, first window, number of windows.  Equal windows have equal minimisers at equal
 places, so a window can only repeat where its path's minimiser does.  The rows meet
 by minimiser in one shuffle:
 
@@ -13,14 +13,22 @@ by minimiser in one shuffle:
 * different paths with one minimiser: the graph branches inside them.  The first of each
   is expanded into single windows, which are matched by a join on their hashes.
 
+Then paths and windows that follow one another both in a text and in its source are
+compacted into long spans.  Each span is verified at its source's coordinates: the
+source's text gives a digest of the span's words, and only a text with that digest at its own
+coordinates loses words.
+
 Copies within one Arrow batch are settled before the shuffle, so a passage that a third of all
 documents share sends a row or so from each batch.  Settled rows are dealt out by
-document, not by minimiser.  A match needs two independent 64-bit hashes to agree and names
-its source's coordinates; ``repeated`` returns these.
+text, not by minimiser.
+
+A text is known by its key and, only where a key has different texts, a 64-bit hash of the text: rows that
+share a key are one document as a source (they never cover each other), but each loses what is
+repeated in its own text.
 
 Defined results: null, empty and blank texts have no words; a text with fewer
-than k words has no window; windows that repeat only within one document (rows with one key
-are one document's) stay; an empty table gives an empty result; other columns
+than k words has no window; windows that repeat only within one document stay; rows with a null key
+keep all words and cover nobody's; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -36,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import held
-from .words import mix, rolling, windows, words
+from .words import Words, mix, rolling, windows, words
 
 K, GRAM = 13, 5
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -79,157 +87,237 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _path_rows(df: DataFrame, k: int, gram: int) -> DataFrame:
-    """One row per path; covered: an equal path with a smaller document was met in the same batch."""
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def texts_of(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, v and text: v tells the texts of one key apart and is 0 where the key has one text alone."""
+    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    hashes = rows.where("doc IS NOT NULL").select("doc", F.xxhash64("text").alias("h")).groupBy("doc").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = held(hashes.where("low < high").select("doc"))
+    if not several.limit(1).count():
+        return rows.select("doc", F.lit(0).cast("long").alias("v"), "text")
+    marked = rows.join(several.withColumn("several", F.lit(True)).hint("merge"), "doc", "left")
+    return marked.select("doc", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("v"), "text")
+
+
+_PATH = "m long, span long, doc long, v long, start int, size int, covered boolean, src_doc long, src_v long, src_start int"
+_NAMES = [c.split()[0] for c in _PATH.split(", ")]
+
+
+def _path_rows(texts: DataFrame, k: int, gram: int) -> DataFrame:
+    """One row per path; covered: an equal path with a smaller document was met in the same batch, and is its source."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, vs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             parts = []
-            for w in words(batch.column(1)):
+            for w in words(batch.column(2)):
                 m, span, start, size = paths(w.hashes(), w.first, k, gram)
                 doc = w.doc[start]
-                parts.append((m, span, ids[doc], start - w.first[doc - w.lo], size))
+                parts.append((m, span, ids[doc], vs[doc], start - w.first[doc - w.lo], size))
             if not parts:
                 continue
-            m, span, doc, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, doc, span, m))
-            m, span, doc, start, size = (x[order] for x in (m, span, doc, start, size))
-            head = np.empty(len(m), bool)
-            head[:1] = True
+            m, span, doc, v, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, v, doc, span, m))
+            m, span, doc, v, start, size = (x[order] for x in (m, span, doc, v, start, size))
+            head = np.ones(len(m), bool)
             head[1:] = (m[1:] != m[:-1]) | (span[1:] != span[:-1])
+            new = head.copy()  # rows with one key and text are one
+            new[1:] |= (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]) | (start[1:] != start[:-1])
             source = np.flatnonzero(head)[np.cumsum(head) - 1]
             covered = doc > doc[source]
+            of = lambda x: np.where(covered, x[source], 0)[new]
             yield pa.RecordBatch.from_arrays(
-                [_signed(m), _signed(span), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(covered), pa.array(doc[source]), pa.array(start[source].astype(np.int32))],
-                ["m", "span", "doc", "start", "size", "covered", "src_doc", "src_start"],
+                [_signed(m[new]), _signed(span[new]), pa.array(doc[new]), pa.array(v[new]), _ints(start[new]), _ints(size[new]), pa.array(covered[new]), pa.array(of(doc)), pa.array(of(v)), _ints(of(start))],
+                _NAMES,
             )
 
-    return df.mapInArrow(found, "m long, span long, doc long, start int, size int, covered boolean, src_doc long, src_start int")
+    return texts.where("doc IS NOT NULL").mapInArrow(found, _PATH)
 
 
 _STEP = 1 << 16
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by covered, m, span, doc, start: drop, cover or mark for expansion (covered is false).
+def _settled(t: pa.Table) -> pa.Table:
+    """Of whole minimisers' rows sorted by covered, m, span, doc, v, start: the covered ones, and (covered is false) those to expand."""
+    done = t.filter(t["covered"])
+    t = t.filter(pc.invert(t["covered"]))
+    m, span, doc, v, start = (t[c].to_numpy() for c in ("m", "span", "doc", "v", "start"))
+    if not len(m):
+        return done
+    new_m = np.append(True, m[1:] != m[:-1])
+    new_span = new_m | np.append(True, span[1:] != span[:-1])
+    group, run = np.cumsum(new_m) - 1, np.cumsum(new_span) - 1
+    heads, run_heads = np.flatnonzero(new_m), np.flatnonzero(new_span)
+    several = (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads))[group]
+    branching = (np.add.reduceat(new_span, heads) > 1)[group]
+    source = run_heads[run]
+    covered = several & (doc > doc[source])
+    for name, x in (("covered", covered), ("src_doc", doc[source]), ("src_v", v[source]), ("src_start", start[source])):
+        t = t.set_column(t.schema.get_field_index(name), name, pa.array(x))
+    return pa.concat_tables([done, t.filter(pa.array(covered | (several & branching)))])
 
-    Only the rows of one minimiser that may still turn out unrepeated are held
-    back: those of one document.
-    """
-    names = None
-    rest: pa.Table | None = None
-
-    def settled(t: pa.Table) -> pa.Table:
-        done = t.filter(t["covered"])
-        t = t.filter(pc.invert(t["covered"]))
-        m, span, doc, start = (t[c].to_numpy() for c in ("m", "span", "doc", "start"))
-        if not len(m):
-            return done
-        new_m = np.append(True, m[1:] != m[:-1])
-        new_span = new_m | np.append(True, span[1:] != span[:-1])
-        group, run = np.cumsum(new_m) - 1, np.cumsum(new_span) - 1
-        heads, run_heads = np.flatnonzero(new_m), np.flatnonzero(new_span)
-        several = (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads))[group]
-        branching = (np.add.reduceat(new_span, heads) > 1)[group]
-        source = run_heads[run]
-        covered = several & (doc > doc[source])
-        keep = covered | (several & branching)
-        out = t.set_column(t.schema.get_field_index("covered"), "covered", pa.array(covered))
-        out = out.set_column(out.schema.get_field_index("src_doc"), "src_doc", pa.array(doc[source]))
-        out = out.set_column(out.schema.get_field_index("src_start"), "src_start", pa.array(start[source]))
-        return pa.concat_tables([done, out.filter(pa.array(keep))])
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_settled over sorted batches. Only the rows of the last minimiser wait for the next batch."""
+    rest: pa.Table | None = None
     for batch in batches:
-        names = batch.schema
         rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
         if rest.num_rows < _STEP:
             continue
         m, flag = rest["m"].to_numpy(), rest["covered"].to_numpy()
-        cut = int(np.flatnonzero((m != m[-1]) | (flag != flag[-1]))[-1]) + 1 if (m[0] != m[-1] or flag[0] != flag[-1]) else 0
         if flag[-1]:
             cut = rest.num_rows
+        else:
+            other = np.flatnonzero((m != m[-1]) | (flag != flag[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield from settled(rest.slice(0, cut)).to_batches()
+            yield from _settled(rest.slice(0, cut)).to_batches()
             rest = rest.slice(cut)
     if rest is not None and rest.num_rows:
-        yield from settled(rest).combine_chunks().to_batches()
+        yield from _settled(rest).combine_chunks().to_batches()
 
 
-def repeated(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, gram: int = GRAM) -> DataFrame:
-    """Paths that repeat: doc, start, size (windows), covered, src_doc and src_start.
+def repeated(texts: DataFrame, *, k: int = K, gram: int = GRAM) -> DataFrame:
+    """Paths that repeat, of rows doc, v and text: doc, v, start, size (windows), covered, src_doc, src_v and src_start.
 
     covered: all the path's windows start in the source document, which is smaller, too;
     the others are the first of their kind but branch, so that single windows may repeat.
     """
-    rows = _path_rows(documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL"), k, gram)
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, F.when(F.col("covered"), F.xxhash64("doc", "start")).otherwise(F.xxhash64("m")))
-    return dealt.sortWithinPartitions("covered", "m", "span", "doc", "start").mapInArrow(_settle, rows.schema).drop("m", "span")
+    rows = _path_rows(texts, k, gram)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, F.when(F.col("covered"), F.xxhash64("doc", "v", "start")).otherwise(F.xxhash64("m")))
+    return dealt.sortWithinPartitions("covered", "m", "span", "doc", "v", "start").mapInArrow(_settle, _PATH).drop("m", "span")
 
 
 def _window_rows(joined: DataFrame, k: int) -> DataFrame:
-    """Single windows of the paths in `open` (start and size in turn) of each text."""
+    """Single windows of the paths in `open` (structs of start and size) of each text."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            spans = batch.column(2).to_pylist()
-            for w in words(batch.column(1)):
+            ids, vs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lists = batch.column(3)
+            bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            flat = lists.flatten()
+            start, size = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for w in words(batch.column(2)):
                 h = w.hashes()
-                at = []
-                for i in range(w.lo, w.hi):
-                    p = np.array(spans[i]).reshape(-1, 2)
-                    base = w.first[i - w.lo]
-                    at.append(base + np.repeat(p[:, 0], p[:, 1]) + np.arange(p[:, 1].sum()) - np.repeat(np.cumsum(p[:, 1]) - p[:, 1], p[:, 1]))
-                at = np.concatenate(at)
+                p = slice(bounds[w.lo], bounds[w.hi])
+                base = np.repeat(w.first[:-1], np.diff(bounds[w.lo : w.hi + 1])) + start[p]
+                at = np.repeat(base - (np.cumsum(size[p]) - size[p]), size[p]) + np.arange(size[p].sum())
                 doc = w.doc[at]
                 one, two = rolling(mix(h), at, at + k), rolling(mix(h ^ _SALT), at, at + k)
-                yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array(ids[doc]), pa.array((at - w.first[doc - w.lo]).astype(np.int32))], ["one", "two", "doc", "start"])
+                yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array(ids[doc]), pa.array(vs[doc]), _ints(at - w.first[doc - w.lo])], ["one", "two", "doc", "v", "start"])
 
-    return joined.mapInArrow(found, "one long, two long, doc long, start int")
+    return joined.mapInArrow(found, "one long, two long, doc long, v long, start int")
+
+
+_SPAN = "doc long, v long, start int, size int, src_doc long, src_v long, src_start int"
+
+
+def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows doc, v and marks (start, size, src_doc, src_v, src_start) to spans: marks that go on where the last one ended, here and in the source, are one."""
+    for batch in batches:
+        many = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        flat = batch.column(2).flatten()
+        start, size, doc, v, src = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False) for i in range(5))
+        row = np.repeat(np.arange(len(many)), many)
+        order = np.lexsort((start, row))
+        row, start, size, doc, v, src = (x[order] for x in (row, start, size, doc, v, src))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]) | (start[1:] != start[:-1] + size[:-1]) | (src[1:] != src[:-1] + size[:-1])
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(size, at) if len(at) else size
+        owner = pa.array(row[at])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), _ints(start[at]), _ints(total), pa.array(doc[at]), pa.array(v[at]), _ints(src[at])], [c.split()[0] for c in _SPAN.split(", ")])
+
+
+def _joined_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a chunk with one blank after each, and where each starts (and the last one's blank ends)."""
+    size = w.ends - w.starts + 1
+    at = np.append(0, np.cumsum(size))
+    data = np.append(w.data, np.uint8(32))[np.repeat(w.starts - at[:-1], size) + np.arange(at[-1])]
+    data[at[1:] - 1] = 32
+    return data, at
+
+
+def _digest(data: np.ndarray) -> bytes:
+    return hashlib.blake2b(data.tobytes(), digest_size=16).digest()
+
+
+def _source_digests(joined: DataFrame, k: int) -> DataFrame:
+    """For texts with `asked` (structs of src_start and size): the digest of each such span's words."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(3).to_pylist()
+            for w in words(batch.column(2)):
+                data, at = _joined_words(w)
+                rows, start, size, digest = [], [], [], []
+                for i in range(w.lo, w.hi):
+                    base = w.first[i - w.lo]
+                    for a in asked[i]:
+                        s, n = a["src_start"], a["size"]
+                        rows.append(i)
+                        start.append(s)
+                        size.append(n)
+                        digest.append(_digest(data[at[base + s] : at[base + s + n + k - 1]]))
+                owner = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], ["src_doc", "src_v", "src_start", "size", "digest"])
+
+    return joined.mapInArrow(found, "src_doc long, src_v long, src_start int, size int, digest binary")
+
+
+def spans(texts: DataFrame, *, k: int = K, gram: int = GRAM) -> DataFrame:
+    """Long repeated spans of rows doc, v and text, with the digest of the words at the source's coordinates."""
+    found = repeated(texts, k=k, gram=gram)
+    mark = F.struct("start", "size", "src_doc", "src_v", "src_start")
+    per_text = held(found.groupBy("doc", "v").agg(F.collect_set(F.when(F.col("covered"), mark)).alias("closed"), F.collect_set(F.when(~F.col("covered"), F.struct("start", "size"))).alias("open")))
+    opened = per_text.where(F.size("open") > 0).select("doc", "v", "open")
+    single = _window_rows(texts.join(opened.hint("merge"), ["doc", "v"]).select("doc", "v", "text", "open"), k)
+    place = F.struct("doc", "v", "start")
+    least = single.groupBy("one", "two").agg(F.min(place).alias("src"), F.max("doc").alias("most")).where("src.doc < most").select(F.col("one").alias("o"), F.col("two").alias("t"), "src")
+    gone = single.join(least.hint("merge"), (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")) & (F.col("doc") > F.col("src.doc")))
+    gone = gone.groupBy("doc", "v").agg(F.collect_set(F.struct("start", F.lit(1).alias("size"), F.col("src.doc").alias("src_doc"), F.col("src.v").alias("src_v"), F.col("src.start").alias("src_start"))).alias("single"))
+    none = F.array().cast(per_text.schema["closed"].dataType)
+    closed = per_text.where(F.size("closed") > 0).select("doc", "v", "closed")
+    marks = closed.join(gone.hint("merge"), ["doc", "v"], "full").select("doc", "v", F.concat(F.coalesce("closed", none), F.coalesce("single", none)).alias("marks"))
+    long = held(marks.mapInArrow(_compacted, _SPAN))
+    asked = long.select(F.col("src_doc").alias("doc"), F.col("src_v").alias("v"), "src_start", "size").distinct()
+    asked = asked.groupBy("doc", "v", F.shiftright("src_start", 12).alias("part")).agg(F.collect_list(F.struct("src_start", "size")).alias("asked"))
+    true = _source_digests(texts.join(asked.hint("merge"), ["doc", "v"]).select("doc", "v", "text", "asked"), k)
+    return long.join(true.hint("merge"), ["src_doc", "src_v", "src_start", "size"])
 
 
 def drop_repeated(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, gram: int = GRAM) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and kept, the words that stay joined by one blank."""
-    spark = documents.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = held(repeated(documents, key=key, text=text, k=k, gram=gram))
-    flat = lambda c: F.flatten(F.collect_list(F.when(c, F.array("start", "size"))))
-    per_doc = held(found.groupBy("doc").agg(flat(F.col("covered")).alias("closed"), flat(~F.col("covered")).alias("open")))
-    # both uses below share one shuffle of the texts by document
-    texts = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition(n, "id")
-    opened = texts.join(per_doc.where(F.size("open") > 0).hint("merge"), texts["id"] == F.col("doc")).select("doc", "text", "open")
-    single = _window_rows(opened, k)
-    least = single.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(F.col("one").alias("o"), F.col("two").alias("t"), "least")
-    gone = single.join(least.hint("merge"), (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")) & (F.col("doc") > F.col("least")))
-    gone = gone.groupBy("doc").agg(F.collect_list("start").alias("single"))
-    marks = per_doc.where(F.size("closed") > 0).select("doc", "closed").join(gone, "doc", "full").select(F.col("doc").alias("d"), "closed", "single")
-    joined = texts.join(marks.hint("merge"), texts["id"] == F.col("d"), "left").select("id", "text", "closed", "single")
-    schema = documents.select(key).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
+    texts = texts_of(documents, key, text)
+    per_text = spans(texts, k=k, gram=gram).groupBy("doc", "v").agg(F.collect_list(F.struct("start", "size", "digest")).alias("spans"))
+    joined = texts.join(per_text.hint("merge"), ["doc", "v"], "left").select("doc", "text", "spans")
+    schema = documents.select(F.col(key).cast("long").alias(key)).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            closed, single = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            marked = batch.column(2).to_pylist()
             for w in words(batch.column(1)):
-                out = []
+                data, at = _joined_words(w)
+                change = np.zeros(len(w.starts) + 1, np.int32)
                 for i in range(w.lo, w.hi):
-                    a, b = w.first[i - w.lo], w.first[i - w.lo + 1]
-                    change = np.zeros(b - a + 1, np.int64)
-                    if closed[i]:
-                        p = np.array(closed[i]).reshape(-1, 2)
-                        np.add.at(change, p[:, 0], 1)
-                        np.add.at(change, p[:, 0] + p[:, 1] + k - 1, -1)
-                    if single[i]:
-                        p = np.array(single[i])
-                        np.add.at(change, p, 1)
-                        np.add.at(change, p + k, -1)
-                    stay = np.flatnonzero(np.cumsum(change)[:-1] == 0) + a
-                    data = w.data[w.starts[a] : w.ends[b - 1]].tobytes() if b > a else b""
-                    base = w.starts[a] if b > a else 0
-                    text_ = b" ".join([data[s:e] for s, e in zip((w.starts[stay] - base).tolist(), (w.ends[stay] - base).tolist(), strict=True)])
-                    out.append((b - a, b - a - len(stay), hashlib.sha256(text_).hexdigest(), text_))
-                n_words, n_gone, sha, kept_ = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(sha), pa.array(kept_, pa.binary()).cast(pa.string())], schema.names)
+                    base = w.first[i - w.lo]
+                    for s in marked[i] or ():
+                        a, b = base + s["start"], base + s["start"] + s["size"] + k - 1
+                        if _digest(data[at[a] : at[b]]) == s["digest"]:
+                            change[a] += 1
+                            change[b] -= 1
+                stay = np.cumsum(change)[:-1] == 0
+                left = data[np.repeat(stay, np.diff(at))]
+                ends = np.append(0, np.cumsum(np.where(stay, np.diff(at), 0)))[w.first]
+                texts_ = [left[a : max(a, b - 1)].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                n_words = np.diff(w.first)
+                n_gone = n_words - np.diff(np.append(0, np.cumsum(stay))[w.first])
+                sha = [hashlib.sha256(t).hexdigest() for t in texts_]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(n_words.astype(np.int64)), pa.array(n_gone.astype(np.int64)), pa.array(sha), pa.array(texts_, pa.binary()).cast(pa.string())], schema.names)
 
     return joined.mapInArrow(kept, schema)
