@@ -272,3 +272,33 @@ def test_classifiers(spark):
     assert {r["score"] for r in toxicity.toxicity_scores(docs, none).collect()} == {0.5}
     assert quality.quality_scores(table(spark, []), labels).count() == 0
     assert toxicity.toxicity_scores(table(spark, []), labels, F.col("doc_id") > 3).count() == 0
+
+
+def rows_plain(rows, k=13):
+    """Like drop_plain, for rows that may share a key: a list of results in order."""
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for a in range(len(w) - k + 1):
+            if i is not None:
+                first[tuple(w[a : a + k])] = min(first.get(tuple(w[a : a + k]), i), i)
+    out = []
+    for i, t in rows:
+        w, gone = WORD.findall(t or ""), set()
+        for a in range(len(w) - k + 1):
+            if i is not None and first[tuple(w[a : a + k])] < i:
+                gone |= set(range(a, a + k))
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def test_substring_rows_that_share_a_key(spark):
+    p, q, r = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 40), ("q", 60), ("r", 200)))
+    for third in (["short", "text", "here"], r):
+        rows = [(1, " ".join(p)), (2, " ".join(q + p)), (2, " ".join(third)), (2, " ".join(q + p)), (3, " ".join(third)), (None, " ".join(p)), (4, "long text " * 9000), (5, "z " + "long text " * 9000)]
+        df = table(spark, [(i, t, "s") for i, t in rows + ODD_TEXTS]).repartition(5)
+        got = sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in substring.drop_repeated(df).collect()), key=str)
+        assert got == rows_plain(rows + ODD_TEXTS)
+
+
+ODD_TEXTS = [(i, t) for i, t, _ in ODD]
