@@ -51,3 +51,13 @@ def test_repeated_ids_and_nulls(spark):
     for _, stage in pipeline.STAGES[1:]:
         assert stage(spark, docs.where("1 = 0"), SF).count() == 0
         stage(spark, docs, SF).collect()
+
+
+def test_near_dedup_keeps_unlike_rows_of_one_id(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "en", "a", 1), (1, "one two three four five six", "de", "b", 2), (2, "one two three four five six", "en", "a", 1), (2, "one two three four five six", "en", "a", 1), (3, None, "en", "a", 0), (3, None, "en", "a", 0), (4, "only here " * 3000, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "0 AS id", "1 AS h", "2 AS c", "3 AS __row")
+    kept = pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == pipeline.COLUMNS
+    assert sorted((r["doc_id"], (r["text"] or "")[:5]) for r in kept.collect()) == [(1, "alpha"), (1, "one t"), (3, ""), (3, ""), (4, "only ")]
+    for _, stage in pipeline.STAGES[1:]:
+        stage(spark, docs, SF).collect()

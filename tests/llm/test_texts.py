@@ -302,3 +302,29 @@ def test_substring_rows_that_share_a_key(spark):
 
 
 ODD_TEXTS = [(i, t) for i, t, _ in ODD]
+
+
+def test_near_duplicates_rows_that_share_a_key(spark):
+    draw = random.Random(13)
+    a, b, c = ([f"{x}{draw.randrange(900)}" for _ in range(80)] for x in "abc")
+    tail = ["tail", "end"]
+    join = " ".join
+    rows = [(21, join(a)), (22, join(a + tail)), (22, join(b + tail)), (23, join(b)), (23, join(b)), (27, join(c)), (27, "quite other words that nobody else has"), (28, join(c)), (None, join(c)), (29, "long text " * 9000), (30, "Long TEXT " * 9000)]
+    df = table(spark, [(i, t, "s") for i, t in rows + ODD_TEXTS]).repartition(4)
+    got = {}
+    for r in minhash.near_duplicates(df, shingle=3, percent=85).collect():
+        got.setdefault(r["doc_id"], []).append(r["component_id"])
+    assert {i: set(g) for i, g in got.items() if i and 20 < i < 31} == {21: {21}, 22: {21}, 23: {21}, 27: {27}, 28: {27}, 29: {29}, 30: {29}}
+    assert {i: len(g) for i, g in got.items()} == {i: sum(j == i for j, _ in rows + ODD_TEXTS) for i in got} and set(got) == {i for i, _ in rows + ODD_TEXTS}
+    gone = {(r["id"], r["h"]) for r in minhash.to_drop(df, shingle=3, percent=85).collect()}
+    h = {(r["doc_id"], r["text"]): r["h"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    drop = [(22, join(a + tail)), (23, join(b)), (28, join(c)), (30, "Long TEXT " * 9000)]
+    assert gone == {(i, h[i, t]) for i, t in drop}
+
+
+def test_skipping_counts_like_plain_counting():
+    draw = np.random.default_rng(3)
+    sigs = draw.integers(0, 3, (500, minhash.COORDS)).astype(np.uint32)
+    for t in (1, 20, 25, 64):
+        for x in sigs[:20]:
+            assert minhash._reaching(x, sigs, t).tolist() == np.flatnonzero((sigs == x).sum(axis=1) >= t).tolist()
