@@ -10,7 +10,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash, mixing, quality, secrets, sentencepiece
@@ -30,19 +30,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id.
 
-    Five-word shingles, similarity 0.8 or more. Of rows that share a doc_id one
-    stays, the least by text; rows without doc_id stay.
+    Five-word shingles, similarity 0.8 or more. Rows are compared each for its own text, also
+    where they share a doc_id; of equal rows with one doc_id one stays, rows without doc_id or without words stay.
     """
     small_batches(spark)
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("stays"), F.count("*").alias("rows"))
-    per_id = held(per_id.where("NOT stays OR rows > 1"))
-    rest = docs.join(per_id.where("NOT stays").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    several = per_id.where("stays").select("doc_id")
-    if several.limit(1).count():
-        least = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-        one = rest.join(several, "doc_id", "left_semi").withColumn("__row", F.row_number().over(least)).where("__row = 1").select(*COLUMNS)
-        rest = rest.join(several, "doc_id", "left_anti").select(*COLUMNS).union(one)
+    gone = held(minhash.to_drop(docs, shingle=5, percent=80).withColumnsRenamed({"id": "__id", "h": "__h"}))
+    here = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    rest = docs.join(gone.hint("merge"), here, "left_anti").select(*COLUMNS)
+    again = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h")).groupBy("__id", "__h").count().where("count > 1").select("__id", "__h")
+    again = held(again)
+    if again.limit(1).count():  # of rows with one doc_id and text the least by source, lang and n_chars stays
+        one = rest.join(again.hint("merge"), here, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+        rest = rest.join(again.hint("merge"), here, "left_anti").union(one.select("doc_id", "text", "r.lang", "r.source", "r.n_chars"))
     return rest
 
 
