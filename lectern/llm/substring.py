@@ -47,6 +47,8 @@ from .tables import held
 from .words import Words, mix, rolling, windows, words
 
 K, GRAM = 13, 5
+#: The texts' column: a name of its own, so that all joins below can share one shuffle of it.
+TEXT = "__text"
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -92,14 +94,14 @@ def _ints(x: np.ndarray) -> pa.Array:
 
 
 def texts_of(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, v and text: v tells the texts of one key apart and is 0 where the key has one text alone."""
-    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    hashes = rows.where("doc IS NOT NULL").select("doc", F.xxhash64("text").alias("h")).groupBy("doc").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    """doc, v and __text: v tells the texts of one key apart and is 0 where the key has one text alone."""
+    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias(TEXT))
+    hashes = rows.where("doc IS NOT NULL").select("doc", F.xxhash64(TEXT).alias("h")).groupBy("doc").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     several = held(hashes.where("low < high").select("doc"))
     if not several.limit(1).count():
-        return rows.select("doc", F.lit(0).cast("long").alias("v"), "text")
+        return rows.select("doc", F.lit(0).cast("long").alias("v"), TEXT)
     marked = rows.join(several.withColumn("several", F.lit(True)).hint("merge"), "doc", "left")
-    return marked.select("doc", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("v"), "text")
+    return marked.select("doc", F.when(F.col("several"), F.xxhash64(TEXT)).otherwise(F.lit(0)).cast("long").alias("v"), TEXT)
 
 
 _PATH = "m long, span long, doc long, v long, start int, size int, covered boolean, src_doc long, src_v long, src_start int"
@@ -134,7 +136,7 @@ def _path_rows(texts: DataFrame, k: int, gram: int) -> DataFrame:
                 _NAMES,
             )
 
-    return texts.where("doc IS NOT NULL").mapInArrow(found, _PATH)
+    return texts.mapInArrow(found, _PATH)
 
 
 _STEP = 1 << 16
@@ -181,7 +183,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(texts: DataFrame, *, k: int = K, gram: int = GRAM) -> DataFrame:
-    """Paths that repeat, of rows doc, v and text: doc, v, start, size (windows), covered, src_doc, src_v and src_start.
+    """Paths that repeat, of rows doc, v and __text: doc, v, start, size (windows), covered, src_doc, src_v and src_start.
 
     covered: all the path's windows start in the source document, which is smaller, too;
     the others are the first of their kind but branch, so that single windows may repeat.
@@ -217,6 +219,25 @@ def _window_rows(joined: DataFrame, k: int) -> DataFrame:
 _SPAN = "doc long, v long, start int, size int, src_doc long, src_v long, src_start int"
 
 
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows sorted by hashes, document and place, those that a smaller document has, with the first such as source."""
+    last = None
+    for batch in batches:
+        one, two, doc, v, start = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))
+        first = [x[at] for x in (doc, v, start)]
+        if last is not None and len(one) and last[:2] == (one[0], two[0]):  # the run goes on from the batch before
+            run = at == 0
+            for x, y in zip(first, last[2:], strict=True):
+                x[run] = y
+        if len(one):
+            last = (one[-1], two[-1], *(x[-1] for x in first))
+        hit = np.flatnonzero(doc > first[0])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(v[hit]), _ints(start[hit]), _ints(np.ones(len(hit))), pa.array(first[0][hit]), pa.array(first[1][hit]), _ints(first[2][hit])], [c.split()[0] for c in _SPAN.split(", ")])
+
+
 def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows doc, v and marks (start, size, src_doc, src_v, src_start) to spans: marks that go on where the last one ended, here and in the source, are one."""
     for batch in batches:
@@ -271,31 +292,32 @@ def _source_digests(joined: DataFrame, k: int) -> DataFrame:
 
 
 def spans(texts: DataFrame, *, k: int = K, gram: int = GRAM) -> DataFrame:
-    """Long repeated spans of rows doc, v and text, with the digest of the words at the source's coordinates."""
+    """Long repeated spans of rows doc, v and __text, with the digest of the words at the source's coordinates."""
     found = repeated(texts, k=k, gram=gram)
     mark = F.struct("start", "size", "src_doc", "src_v", "src_start")
     per_text = held(found.groupBy("doc", "v").agg(F.collect_set(F.when(F.col("covered"), mark)).alias("closed"), F.collect_set(F.when(~F.col("covered"), F.struct("start", "size"))).alias("open")))
     opened = per_text.where(F.size("open") > 0).select("doc", "v", "open")
-    single = _window_rows(texts.join(opened.hint("merge"), ["doc", "v"]).select("doc", "v", "text", "open"), k)
-    place = F.struct("doc", "v", "start")
-    least = single.groupBy("one", "two").agg(F.min(place).alias("src"), F.max("doc").alias("most")).where("src.doc < most").select(F.col("one").alias("o"), F.col("two").alias("t"), "src")
-    gone = single.join(least.hint("merge"), (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")) & (F.col("doc") > F.col("src.doc")))
-    gone = gone.groupBy("doc", "v").agg(F.collect_set(F.struct("start", F.lit(1).alias("size"), F.col("src.doc").alias("src_doc"), F.col("src.v").alias("src_v"), F.col("src.start").alias("src_start"))).alias("single"))
+    single = _window_rows(texts.join(opened.hint("merge"), ["doc", "v"]).select("doc", "v", TEXT, "open"), k)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gone = single.repartition(n, "one", "two").sortWithinPartitions("one", "two", "doc", "v", "start").mapInArrow(_again, _SPAN)
+    gone = gone.groupBy("doc", "v").agg(F.collect_set(F.struct("start", "size", "src_doc", "src_v", "src_start")).alias("single"))
     none = F.array().cast(per_text.schema["closed"].dataType)
     closed = per_text.where(F.size("closed") > 0).select("doc", "v", "closed")
     marks = closed.join(gone.hint("merge"), ["doc", "v"], "full").select("doc", "v", F.concat(F.coalesce("closed", none), F.coalesce("single", none)).alias("marks"))
-    long = held(marks.mapInArrow(_compacted, _SPAN))
+    long = marks.mapInArrow(_compacted, _SPAN)
     asked = long.select(F.col("src_doc").alias("doc"), F.col("src_v").alias("v"), "src_start", "size").distinct()
     asked = asked.groupBy("doc", "v", F.shiftright("src_start", 12).alias("part")).agg(F.collect_list(F.struct("src_start", "size")).alias("asked"))
-    true = _source_digests(texts.join(asked.hint("merge"), ["doc", "v"]).select("doc", "v", "text", "asked"), k)
+    true = _source_digests(texts.join(asked.hint("merge"), ["doc", "v"]).select("doc", "v", TEXT, "asked"), k)
     return long.join(true.hint("merge"), ["src_doc", "src_v", "src_start", "size"])
 
 
 def drop_repeated(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, gram: int = GRAM) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and kept, the words that stay joined by one blank."""
     texts = texts_of(documents, key, text)
-    per_text = spans(texts, k=k, gram=gram).groupBy("doc", "v").agg(F.collect_list(F.struct("start", "size", "digest")).alias("spans"))
-    joined = texts.join(per_text.hint("merge"), ["doc", "v"], "left").select("doc", "text", "spans")
+    known = texts.where("doc IS NOT NULL")
+    per_text = spans(known, k=k, gram=gram).groupBy("doc", "v").agg(F.collect_list(F.struct("start", "size", "digest")).alias("spans"))
+    joined = known.join(per_text.hint("merge"), ["doc", "v"], "left").select("doc", TEXT, "spans")
+    joined = joined.unionByName(texts.where("doc IS NULL").select("doc", TEXT), allowMissingColumns=True)
     schema = documents.select(F.col(key).cast("long").alias(key)).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
