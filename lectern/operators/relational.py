@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,17 +160,29 @@ def multiset_overlap(a: DataFrame, b: DataFrame, by: str, item: str) -> DataFram
 # ---- trees ----
 
 
-def closure(tree: DataFrame, node: str, parent: str, depth: int = 20) -> DataFrame:
-    """ancestor, node, depth: each node with itself and all above it; walks end at depth, so a cycle does no harm."""
+def hold(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that the cluster shares, and read from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.abspath("spark-warehouse/checkpoints"))
+    return df.checkpoint()
+
+
+def closure(tree: DataFrame, node: str, parent: str, depth: int | None = None) -> DataFrame:
+    """ancestor, node, depth: each node with itself and all above it, at any depth (or up to the one given); in a cycle every ancestor counts once, nearest first."""
     pairs = tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    step = pairs.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    out, up = step, pairs.select(F.col("node").alias("ancestor"), F.col("parent").alias("above"))
-    for d in range(1, depth + 1):
-        step = step.join(up, "ancestor").where("above IS NOT NULL").select("node", F.col("above").alias("ancestor"), F.lit(d).alias("depth"))
+    up = pairs.where("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("above"))
+    out = step = pairs.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    known = tree.select(F.col(node).alias("above")).distinct()
+    up = hold(up.join(known, "above", "left_semi"))
+    steps = 0
+    while depth is None or steps < depth:
+        higher = step.join(up, "ancestor").select(F.col("above").alias("ancestor"), "node", (F.col("depth") + 1).alias("depth"))
+        step = hold(higher.join(out, ["ancestor", "node"], "left_anti"))
         if not step.limit(1).count():
             break
-        out = out.unionByName(step)
-    return out.select("ancestor", "node", "depth")
+        out, steps = out.unionByName(step), steps + 1
+    return out
 
 
 def paths(tree: DataFrame, node: str, parent: str, name: str, sep: str = "/") -> DataFrame:

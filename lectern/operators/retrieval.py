@@ -119,9 +119,10 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_leg(vectors: DataFrame, query: DataFrame, *, key: str, vector: str, most: int = LEG) -> DataFrame:
     """The rows nearest to the one query vector (a DataFrame of one row): key, distance and rank."""
     asked = F.broadcast(query.select(F.col(vector).alias("__q")).limit(1))  # one row
-    near = vectors.where(F.col(vector).isNotNull()).join(asked, F.lit(True)).select(key, F.round(1 - cosine(F.col(vector), F.col("__q")), 6).alias("distance"))
+    near = vectors.where(F.col(vector).isNotNull()).join(asked, F.lit(True)).select(key, (1 - cosine(F.col(vector), F.col("__q"))).alias("distance"))
     best = near.orderBy("distance", key).limit(most)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # at most `most` rows
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # at most `most` rows
+    return ranked.withColumn("distance", F.round("distance", 6))  # ranked by the exact distance
 
 
 def fuse(legs: list[DataFrame], key: str, k: int = RRF) -> DataFrame:

@@ -116,8 +116,8 @@ def keyword_top50(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM embeddings, q)
-SELECT vec_id, distance, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM s ORDER BY rank LIMIT 50
+WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS exact FROM embeddings, q)
+SELECT vec_id, round(exact, 6) AS distance, CAST(row_number() OVER (ORDER BY exact, vec_id) AS INTEGER) AS rank FROM s ORDER BY rank LIMIT 50
 """)
 def vector_top50(spark: SparkSession, d: str) -> DataFrame:
     vectors = read(spark, d, "embeddings")
@@ -128,7 +128,7 @@ def vector_top50(spark: SparkSession, d: str) -> DataFrame:
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 h AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'and', 'of'))) AS hits FROM w WHERE list_has_all(w, ['the', 'and', 'of'])),
 k AS (SELECT doc_id, row_number() OVER (ORDER BY hits DESC, doc_id) AS rank FROM h ORDER BY rank LIMIT 50),
-q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS doc_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM embeddings, q),
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS doc_id, 1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS distance FROM embeddings, q),
 v AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS rank FROM s ORDER BY rank LIMIT 50)
 SELECT coalesce(k.doc_id, v.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + k.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0), 9) AS score FROM k FULL JOIN v ON k.doc_id = v.doc_id
 """)
@@ -161,11 +161,13 @@ def split_tts_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def search_library(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid search: chunks by words, documents by vector (their first chunk), fused and grouped."""
+    """Hybrid search over chunks by words and by vector, fused and grouped. Every chunk has a vector: chunks are dealt the stored ones in turn."""
     docs, vectors = read(spark, d, "documents"), read(spark, d, "embeddings")
     cut = chunks.chunk_texts(docs, keep=["doc_id", "lang", "source"]).withColumn("id", F.concat_ws(":", "doc_id", "seq"))
     words = retrieval.keyword_leg(cut, ASKED, key="id", text="text")
-    near = retrieval.vector_leg(vectors, vectors.where("vec_id = 0"), key="vec_id", vector="embedding").withColumn("id", F.concat_ws(":", "vec_id", F.lit(0)))
+    turn = (F.col("doc_id") * 7 + F.col("seq")) % F.lit(max(1, vectors.count()))
+    of_chunks = cut.select("id", turn.alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id")
+    near = retrieval.vector_leg(of_chunks, vectors.where("vec_id = 0"), key="id", vector="embedding")
     fused = retrieval.fuse([words, near.select("id", "rank")], "id")
     hits = cut.join(fused, "id").select("id", F.col("source").alias("book"), F.col("doc_id").alias("unit"), F.col("doc_id").cast("string").alias("file"), F.lit("chapter").alias("source"), F.col("lang").alias("language"), "text", "score", "char_start", "char_end", "page_start", "page_end")
     return retrieval.grouped(hits, ASKED).select("place", "id", "book", "unit", "language", F.round("score", 9).alias("score"), T.snippet(F.col("text")).alias("snippet"))

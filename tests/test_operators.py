@@ -1,10 +1,11 @@
 """Operators that SQL cannot express, against small cases worked out by hand."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import align, chunks, retrieval, structure
+from lectern.operators import align, chunks, library, reading, retrieval, structure
 from lectern.operators import relational as R
 from lectern.sources import html
 
@@ -137,3 +138,48 @@ def test_keyword_leg_by_cover_density(spark):
     assert ranks('"red fox"') == [2]
     assert ranks("red -fox") == [3]
     assert set(ranks("only or ran")) == {2, 3}
+
+
+def test_closure_has_no_depth_limit(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(26)], "id int, parent int")
+    assert R.closure(chain, "id", "parent").count() == 351
+    moves = spark.createDataFrame([(0, 25), (25, 0), (3, 3)], "node int, target int")
+    assert {(r["node"], r["target"]): r["allowed"] for r in R.allowed_moves(chain, "id", "parent", moves).collect()} == {(0, 25): False, (25, 0): True, (3, 3): False}
+    cycle = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, None), (5, 99)], "id int, parent int")
+    pairs = {(r["node"], r["ancestor"]): r["depth"] for r in R.closure(cycle, "id", "parent").collect()}
+    assert pairs == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (2, 2): 0, (2, 3): 1, (3, 3): 0, (3, 2): 1, (4, 4): 0, (5, 5): 0}
+
+
+def test_vectors_rank_by_exact_distance(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0005]), (2, [1.0, 0.0004]), (3, [0.0, 1.0])], "id int, v array<double>")
+    near = retrieval.vector_leg(rows, spark.createDataFrame([([1.0, 0.0],)], "v array<double>"), key="id", vector="v")
+    assert [r["id"] for r in near.orderBy("rank").collect()] == [2, 1, 3]
+
+
+def test_embedder_must_answer_every_text(spark):
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(40)], "id int, text string")
+    assert library.embedded(rows, "id", "text", lambda ts: [[float(len(t))] for t in ts]).count() == 40
+    with pytest.raises(Exception, match="gave 1 vectors"):
+        library.embedded(rows, "id", "text", lambda ts: [[1.0]]).count()
+
+
+def test_append_rows_in_batches(spark, tmp_path):
+    library.append_rows(spark.range(450).coalesce(1), str(tmp_path / "t"))
+    library.append_rows(spark.range(5).coalesce(1), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 455 and len(list((tmp_path / "t").glob("part-*"))) == 4
+
+
+def test_reading_edge_cases(spark):
+    texts = spark.createDataFrame([(1, 'One. "Two!" three\n\nand four.\n\nFive'), (2, ""), (3, None)], "id int, text string")
+    got = [(r["id"], r["start"], r["end"], r["sentence"]) for r in reading.sentences(texts, ["id"], "text").orderBy("id", "number").collect()]
+    assert got == [(1, 0, 4, "One."), (1, 5, 11, '"Two!"'), (1, 12, 28, "three\n\nand four."), (1, 30, 34, "Five")]
+    assert [(r["id"], r["token"]) for r in reading.tokens(texts, ["id"], "text").where("id <= 2").collect()] == [(i + 1, w) for i, w in enumerate("One Two three and four Five".split())]
+    print_ = spark.createDataFrame([("a",), ("",), ("é😀",)], "t string").select(reading.fingerprint(F.col("t")).alias("f"))
+    assert [r["f"] for r in print_.collect()] == ["1-e40c292c", "0-811c9dc5", "3-%x" % _fnv([0xE9, 0xD83D, 0xDE00])]
+
+
+def _fnv(units):
+    h = 2166136261
+    for u in units:
+        h = (h ^ u) * 16777619 & 0xFFFFFFFF
+    return h
