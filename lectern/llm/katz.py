@@ -19,8 +19,8 @@ and the held-out tokens that back off meet in a second shuffle, by history; the
 sums of each document meet by document.  Counts of counts travel with the blocks, so that
 every discount rests on all of the corpus.
 
-Defined results: a null or empty text has the end token only; rows that share a
-key are parts of one document, each with its end, and are added up; a null key is left out; with no training document every token is
+Defined results: a null or empty text has the end token only; each row is scored for itself, also where rows share a
+key or have none (rows equal in key and text get the same scores, and each teaches); with no training document every token is
 unknown with probability 1; an empty table gives an empty result; other columns
 are not read.
 """
@@ -297,11 +297,22 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
 
     train: which documents the model learns from, a condition on key.
     """
-    rows = documents.select(F.col(key).cast("long").alias("id"), train.alias("train"), F.col(text).alias("text")).where("id IS NOT NULL")
+    own = F.col(key).cast("long")
+    several = documents.select(own.alias("id")).groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).count() > 0
+    # rows are named by their key where that tells them apart, else by key and text together
+    name = F.xxhash64(key, text) if several else own
+    rows = documents.select(name.alias("id"), train.alias("train"), F.col(text).alias("text"))
     model = count_unigrams(rows, frequent)
     buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = _token_blocks(rows, model, buckets)
     sums = tokens.groupBy("bucket").applyInPandas(_sums(model, buckets), "bucket int, kind string, block binary")
     parts = sums.groupBy("bucket").applyInPandas(_finish, "id long, base double, score double, tokens long, known long")
-    out = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("base", "score", "tokens", "known")]).withColumnRenamed("id", key)
+    out = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("base", "score", "tokens", "known")])
+    if several:
+        named = documents.select(F.col(key), name.alias("name"))
+        copies = named.groupBy("name").agg(F.count("*").alias("copies"))
+        each = out.join(copies, out["id"] == copies["name"]).select("name", *[(F.col(c) / F.col("copies")).cast(out.schema[c].dataType).alias(c) for c in ("base", "score", "tokens", "known")])
+        out = named.join(each, "name").drop("name")
+    else:
+        out = out.withColumnRenamed("id", key)
     return out.select(key, train.alias("train"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -170,4 +170,4 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, learn_from: Column
         taught = taught.where(F.col(c).isin(0, 1))
     sample = bounded_sample(taught, key, options.pop("max_rows", MAX_ROWS), 7)
     chain = train(documents.select(key, text).join(F.broadcast(sample), key), key, text, list(categories), **options)
-    return score(documents, chain, text, list(names), keep=[key])
+    return score(documents, chain, text, list(names), keep=[key], bits=options.get("bits", BITS))

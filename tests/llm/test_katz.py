@@ -77,8 +77,9 @@ def test_against_plain(spark, frequent):
 def test_edge_cases(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert katz.katz_scores(empty, F.lit(True)).count() == 0
-    df = spark.createDataFrame([(1, "a b", "", ""), (1, "a", "", ""), (None, "a", "", "")], SCHEMA)
-    (row,) = katz.katz_scores(df, F.lit(True)).collect()
-    assert (row["doc_id"], row["n_tokens"], row["train_tokens"]) == (1, 5, 5)
-    (row,) = katz.katz_scores(df, F.lit(False)).collect()
-    assert row["train_tokens"] == 0 and row["score"] == 0 and row["n_known"] == 0
+    df = spark.createDataFrame([(1, "a b", "", ""), (1, "a", "", ""), (1, "a", "", ""), (None, "a", "", ""), (None, None, "", "")], SCHEMA)
+    got = sorted(katz.katz_scores(df, F.lit(True)).collect(), key=lambda r: (r["n_tokens"], str(r["doc_id"])))
+    assert [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got] == [(None, 1, 1, 10), (1, 2, 2, 10), (1, 2, 2, 10), (None, 2, 2, 10), (1, 3, 3, 10)]
+    assert got[1]["score"] == got[2]["score"] == pytest.approx(got[3]["score"]) and got[1]["base_score"] == pytest.approx(math.log10(5 / 14) + math.log10(6 / 14))
+    got = katz.katz_scores(df, F.lit(False)).collect()
+    assert len(got) == 5 and all(r["train_tokens"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in got)
