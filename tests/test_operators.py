@@ -170,10 +170,10 @@ def test_append_rows_in_batches(spark, tmp_path):
 
 
 def test_reading_edge_cases(spark):
-    texts = spark.createDataFrame([(1, 'One. "Two!" three\n\nand four.\n\nFive'), (2, ""), (3, None)], "id int, text string")
-    got = [(r["id"], r["start"], r["end"], r["sentence"]) for r in reading.sentences(texts, ["id"], "text").orderBy("id", "number").collect()]
+    texts = spark.createDataFrame([(1, 'One. "Two!" three\n\nand four.\n\nFive'), (2, ""), (3, None)], "doc int, text string")
+    got = [(r["doc"], r["start"], r["end"], r["sentence"]) for r in reading.sentences(texts, ["doc"], "text").orderBy("doc", "number").collect()]
     assert got == [(1, 0, 4, "One."), (1, 5, 11, '"Two!"'), (1, 12, 28, "three\n\nand four."), (1, 30, 34, "Five")]
-    assert [(r["id"], r["token"]) for r in reading.tokens(texts, ["id"], "text").where("id <= 2").collect()] == [(i + 1, w) for i, w in enumerate("One Two three and four Five".split())]
+    assert [(r["id"], r["token"]) for r in reading.tokens(texts, ["doc"], "text").orderBy("doc", "id").collect()] == [(i + 1, w) for i, w in enumerate("One Two three and four Five".split())]
     print_ = spark.createDataFrame([("a",), ("",), ("é😀",)], "t string").select(reading.fingerprint(F.col("t")).alias("f"))
     assert [r["f"] for r in print_.collect()] == ["1-e40c292c", "0-811c9dc5", "3-%x" % _fnv([0xE9, 0xD83D, 0xDE00])]
 
