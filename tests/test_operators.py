@@ -83,16 +83,66 @@ def test_expand_passages(spark):
     assert r["text"] == "abcdefghijklmn\n\nxyz" and (r["char_start"], r["char_end"]) == (0, 23)
 
 
-def test_boundaries():
+def found_boundaries(spark, rows):
+    frame = spark.createDataFrame([(1, i, b["text"], b["page"], b["included"], b["type"], b["level"]) for i, b in enumerate(rows)], "unit int, block int, text string, page int, included boolean, type string, level int")
+    found = structure.detect_boundaries(frame, "unit").orderBy("block").collect()
+    return [r["block"] for r in found], found[0]["method"] if found else "none"
+
+
+def test_boundaries(spark):
     block = lambda text, page, kind="Text", level=1: {"text": text, "page": page, "included": True, "type": kind, "level": level}
     body = [b for n in range(1, 5) for b in (block(f"Chapter {n}", n * 5, "SectionHeader"), block("some words " * 20, n * 5))]
     contents = [block(f"Chapter {n}", 1, "SectionHeader") for n in range(1, 5)]
-    assert structure.boundaries(contents + body) == ([4, 6, 8, 10], "numbered-headings")
+    assert found_boundaries(spark, contents + body) == ([4, 6, 8, 10], "numbered-headings")
     levels = [b for t in ("A long heading", "Another long heading") for b in (block(t, 2, "SectionHeader"), block("x y z", 2))]
-    assert structure.boundaries(levels) == ([0, 2], "heading-levels")
-    assert structure.boundaries([block("x", 1)]) == ([], "none")
+    assert found_boundaries(spark, levels) == ([0, 2], "heading-levels")
+    assert found_boundaries(spark, [block("x", 1)]) == ([], "none")
     assert structure.longest_rising([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5]
-    assert structure.number_of("XIV") == 14 and structure.number_of("12") == 12
+    assert one(spark, T.roman, "XIV") == 14 and one(spark, T.roman, "12") == 12
+
+
+def slow_align(model, seen, local):
+    """The best total by trying every way, with memory."""
+    from functools import cache
+
+    a, b = [align.word_key(w) for w in model], [align.word_key(w) for w, _ in seen]
+
+    @cache
+    def best(i, j):
+        if i == 0:
+            return 0.0 if local else align.GAP * j
+        ways = [best(i - 1, j) + align.GAP]
+        if j:
+            s = align.similarity(a[i - 1], b[j - 1])
+            ways += [best(i, j - 1) + align.GAP, *([best(i - 1, j - 1) + s] if s >= align.MATCH else [])]
+        if j > 1 and b[j - 2] and b[j - 1]:
+            hyphen = seen[j - 2][0][-1:] in align._HYPHENS
+            s = align.similarity(a[i - 1], b[j - 2] + b[j - 1])
+            if (hyphen or seen[j - 2][1] == seen[j - 1][1]) and (s == 1 or (s >= align.MATCH and hyphen)):
+                ways.append(best(i - 1, j - 2) + s)
+        return max(ways)
+
+    return max(best(len(a), j) for j in range(len(b) + 1)) if local else best(len(a), len(b))
+
+
+def test_word_alignment_has_the_best_total():
+    draw = np.random.default_rng(4)
+    words = ["the", "cat", "mat", "con-", "tract", "contract", "sat", "—", "houses", "house"]
+    for trial in range(60):
+        model = [words[k] for k in draw.integers(0, len(words), draw.integers(1, 7))]
+        seen = [(words[k], int(draw.integers(0, 2))) for k in draw.integers(0, len(words), draw.integers(1, 8))]
+        local = bool(trial % 2)
+        found = align.align_words(model, seen, local)
+        at = [(i, two) for i, two, _ in found if i is not None]
+        assert [i for i, _ in at] == sorted({i for i, _ in at})
+        used = sum(2 if two else 1 for _, two in at)
+        if local and at:
+            first, last = at[0][0], at[-1][0] + (2 if at[-1][1] else 1)
+            skipped = last - first - used
+        else:
+            skipped = 0 if local else len(seen) - used
+        total = sum(s for i, _, s in found if i is not None) + align.GAP * (sum(i is None for i, _, _ in found) + skipped)
+        assert total >= slow_align(model, seen, local) - 1e-6
 
 
 def test_alignment():
