@@ -74,6 +74,14 @@ def tokens(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, number.cast("int").alias("id"), F.col("at").alias("start"), (F.col("at") + F.length("piece")).cast("long").alias("end"), F.col("piece").alias("token"))
 
 
+def under_anchors(words: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, anchor, ids and text: the tokens (id, start, end, token) that an anchor's span (from, to) touches, in order."""
+    met = words.join(anchors, keys).where((F.col("start") < F.col("to")) & (F.col("end") > F.col("from")))
+    parts = F.array_sort(F.collect_list(F.struct("id", "token")))
+    rows = met.groupBy(*keys, "anchor").agg(parts.alias("p"))
+    return rows.select(*keys, "anchor", F.transform("p", lambda t: t["id"]).alias("ids"), F.array_join(F.transform("p", lambda t: t["token"]), " ").alias("text"))
+
+
 # ---- cues ----
 
 

@@ -160,6 +160,17 @@ def validate_bilingual(spark: SparkSession, d: str) -> DataFrame:
     return L.violations(pairs, "unit", "pos")
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'system'), r AS (
+  SELECT conv_id, turn, i, 0 AS batch, n AS held FROM p WHERE i = 1
+  UNION ALL SELECT p.conv_id, p.turn, p.i, r.batch + CAST(r.held > 0 AND r.held + p.n > 800 AS INTEGER), CASE WHEN r.held > 0 AND r.held + p.n > 800 THEN p.n ELSE r.held + p.n END FROM r JOIN p ON p.conv_id = r.conv_id AND p.i = r.i + 1
+) SELECT conv_id, turn, batch FROM r
+""")
+def link_batches(spark: SparkSession, d: str) -> DataFrame:
+    pairs = read(spark, d, "conversations").where("role <> 'system'").withColumn("n", F.length("text"))
+    return L.link_batches(pairs, "conv_id", "turn", "n", most=800)
+
+
 @query("""
 SELECT o_orderkey AS chapter, coalesce(nullif(o_orderpriority, '1-URGENT'), 'chapter ' || o_orderkey) AS title, max(l_linestatus) AS state, count(*) AS variants FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND l_returnflag = 'R' AND trim(l_linestatus) <> '' GROUP BY 1, 2
 """)

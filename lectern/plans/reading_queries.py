@@ -105,6 +105,19 @@ def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("start >= 20 AND `end` <= 120").select("conv_id", "turn", "id", "token", after.alias("after"))
 
 
+@query(rf"""
+WITH m AS (SELECT conv_id, turn, string_split(regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', '{G.CUT}\1{G.CUT}', 'g'), '{G.CUT}') AS t FROM conversations), u AS (SELECT conv_id, turn, unnest(t) AS token, unnest(range(len(t))) AS pos FROM m),
+v AS (SELECT *, coalesce(sum(length(token)) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u), a AS (SELECT unnest(range(3)) AS anchor)
+SELECT conv_id, turn, CAST(anchor AS BIGINT) AS anchor, string_agg(pos // 2 + 1, ',' ORDER BY pos) AS ids, string_agg(token, ' ' ORDER BY pos) AS text FROM v, a WHERE pos % 2 = 1 AND start < anchor * 40 + 25 AND start + length(token) > anchor * 40 + 10 GROUP BY ALL
+""")
+def word_highlight(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens under three anchors of each turn."""
+    turns = read(spark, d, "conversations")
+    anchors = turns.select("conv_id", "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("anchor")).withColumns({"from": F.col("anchor") * 40 + 10, "to": F.col("anchor") * 40 + 25})
+    rows = G.under_anchors(G.tokens(turns, ["conv_id", "turn"], "text"), anchors, ["conv_id", "turn"])
+    return rows.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
 # ---- cues ----
 
 _WORDS = "w AS (SELECT user_id AS unit, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id * 400 AS s, event_id * 400 + 300 AS e, event_type || CASE WHEN event_type = 'error' THEN '.' ELSE '' END AS t, event_type = 'error' AS closing FROM events)"
