@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library_queries, module_queries, reading_queries, relational_queries, text_queries
+from . import edit_queries, library_queries, module_queries, reading_queries, relational_queries, text_queries
 
 FLAGSHIP = "search_library"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational_queries.Q, **text_queries.Q, **module_queries.Q, **reading_queries.Q, **library_queries.Q}
-ORACLE_SQL: dict[str, str] = {**relational_queries.SQL, **text_queries.SQL, **module_queries.SQL, **reading_queries.SQL, **library_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational_queries.Q, **text_queries.Q, **module_queries.Q, **reading_queries.Q, **library_queries.Q, **edit_queries.Q}
+ORACLE_SQL: dict[str, str] = {**relational_queries.SQL, **text_queries.SQL, **module_queries.SQL, **reading_queries.SQL, **library_queries.SQL, **edit_queries.SQL}

@@ -233,3 +233,25 @@ def _fnv(units):
     for u in units:
         h = (h ^ u) * 16777619 & 0xFFFFFFFF
     return h
+
+
+def test_links_and_places_after_edits(spark):
+    from lectern.operators import edits
+    from lectern.streaming.clicks import clicks
+
+    responses = spark.createDataFrame([(1, "p1: 1 = 2\n p2: - \np1: 2 = 1"), (2, "p1: 9 = 1"), (3, None), (4, "hello")], "unit int, raw string")
+    pairs = spark.createDataFrame([(u, p, [1, 2], [1, 2]) for u, p in [(1, "p1"), (1, "p2"), (1, "p3"), (2, "p1"), (3, "p1"), (4, "p1")]], "unit int, pair string, source array<int>, target array<int>")
+    got = {(r["unit"], r["pair"]): (r["error"], [(x["source"], x["target"]) for x in r["links"] or []]) for r in edits.parsed_links(responses, pairs, "unit").collect()}
+    assert got == {(1, "p1"): (None, [([1], [2]), ([2], [1])]), (1, "p2"): (None, []), (1, "p3"): ("missing", []), (2, "p1"): ("token", []), (3, "p1"): ("missing", []), (4, "p1"): ("unknown pair", [])}
+    # a refrain: the second chapter that says it is found at its second place, one that is gone nowhere
+    blocks = spark.createDataFrame([(1, i, t, None, True) for i, t in enumerate(["la la", "one", "la  la", "two", ""])], "unit int, pos int, text string, page int, included boolean")
+    saved = spark.createDataFrame([(1, 0, 0, "lala", None, None), (1, 0, 1, "one", None, True), (1, 1, 0, "la la", None, True), (1, 2, 0, "three", None, True), (1, 3, 0, "two", None, False), (2, 0, 0, "one", None, True)], "unit int, chapter int, pos int, text string, page int, included boolean")
+    rows = edits.located_chapters(blocks, saved, "unit", "chapter", "pos").collect()
+    assert {(r["unit"], r["chapter"]): (r["start"], r["end"]) for r in rows} == {(1, 0): (0, 2), (1, 1): (2, 3), (1, 2): (None, None), (1, 3): (None, None), (2, 0): (None, None)}
+    # a joined page loses its first block and the next one's first word; its last word grows
+    old = spark.createDataFrame([(1, 0, "hy", [(0, 2)]), (1, 1, "phen then more", [(0, 4), (5, 9), (10, 14)])], "unit int, pos int, text string, words array<struct<start:long,end:long>>")
+    joined = spark.createDataFrame([(1, 1, "then moreover"), (2, 0, None)], "unit int, pos int, text string")
+    rows = edits.shifted_words(old, joined, "unit", "pos", "text", "words").collect()
+    assert {r["unit"]: [tuple(w) for w in r["words"]] for r in rows} == {1: [(0, 4), (5, 13)], 2: []}
+    requests = spark.createDataFrame([("GET", "http://x/?a=1&from=a%2Bb#from=z", None, "r", None), ("HEAD", "http://x/", "BG", None, "q"), ("GET", None, "BG", None, "q"), ("GET", "http://x/#?from=z", "BG", "r", "q")], "method string, url string, country string, referer string, agent string")
+    assert sorted(map(tuple, clicks(requests).select("country", "source", "agent").collect())) == [("??", "a+b", ""), ("BG", "", "q"), ("BG", "r", "q")]
