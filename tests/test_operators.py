@@ -255,3 +255,16 @@ def test_links_and_places_after_edits(spark):
     assert {r["unit"]: [tuple(w) for w in r["words"]] for r in rows} == {1: [(0, 4), (5, 13)], 2: []}
     requests = spark.createDataFrame([("GET", "http://x/?a=1&from=a%2Bb#from=z", None, "r", None), ("HEAD", "http://x/", "BG", None, "q"), ("GET", None, "BG", None, "q"), ("GET", "http://x/#?from=z", "BG", "r", "q")], "method string, url string, country string, referer string, agent string")
     assert sorted(map(tuple, clicks(requests).select("country", "source", "agent").collect())) == [("??", "a+b", ""), ("BG", "", "q"), ("BG", "r", "q")]
+
+
+def test_clicks_are_appended_once(spark, tmp_path):
+    from lectern.streaming.clicks import append_clicks
+
+    schema = "method string, url string, country string, referer string, agent string"
+    made, out, marks = (str(tmp_path / n) for n in ("requests", "clicks", "marks"))
+    for country in ("BG", "DE"):
+        spark.createDataFrame([("GET", "http://x/?from=mail", country, None, "a"), ("HEAD", "http://x/", country, None, "a")], schema).write.mode("append").parquet(made)
+        for _ in range(2):  # a restart without new requests adds nothing
+            append_clicks(spark.readStream.schema(schema).parquet(made), out, marks, availableNow=True).awaitTermination(60)
+    rows = spark.read.parquet(out).select("country", "source", "agent").collect()
+    assert sorted(map(tuple, rows)) == [("BG", "mail", "a"), ("DE", "mail", "a")]
