@@ -1,21 +1,22 @@
-"""Katz backoff language model over word pairs: counting, discounting and scoring.
+"""Katz backoff language model over n-grams of a given order: counting, discounting and scoring.
 
-p(w | h) = d(c(h, w)) * c(h, w) / (c(h) + 1)   if the pair was met in training
-         = alpha(h) * p(w)                      otherwise
-p(w)     = d1(c(w)) * c(w) / (N + 1)            if the word was met in training
-         = 1 - all of the above                 for all unknown words together
+p_k(w | h) = d_k(c(h, w)) * c(h, w) / (c(h) + 1)   if the n-gram of length k was met in training
+           = alpha(h) * p_(k-1)(w | h less its first word)   otherwise
+p_1(w)     = d_1(c(w)) * c(w) / (N + 1)            if the word was met in training
+           = 1 - all of the above                  for all unknown words together
 
-d and d1 are Good-Turing (Katz) discounts for counts up to 5, from all counts of counts.
+The d are Good-Turing (Katz) discounts for counts up to 5, from all counts of counts of that length.
 One pseudo-count for each history keeps something for unmet words even where no
-count is discounted; alpha(h) is exactly what is left divided by the probability of the
+count is discounted; alpha(h) is exactly what is left divided by the shorter n-grams' probability of the
 words not met after h, so each history's probabilities add up to 1.  A history that was not met
-backs off to p(w) at once.  The history of a text's first word is a start mark.
+backs off at once.  The history of a text's first word is start marks.
 
-How it runs: pairs are counted where they are scored.  Tokens go to tables partitioned
+How it runs: n-grams are counted where they are scored.  Tokens go to tables partitioned
 by word (by pair for the most common words, at most ``frequent``, whose counts are a bounded broadcast table),
-packed in compressed column blocks; each partition counts its words and pairs over training documents and
-scores its tokens.  What a history has left over needs sums over its partitions: these
-and the held-out tokens that back off meet in a second shuffle, by history; the
+packed in compressed column blocks, so that all n-grams that end alike meet; each partition counts its n-grams of all lengths over
+training documents and scores its tokens as far as their longest n-gram met.  What a history has left over needs sums over its partitions: these
+and the held-out tokens that back off meet in a second shuffle, by the history's last word (last two where that one is common), where
+also the shorter history's count is; the recursion is a sum over the lengths backed off from.  The
 sums of each document meet by document.  Counts of counts travel with the blocks, so that
 every discount rests on all of the corpus.
 
@@ -39,10 +40,12 @@ from pyspark.sql import functions as F
 from .tables import held
 from .words import mix, words
 
+ORDER = 3
 FREQUENT = 65_000
 DISCOUNTED = 5
 START, END = 0, 1  # symbols; the frequent words follow, and then all others by hash
 _RARE = np.uint64(1 << 63)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens packed at a time.
 STEP = 1_500_000
 
@@ -129,6 +132,11 @@ def count_unigrams(df: DataFrame, frequent: int) -> Unigrams:
     return Unigrams(total or 0, types, np.array([0, *n]), ends or 0, [(r["w"], r["c"]) for r in top])
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _pack_symbols(x: np.ndarray) -> tuple[np.ndarray, ...]:
     rare = x >= _RARE
     return np.packbits(rare), x[~rare].astype(np.uint16 if len(x) == 0 or x[~rare].max(initial=0) < 1 << 16 else np.uint32), x[rare]
@@ -141,23 +149,22 @@ def _unpack_symbols(n: int, bits: np.ndarray, small: np.ndarray, rare: np.ndarra
     return x
 
 
-def _token_blocks(df: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
-    """bucket, block: the tokens (word, history, document) of rows id, train, text."""
+def _token_blocks(df: DataFrame, model: Unigrams, buckets: int, order: int) -> DataFrame:
+    """bucket, block: the tokens (word, the order - 1 words before it, document) of rows id, train, text."""
 
     def flush(parts: list[tuple[np.ndarray, ...]], ids: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
-        w, h, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = (mix(np.where(w < _RARE, w * np.uint64(0x9E3779B97F4A7C15) + h, w)) % np.uint64(buckets)).astype(np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        w, doc, *hs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = (mix(np.where(w < _RARE, w * _SPREAD + hs[0], w)) % np.uint64(buckets)).astype(np.uint32)
+        by_bucket = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         which, blocks = [], []
         for b in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[b] : cuts[b + 1]]
-            at = at[np.lexsort((h[at], w[at]))]
+            at = by_bucket[cuts[b] : cuts[b + 1]]
+            at = at[np.lexsort((hs[0][at], w[at]))]
             heads = np.flatnonzero(np.append(True, w[at][1:] != w[at][:-1]))
             runs = np.diff(np.append(heads, len(at))).astype(np.uint32)
             docs, place = np.unique(doc[at], return_inverse=True)
-            place = place.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32)
-            blocks.append(pack(w[at][heads], runs, *_pack_symbols(h[at]), place, ids[docs], train[docs]))
+            blocks.append(pack(w[at][heads], runs, _small(place), ids[docs], train[docs], *(x for h in hs for x in _pack_symbols(h[at]))))
             which.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.array(which, np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
@@ -169,17 +176,20 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
             train.append(batch.column(1).to_numpy(zero_copy_only=False))
             for x in words(batch.column(2), lower=True):
                 s = model.symbols(x.hashes())
-                # each text: its words and an end; histories are these moved by one
+                # each text: its words and an end; histories are these moved by one, two ...
                 n = np.diff(x.first) + 1
                 w = np.full(len(s) + len(n), END, np.uint64)
                 ends = np.cumsum(n) - 1
                 inner = np.ones(len(w), bool)
                 inner[ends] = False
                 w[inner] = s
-                h = np.empty_like(w)
-                h[1:] = w[:-1]
-                h[ends - n + 1] = START
-                parts.append((w, h, np.repeat(np.arange(x.lo, x.hi) + base, n)))
+                place = np.arange(len(w)) - np.repeat(ends - n + 1, n)
+                hs = []
+                for back in range(1, order):
+                    h = np.full_like(w, START)
+                    h[back:] = np.where(place[back:] >= back, w[:-back], np.uint64(START))
+                    hs.append(h)
+                parts.append((w, np.repeat(np.arange(x.lo, x.hi) + base, n), *hs))
                 size += len(w)
             if size >= STEP:
                 yield from flush(parts, np.concatenate(ids), np.concatenate(train))
@@ -190,63 +200,95 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int) -> DataFrame:
     return df.select("id", "train", "text").mapInArrow(found, "bucket int, block binary")
 
 
-def _sums(model: Unigrams, buckets: int):
+def _contexts(hs: list[np.ndarray]) -> list[np.ndarray]:
+    """A number for the last 1, 2 ... words of a history: the symbol itself for one word, a hash for more."""
+    out = [hs[0]]
+    for h in hs[1:]:
+        out.append(mix(out[-1] * _SPREAD + h) | _RARE)
+    return out
+
+
+def _home(hs: list[np.ndarray]) -> np.ndarray:
+    """Where a history's sums meet: by its last word, or its last two if that one is common and there are two."""
+    return mix(hs[0]) if len(hs) == 1 else mix(np.where(hs[0] < _RARE, hs[0] * _SPREAD + hs[1], hs[0]))
+
+
+def _by_value(at: np.ndarray, c: np.ndarray, n: int) -> list[np.ndarray]:
+    """For r = 1..5: how often c is r at each of n places."""
+    return [_small(np.bincount(at[c == r], minlength=n)) for r in range(1, DISCOUNTED + 1)]
+
+
+def _sums(model: Unigrams, buckets: int, order: int):
     """One bucket's tokens to blocks for the second shuffle: by document, by history, and counts of counts for all."""
-    logs = np.log10(np.maximum(model.counts, 0) + 1.0)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ws, hs, docs, ids, trains, base = [], [], [], [], [], 0
+        ws, hss, docs, ids, trains, base = [], [], [], [], [], 0
         for block in group["block"]:
-            vals, runs, bits, small, rare, place, i, t = unpack(block)
+            vals, runs, place, i, t, *packed = unpack(block)
             ws.append(np.repeat(vals, runs))
-            hs.append(_unpack_symbols(len(ws[-1]), bits, small, rare))
-            docs.append(place.astype(np.int64) + base)
+            hss.append([_unpack_symbols(len(ws[-1]), *packed[3 * j : 3 * j + 3]) for j in range(order - 1)])
+            docs.append(place.astype(np.int32) + np.int32(base))
             ids.append(i)
             trains.append(t)
             base += len(i)
-        w, h, doc, ids, train = (np.concatenate(x) for x in (ws, hs, docs, ids, trains))
-        del ws, hs, docs, trains
-        order = np.lexsort((h, w))
-        w, h, doc = w[order], h[order], doc[order]
-        taught = train[doc]
-        new_w = np.append(True, w[1:] != w[:-1])
-        new = new_w | np.append(True, h[1:] != h[:-1])
-        heads, w_heads = np.flatnonzero(new), np.flatnonzero(new_w)
-        pair, word = np.cumsum(new) - 1, np.cumsum(new_w) - 1
-        c_pair = np.add.reduceat(taught, heads, dtype=np.int64)
-        common = w[w_heads] < _RARE
-        c_word = np.add.reduceat(taught, w_heads, dtype=np.int64)
-        c_word[common] = model.counts[w[w_heads][common].astype(np.int64)]
-        p_word = model.p(c_word)
-        cp, seen = c_pair[pair], c_pair[pair] > 0
-        # what is known of the score here: the pair's count, the unmet word, the history's count
-        part = np.where(cp > DISCOUNTED, np.log10(np.maximum(cp, 1)), 0.0)
-        part[~seen] += np.log10(p_word[word[~seen]])
-        near = h < _RARE
-        part[near] -= np.where(model.counts > 0, logs, 0.0)[h[near].astype(np.int64)]
-        lone = ~common & (c_word > 0)
-        part -= np.where(lone, np.log10(c_word + 1.0), 0.0)[word]  # a rare word as the next token's history
+        w, doc, ids, train = (np.concatenate(x) for x in (ws, docs, ids, trains))
+        hs = [np.concatenate(x) for x in zip(*hss, strict=True)]
+        del ws, hss, docs, trains
+        at = np.lexsort((*reversed(hs), w))
+        w, doc, hs = w[at], doc[at], [h[at] for h in hs]
+        del at
         ids, local = np.unique(ids, return_inverse=True)
-        doc = local[doc]
-        n = len(ids)
-        sums = [np.bincount(doc, model.base(c_word)[word], n), np.bincount(doc, part, n), np.bincount(doc, minlength=n), np.bincount(doc, c_word[word] > 0, n).astype(np.int64)]
-        sums += [np.bincount(doc[cp == r], minlength=n) for r in range(1, DISCOUNTED + 1)]
-        sums[2:] = [x.astype(np.uint32) for x in sums[2:]]
-        out = _dealt("d", mix(ids.view(np.uint64)), buckets, ids, *sums)
-        # by history: types of each count up to 5, and p of all words met after it
-        met = c_pair > 0
-        hh, hc, hp = h[heads][met], c_pair[met], p_word[word[heads][met]]
-        keys, at = np.unique(hh, return_inverse=True)
-        held_ = [np.bincount(at[hc == r], minlength=len(keys)).astype(np.uint32) for r in range(1, DISCOUNTED + 1)]
-        out += _dealt("h", mix(keys), buckets, keys, np.bincount(at, hp, len(keys)), *held_)
-        lost = np.flatnonzero(~seen)
-        if len(lost):
-            o = np.lexsort((doc[lost], h[lost]))
-            lost = lost[o]
-            first = np.append(True, (h[lost][1:] != h[lost][:-1]) | (doc[lost][1:] != doc[lost][:-1]))
-            many = np.diff(np.append(np.flatnonzero(first), len(lost))).astype(np.uint32)
-            out += _dealt("u", mix(h[lost][first]), buckets, h[lost][first], ids[doc[lost][first]], many)
-        counts = pack(np.bincount(np.minimum(hc, DISCOUNTED + 2), minlength=DISCOUNTED + 3))
+        taught, doc, n = train[doc], local.astype(np.int32)[doc], len(ids)
+        # for each length: where its n-grams begin, each token's n-gram, and how often training has it
+        heads, gram, count = [], [], []
+        new = np.append(True, w[1:] != w[:-1])
+        for k in range(order):
+            if k:
+                new[1:] |= hs[k - 1][1:] != hs[k - 1][:-1]
+            heads.append(np.flatnonzero(new))
+            gram.append(np.cumsum(new, dtype=np.int32) - 1)
+            count.append(np.add.reduceat(taught, heads[-1], dtype=np.int64))
+        word = w[heads[0]]
+        common = word < _RARE
+        count[0][common] = model.counts[word[common].astype(np.int64)]
+        p_word = model.p(count[0])
+        # known here of the score: the longest n-gram met, and the count of the next token's history
+        c = count[-2][gram[-2]]
+        part = np.where((c > 0) & (w != END), -np.log10(c + 1.0), 0.0)
+        part[hs[0] == START] -= np.log10(model.counts[0] + 1.0)
+        sums = [np.bincount(doc, model.base(count[0])[gram[0]], n), None, _small(np.bincount(doc, minlength=n)), _small(np.bincount(doc, count[0][gram[0]] > 0, n).astype(np.int64))]
+        out, open_ = [], np.arange(len(w))  # the tokens that no longer n-gram has matched
+        for k in range(order - 1, 0, -1):
+            c = count[k][gram[k][open_]]
+            part[open_] += np.where(c > DISCOUNTED, np.log10(np.maximum(c, 1)), 0.0)
+            sums += _by_value(doc[open_], c, n)
+            # tokens that back off from a history, or rest on a shorter one
+            asks = open_[c == 0] if k == order - 1 else open_
+            if len(asks):
+                mine = [h[asks] for h in hs[:k]]
+                key, whose, lost = _contexts(mine)[-1], doc[asks], count[k][gram[k][asks]] == 0
+                o = np.lexsort((whose, key))
+                first = np.flatnonzero(np.append(True, (key[o][1:] != key[o][:-1]) | (whose[o][1:] != whose[o][:-1])))
+                size = np.diff(np.append(first, len(o)))
+                out += _dealt(f"u{k}", _home(mine)[o][first], buckets, key[o][first], ids[whose[o][first]], _small(size if k < order - 1 else size * 0), _small(np.add.reduceat(lost[o], first, dtype=np.int64)))
+            open_ = open_[c == 0]
+            # by history: types of each count up to 5, all its tokens, and what the words met after it have of the shorter n-grams
+            met = count[k] > 0
+            start = heads[k][met]
+            mine, c, less = [h[start] for h in hs[:k]], count[k][met], count[k - 1][gram[k - 1][start]]
+            contexts = _contexts(mine)
+            keys, pick, at = np.unique(contexts[-1], return_index=True, return_inverse=True)
+            m = len(keys)
+            columns = [_small(np.bincount(at, c, m).astype(np.int64)), *_by_value(at, c, m)]
+            if k == 1:
+                columns += [np.bincount(at, p_word[gram[0][start]], m)]
+            else:
+                columns += [contexts[-2][pick], _small(np.bincount(at, np.where(less > DISCOUNTED, less, 0), m).astype(np.int64)), *_by_value(at, less, m)]
+            out += _dealt(f"h{k}", _home([h[pick] for h in mine]), buckets, keys, *columns)
+        part[open_] += np.log10(p_word[gram[0][open_]])
+        sums[1] = np.bincount(doc, part, n)
+        out += _dealt("d", mix(ids.view(np.uint64)), buckets, ids, *sums)
+        counts = pack(*(np.bincount(np.minimum(c[c > 0], DISCOUNTED + 2), minlength=DISCOUNTED + 3) for c in count[1:]))
         out += [(b, "n", counts) for b in range(buckets)]
         return pd.DataFrame(out, columns=["bucket", "kind", "block"])
 
@@ -260,43 +302,74 @@ def _dealt(kind: str, key: np.ndarray, buckets: int, *columns: np.ndarray) -> li
     return [(int(b), kind, pack(*(c[order[cuts[b] : cuts[b + 1]]] for c in columns))) for b in np.flatnonzero(np.diff(cuts))]
 
 
-def _finish(group: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of documents and of histories: id, base, score, tokens, known, to be added up by id."""
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """The value at each wanted key; keys are sorted."""
+    if not len(keys):
+        return np.full(len(wanted), default)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], default)
 
-    def of(kind: str) -> list[np.ndarray]:
-        rows = [unpack(b) for b in group["block"][group["kind"] == kind]]
-        return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
-    n = np.sum([unpack(b)[0] for b in group["block"][group["kind"] == "n"]], axis=0)
-    d = discounts(n)
+def _finish(model: Unigrams, order: int):
+    """One bucket of documents and of histories: id, base, score, tokens, known, to be added up by id."""
     r = np.arange(1, DISCOUNTED + 1)
-    out = []
-    docs = of("d")
-    if docs:
-        ids, at = np.unique(docs[0], return_inverse=True)
-        base, part, tokens, known, *by_count = (np.bincount(at, x, len(ids)) for x in docs[1:])
-        score = part + np.log10(d[r] * r) @ np.array(by_count)
-        out.append(pd.DataFrame({"id": ids, "base": base, "score": score, "tokens": tokens.astype(np.int64), "known": known.astype(np.int64)}))
-    lost = of("u")
-    if lost:
-        left = np.zeros(len(lost[0]))
-        hist = of("h")
-        if hist:
-            keys, at = np.unique(hist[0], return_inverse=True)
-            p, *by_count = (np.bincount(at, x, len(keys)) for x in hist[1:])
-            free = np.log10((1 + ((1 - d[r]) * r) @ np.array(by_count)) / (1 - p))
-            place = np.minimum(np.searchsorted(keys, lost[0]), len(keys) - 1)
-            left = np.where(keys[place] == lost[0], free[place], 0.0)  # an unmet history backs off as it is
-        ids, at = np.unique(lost[1], return_inverse=True)
-        out.append(pd.DataFrame({"id": ids, "base": 0.0, "score": np.bincount(at, left * lost[2], len(ids)), "tokens": 0, "known": 0}))
-    return pd.concat(out) if out else pd.DataFrame({"id": [], "base": [], "score": [], "tokens": [], "known": []})
-
-
-def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        def of(kind: str) -> list[np.ndarray]:
+            rows = [unpack(b) for b in group["block"][group["kind"] == kind]]
+            return [np.concatenate(x) for x in zip(*rows, strict=True)]
+
+        tables = [unpack(b) for b in group["block"][group["kind"] == "n"]]
+        d = [None, *(discounts(np.sum(x, axis=0)) for x in zip(*tables, strict=True))]  # by length less one
+        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "base": 0.0, "score": 0.0, "tokens": 0, "known": 0})]
+        docs = of("d")
+        if docs:
+            ids, at = np.unique(docs[0], return_inverse=True)
+            base, score, tokens, known, *by_count = (np.bincount(at, x, len(ids)) for x in docs[1:])
+            for i, k in enumerate(range(order - 1, 0, -1)):
+                score = score + np.log10(d[k][r] * r) @ np.array(by_count[i * DISCOUNTED : (i + 1) * DISCOUNTED])
+            out.append(pd.DataFrame({"id": ids, "base": base, "score": score, "tokens": tokens.astype(np.int64), "known": known.astype(np.int64)}))
+        shorter, totals = np.zeros(0, np.uint64), np.zeros(0)
+        for k in range(1, order):
+            hist = of(f"h{k}")
+            keys, free = np.zeros(0, np.uint64), np.zeros(0)
+            total = free
+            if hist:
+                keys, pick, at = np.unique(hist[0], return_index=True, return_inverse=True)
+                add = lambda x: np.bincount(at, x, len(keys))
+                total = add(hist[1])
+                left = 1 + ((1 - d[k][r]) * r) @ np.array([add(x) for x in hist[2 : 2 + DISCOUNTED]])
+                rest = hist[2 + DISCOUNTED :]
+                if k == 1:
+                    p = add(rest[0])
+                else:
+                    under = rest[0][pick]
+                    whole = _looked_up(shorter, totals, under, 0.0)
+                    if k == 2:  # a common word's count is in the broadcast table
+                        near = under < _RARE
+                        whole[near] = model.counts[under[near].astype(np.int64)]
+                    p = (add(rest[1]) + (d[k - 1][r] * r) @ np.array([add(x) for x in rest[2:]])) / (whole + 1)
+                free = np.log10(left / (1 - p))
+            asked = of(f"u{k}")
+            if asked:
+                key, who, rests, lost = asked
+                # an unmet history backs off as it is
+                value = lost * _looked_up(keys, free, key, 0.0) - rests * _looked_up(keys, np.log10(total + 1), key, 0.0)
+                ids, at = np.unique(who, return_inverse=True)
+                out.append(pd.DataFrame({"id": ids, "base": 0.0, "score": np.bincount(at, value, len(ids)), "tokens": 0, "known": 0}))
+            shorter, totals = keys, total
+        return pd.concat(out)
+
+    return run
+
+
+def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
     """Per document: key, train, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
-    train: which documents the model learns from, a condition on key.
+    train: which documents the model learns from, a condition on key; order: the longest n-grams, 2 or more.
     """
+    if order < 2:
+        raise ValueError("order must be at least 2")
     own = F.col(key).cast("long")
     several = documents.select(own.alias("id")).groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).count() > 0
     # rows are named by their key where that tells them apart, else by key and text together
@@ -304,9 +377,9 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
     rows = documents.select(name.alias("id"), train.alias("train"), F.col(text).alias("text"))
     model = count_unigrams(rows, frequent)
     buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = _token_blocks(rows, model, buckets)
-    sums = tokens.groupBy("bucket").applyInPandas(_sums(model, buckets), "bucket int, kind string, block binary")
-    parts = sums.groupBy("bucket").applyInPandas(_finish, "id long, base double, score double, tokens long, known long")
+    tokens = _token_blocks(rows, model, buckets, order)
+    sums = tokens.groupBy("bucket").applyInPandas(_sums(model, buckets, order), "bucket int, kind string, block binary")
+    parts = sums.groupBy("bucket").applyInPandas(_finish(model, order), "id long, base double, score double, tokens long, known long")
     out = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("base", "score", "tokens", "known")])
     if several:
         named = documents.select(F.col(key), name.alias("name"))

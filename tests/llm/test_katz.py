@@ -19,45 +19,57 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", lower), None]
 
 
-def plain(rows):
+def plain(rows, order):
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     docs = {i: tokens(t) for i, t in rows}
-    c1, c2, ch = Counter(), Counter(), Counter()
+    counts, histories = [Counter() for _ in range(order)], Counter()  # counts[k]: by (history of k words, word)
+
+    def grams(i):
+        padded = ["<s>"] * (order - 1) + docs[i]
+        return [tuple(padded[j : j + order]) for j in range(len(docs[i]))]
+
     for i in train:
-        for h, w in zip(["<s>", *docs[i]], docs[i]):
-            c1[w] += 1
-            c2[h, w] += 1
-            ch[h] += 1
-    n, v = sum(c1.values()), len(c1)
-
-    def d_of(counts):
-        many = Counter(counts.values())
+        for g in grams(i):
+            for k in range(order):
+                counts[k][g[order - 1 - k :]] += 1
+                histories[g[order - 1 - k : -1]] += 1
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def d_of(c):
+        many = Counter(c.values())
         return katz.discounts(__import__("numpy").array([many[r] for r in range(7)]))
 
-    d1, d2 = d_of(c1), d_of(c2)
-    disc = lambda d, c: d[c] * c if c <= 5 else c
-    seen = sum(disc(d1, c) for c in c1.values()) / (n + 1)
-    p1 = lambda w: disc(d1, c1[w]) / (n + 1) if c1[w] else 1 - seen
+    d = [d_of(c) for c in counts]
+    disc = lambda k, c: d[k][c] * c if c <= 5 else c
+    seen = sum(disc(0, c) for c in counts[0].values()) / (n + 1)
     after = defaultdict(list)
-    for (h, w), c in c2.items():
-        after[h].append((w, c))
-    alpha = {h: (1 - sum(disc(d2, c) for _, c in ws) / (ch[h] + 1)) / (1 - sum(p1(w) for w, _ in ws)) for h, ws in after.items()}
-
-    def p2(h, w):
-        if c2[h, w]:
-            return disc(d2, c2[h, w]) / (ch[h] + 1)
-        return alpha.get(h, 1.0) * p1(w)
-
-    for h in list(after)[:20]:  # exactly normalised: all words and the unknown
-        assert sum(p2(h, w) for w in c1) + p2(h, "never met") == pytest.approx(1)
+    for c in counts[1:]:
+        for g in c:
+            after[g[:-1]].append(g[-1])
+
+    def p(h, w):
+        k = len(h)
+        c = counts[k][(*h, w)]
+        if k == 0:
+            return disc(0, c) / (n + 1) if c else 1 - seen
+        if c:
+            return disc(k, c) / (histories[h] + 1)
+        if not histories[h]:
+            return p(h[1:], w)
+        left = 1 - sum(disc(k, counts[k][(*h, x)]) for x in after[h]) / (histories[h] + 1)
+        return left / (1 - sum(p(h[1:], x) for x in after[h])) * p(h[1:], w)
+
+    for h in list(after)[:20] + list(after)[-20:]:  # exactly normalised: all words and the unknown
+        assert sum(p(h, g[-1]) for g in counts[0]) + p(h, "never met") == pytest.approx(1)
     out = {}
     for i, ts in docs.items():
-        out[i] = (i in train, len(ts), sum(c1[w] > 0 for w in ts), n, sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in ts), sum(math.log10(p2(h, w)) for h, w in zip(["<s>", *ts], ts)))
+        base = sum(math.log10((counts[0][w,] + 1) / (n + v + 1)) for w in ts)
+        out[i] = (i in train, len(ts), sum(counts[0][w,] > 0 for w in ts), n, base, sum(math.log10(p(g[:-1], g[-1])) for g in grams(i)))
     return out
 
 
-@pytest.mark.parametrize("frequent", [3, 65_000])
-def test_against_plain(spark, frequent):
+@pytest.mark.parametrize("order, frequent", [(2, 3), (2, 65_000), (3, 3), (3, 65_000), (4, 2), (4, 65_000)])
+def test_against_plain(spark, order, frequent):
     words = "the of A a and To Übung x-ray zebra kilo lima mike".split()
     rows = []
     for i in range(60):
@@ -65,8 +77,8 @@ def test_against_plain(spark, frequent):
         rows.append((i, text + (" rare%d" % (i // 3) if i % 2 else "\n\tend")))
     rows += [(100, None), (101, ""), (102, "  \n "), (103, "only new words here"), (104, "the of A a " * 400)]
     df = spark.createDataFrame([(i, t, "x", None) for i, t in rows], SCHEMA).repartition(3)
-    got = katz.katz_scores(df, remainder(F.col("doc_id"), 7) != 2, frequent=frequent).collect()
-    want = plain(rows)
+    got = katz.katz_scores(df, remainder(F.col("doc_id"), 7) != 2, order=order, frequent=frequent).collect()
+    want = plain(rows, order)
     assert len(got) == len(want)
     for r in got:
         train, n, known, total, base, score = want[r["doc_id"]]
