@@ -46,6 +46,8 @@ DISCOUNTED = 5
 START, END = 0, 1  # symbols; the frequent words follow, and then all others by hash
 _RARE = np.uint64(1 << 63)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Buckets for each shuffle partition: one bucket at a time is in memory.
+BUCKETS = 3
 #: Tokens packed at a time.
 STEP = 1_500_000
 
@@ -213,6 +215,16 @@ def _home(hs: list[np.ndarray]) -> np.ndarray:
     return mix(hs[0]) if len(hs) == 1 else mix(np.where(hs[0] < _RARE, hs[0] * _SPREAD + hs[1], hs[0]))
 
 
+def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, and where in it each group begins."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
 def _by_value(at: np.ndarray, c: np.ndarray, n: int) -> list[np.ndarray]:
     """For r = 1..5: how often c is r at each of n places."""
     return [_small(np.bincount(at[c == r], minlength=n)) for r in range(1, DISCOUNTED + 1)]
@@ -265,29 +277,28 @@ def _sums(model: Unigrams, buckets: int, order: int):
             # tokens that back off from a history, or rest on a shorter one
             asks = open_[c == 0] if k == order - 1 else open_
             if len(asks):
-                mine = [h[asks] for h in hs[:k]]
-                key, whose, lost = _contexts(mine)[-1], doc[asks], count[k][gram[k][asks]] == 0
-                o = np.lexsort((whose, key))
-                first = np.flatnonzero(np.append(True, (key[o][1:] != key[o][:-1]) | (whose[o][1:] != whose[o][:-1])))
-                size = np.diff(np.append(first, len(o)))
-                out += _dealt(f"u{k}", _home(mine)[o][first], buckets, key[o][first], ids[whose[o][first]], _small(size if k < order - 1 else size * 0), _small(np.add.reduceat(lost[o], first, dtype=np.int64)))
+                whose, *mine = doc[asks], *(h[asks] for h in hs[:k])
+                o, first = _grouped(*mine, whose)
+                size = np.diff(np.append(first, len(o))) if k < order - 1 else np.zeros(len(first), np.int64)
+                lost = np.add.reduceat((count[k][gram[k][asks]] == 0)[o], first, dtype=np.int64)
+                first = o[first]
+                mine = [h[first] for h in mine]
+                out += _dealt(f"u{k}", _home(mine), buckets, mine, ids[whose[first]], _small(size), _small(lost))
             open_ = open_[c == 0]
             # by history: types of each count up to 5, all its tokens, and what the words met after it have of the shorter n-grams
             met = count[k] > 0
             start = heads[k][met]
             mine, c, less = [h[start] for h in hs[:k]], count[k][met], count[k - 1][gram[k - 1][start]]
-            contexts = _contexts(mine)
-            keys, pick, at = np.unique(contexts[-1], return_index=True, return_inverse=True)
-            m = len(keys)
-            columns = [_small(np.bincount(at, c, m).astype(np.int64)), *_by_value(at, c, m)]
-            if k == 1:
-                columns += [np.bincount(at, p_word[gram[0][start]], m)]
-            else:
-                columns += [contexts[-2][pick], _small(np.bincount(at, np.where(less > DISCOUNTED, less, 0), m).astype(np.int64)), *_by_value(at, less, m)]
-            out += _dealt(f"h{k}", _home([h[pick] for h in mine]), buckets, keys, *columns)
+            if len(start):
+                o, first = _grouped(*mine)
+                at, m = np.empty(len(o), np.int32), len(first)
+                at[o] = np.repeat(np.arange(m, dtype=np.int32), np.diff(np.append(first, len(o))))
+                mine = [h[o[first]] for h in mine]
+                big = np.bincount(at, np.where(less > DISCOUNTED, less, 0), m).astype(np.int64)
+                out += _dealt(f"h{k}", _home(mine), buckets, mine, _small(np.bincount(at, c, m).astype(np.int64)), *_by_value(at, c, m), _small(big), *_by_value(at, less, m))
         part[open_] += np.log10(p_word[gram[0][open_]])
         sums[1] = np.bincount(doc, part, n)
-        out += _dealt("d", mix(ids.view(np.uint64)), buckets, ids, *sums)
+        out += _dealt("d", mix(ids.view(np.uint64)), buckets, [], ids, *sums)
         counts = pack(*(np.bincount(np.minimum(c[c > 0], DISCOUNTED + 2), minlength=DISCOUNTED + 3) for c in count[1:]))
         out += [(b, "n", counts) for b in range(buckets)]
         return pd.DataFrame(out, columns=["bucket", "kind", "block"])
@@ -295,11 +306,15 @@ def _sums(model: Unigrams, buckets: int, order: int):
     return run
 
 
-def _dealt(kind: str, key: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple[int, str, bytes]]:
-    to = key % np.uint64(buckets)
+def _dealt(kind: str, home: np.ndarray, buckets: int, symbols: list[np.ndarray], *columns: np.ndarray) -> list[tuple[int, str, bytes]]:
+    to = home % np.uint64(buckets)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    return [(int(b), kind, pack(*(c[order[cuts[b] : cuts[b + 1]]] for c in columns))) for b in np.flatnonzero(np.diff(cuts))]
+    out = []
+    for b in np.flatnonzero(np.diff(cuts)):
+        at = order[cuts[b] : cuts[b + 1]]
+        out.append((int(b), kind, pack(*(c[at] for c in columns), *(x for h in symbols for x in _pack_symbols(h[at])))))
+    return out
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
@@ -315,14 +330,18 @@ def _finish(model: Unigrams, order: int):
     r = np.arange(1, DISCOUNTED + 1)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        def of(kind: str) -> list[np.ndarray]:
-            rows = [unpack(b) for b in group["block"][group["kind"] == kind]]
+        def of(kind: str, columns: int, back: int = 0) -> list[np.ndarray]:
+            """The kind's columns, and the last words of its histories."""
+            rows = []
+            for block in group["block"][group["kind"] == kind]:
+                x = unpack(block)
+                rows.append([*x[:columns], *(_unpack_symbols(len(x[0]), *x[columns + 3 * j : columns + 3 * j + 3]) for j in range(back))])
             return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
         tables = [unpack(b) for b in group["block"][group["kind"] == "n"]]
-        d = [None, *(discounts(np.sum(x, axis=0)) for x in zip(*tables, strict=True))]  # by length less one
+        d = [model.d, *(discounts(np.sum(x, axis=0)) for x in zip(*tables, strict=True))]  # by length less one
         out = [pd.DataFrame({"id": np.zeros(0, np.int64), "base": 0.0, "score": 0.0, "tokens": 0, "known": 0})]
-        docs = of("d")
+        docs = of("d", 4 + DISCOUNTED * (order - 1) + 1)
         if docs:
             ids, at = np.unique(docs[0], return_inverse=True)
             base, score, tokens, known, *by_count = (np.bincount(at, x, len(ids)) for x in docs[1:])
@@ -331,28 +350,33 @@ def _finish(model: Unigrams, order: int):
             out.append(pd.DataFrame({"id": ids, "base": base, "score": score, "tokens": tokens.astype(np.int64), "known": known.astype(np.int64)}))
         shorter, totals = np.zeros(0, np.uint64), np.zeros(0)
         for k in range(1, order):
-            hist = of(f"h{k}")
+            hist = of(f"h{k}", 2 + 2 * DISCOUNTED, k)
             keys, free = np.zeros(0, np.uint64), np.zeros(0)
             total = free
             if hist:
-                keys, pick, at = np.unique(hist[0], return_index=True, return_inverse=True)
-                add = lambda x: np.bincount(at, x, len(keys))
-                total = add(hist[1])
-                left = 1 + ((1 - d[k][r]) * r) @ np.array([add(x) for x in hist[2 : 2 + DISCOUNTED]])
-                rest = hist[2 + DISCOUNTED :]
+                counts, mine = hist[: -k], _contexts(hist[-k:])
+                keys, pick, at = np.unique(mine[-1], return_index=True, return_inverse=True)
+
+                def add(first: int, of_each: np.ndarray) -> np.ndarray:
+                    """Sums by history, of each column from `first` on times its number."""
+                    return sum(x * np.bincount(at, counts[first + i], len(keys)) for i, x in enumerate(of_each))
+
+                total = add(0, [1])
+                left = 1 + add(1, (1 - d[k][r]) * r)
                 if k == 1:
-                    p = add(rest[0])
+                    whole = model.total
                 else:
-                    under = rest[0][pick]
+                    under = mine[-2][pick]
                     whole = _looked_up(shorter, totals, under, 0.0)
                     if k == 2:  # a common word's count is in the broadcast table
                         near = under < _RARE
                         whole[near] = model.counts[under[near].astype(np.int64)]
-                    p = (add(rest[1]) + (d[k - 1][r] * r) @ np.array([add(x) for x in rest[2:]])) / (whole + 1)
+                p = add(1 + DISCOUNTED, [1, *d[k - 1][r] * r]) / (whole + 1)
                 free = np.log10(left / (1 - p))
-            asked = of(f"u{k}")
+            asked = of(f"u{k}", 3, k)
             if asked:
-                key, who, rests, lost = asked
+                who, rests, lost = asked[:3]
+                key = _contexts(asked[3:])[-1]
                 # an unmet history backs off as it is
                 value = lost * _looked_up(keys, free, key, 0.0) - rests * _looked_up(keys, np.log10(total + 1), key, 0.0)
                 ids, at = np.unique(who, return_inverse=True)
@@ -376,9 +400,9 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
     name = F.xxhash64(key, text) if several else own
     rows = documents.select(name.alias("id"), train.alias("train"), F.col(text).alias("text"))
     model = count_unigrams(rows, frequent)
-    buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = _token_blocks(rows, model, buckets, order)
-    sums = tokens.groupBy("bucket").applyInPandas(_sums(model, buckets, order), "bucket int, kind string, block binary")
+    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = _token_blocks(rows, model, BUCKETS * spread, order)
+    sums = tokens.groupBy("bucket").applyInPandas(_sums(model, BUCKETS * spread, order), "bucket int, kind string, block binary")
     parts = sums.groupBy("bucket").applyInPandas(_finish(model, order), "id long, base double, score double, tokens long, known long")
     out = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("base", "score", "tokens", "known")])
     if several:
