@@ -47,7 +47,7 @@ START, END = 0, 1  # symbols; the frequent words follow, and then all others by
 _RARE = np.uint64(1 << 63)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets for each shuffle partition: one bucket at a time is in memory.
-BUCKETS = 3
+BUCKETS = 2
 #: Tokens packed at a time.
 STEP = 1_500_000
 
@@ -86,10 +86,12 @@ class Unigrams:
 
     def __init__(self, total: int, types: int, n: np.ndarray, ends: int, top: list[tuple[int, int]]) -> None:
         self.total, self.types = total, types
+        # symbols go by rank, so that most are small numbers
+        top = sorted(top, key=lambda x: (-x[1], x[0]))
         keys = np.array([w for w, _ in top], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        counts = np.array([c for _, c in top], np.int64)[order]
+        by_key = np.argsort(keys)
+        self.keys, self.rank = keys[by_key], by_key.astype(np.uint64)
+        counts = np.array([c for _, c in top], np.int64)
         self.counts = np.concatenate(([ends, ends], counts))  # of START as a history, END and the frequent words
         self.d = discounts(n)
         r = np.arange(1, DISCOUNTED + 1)
@@ -99,7 +101,7 @@ class Unigrams:
         if not len(self.keys):
             return hashes | _RARE
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at.astype(np.uint64) + np.uint64(2), hashes | _RARE)
+        return np.where(self.keys[at] == hashes, self.rank[at] + np.uint64(2), hashes | _RARE)
 
     def p(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, self.d[np.where(c <= DISCOUNTED, c, 0)] * c / (self.total + 1), self.unknown)
@@ -139,15 +141,21 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """All numbers' first bytes, all second bytes and so on: small numbers then compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
 def _pack_symbols(x: np.ndarray) -> tuple[np.ndarray, ...]:
     rare = x >= _RARE
-    return np.packbits(rare), x[~rare].astype(np.uint16 if len(x) == 0 or x[~rare].max(initial=0) < 1 << 16 else np.uint32), x[rare]
+    small = x[~rare]
+    return np.packbits(rare), _planes(small.astype(np.uint16 if small.max(initial=0) < 1 << 16 else np.uint32)), x[rare]
 
 
-def _unpack_symbols(n: int, bits: np.ndarray, small: np.ndarray, rare: np.ndarray) -> np.ndarray:
+def _unpack_symbols(n: int, bits: np.ndarray, planes: np.ndarray, rare: np.ndarray) -> np.ndarray:
     is_rare = np.unpackbits(bits, count=n).astype(bool)
     x = np.empty(n, np.uint64)
-    x[~is_rare], x[is_rare] = small, rare
+    x[~is_rare], x[is_rare] = np.ascontiguousarray(planes.T).view(f"u{len(planes)}").ravel(), rare
     return x
 
 
@@ -285,17 +293,17 @@ def _sums(model: Unigrams, buckets: int, order: int):
                 mine = [h[first] for h in mine]
                 out += _dealt(f"u{k}", _home(mine), buckets, mine, ids[whose[first]], _small(size), _small(lost))
             open_ = open_[c == 0]
-            # by history: types of each count up to 5, all its tokens, and what the words met after it have of the shorter n-grams
+            # by history and by counts up to 5 or more, of the n-gram and of the shorter one that ends it: how many types, and both counts' sums
             met = count[k] > 0
             start = heads[k][met]
             mine, c, less = [h[start] for h in hs[:k]], count[k][met], count[k - 1][gram[k - 1][start]]
             if len(start):
-                o, first = _grouped(*mine)
-                at, m = np.empty(len(o), np.int32), len(first)
-                at[o] = np.repeat(np.arange(m, dtype=np.int32), np.diff(np.append(first, len(o))))
-                mine = [h[o[first]] for h in mine]
-                big = np.bincount(at, np.where(less > DISCOUNTED, less, 0), m).astype(np.int64)
-                out += _dealt(f"h{k}", _home(mine), buckets, mine, _small(np.bincount(at, c, m).astype(np.int64)), *_by_value(at, c, m), _small(big), *_by_value(at, less, m))
+                code = (np.minimum(c, DISCOUNTED + 1) * 8 + np.minimum(less, DISCOUNTED + 1)).astype(np.uint8)
+                o, first = _grouped(*mine, code)
+                types, c, less = np.diff(np.append(first, len(o))), np.add.reduceat(c[o], first), np.add.reduceat(less[o], first)
+                first = o[first]
+                mine = [h[first] for h in mine]
+                out += _dealt(f"h{k}", _home(mine), buckets, mine, code[first], types, c, less)
         part[open_] += np.log10(p_word[gram[0][open_]])
         sums[1] = np.bincount(doc, part, n)
         out += _dealt("d", mix(ids.view(np.uint64)), buckets, [], ids, *sums)
@@ -313,7 +321,25 @@ def _dealt(kind: str, home: np.ndarray, buckets: int, symbols: list[np.ndarray],
     out = []
     for b in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[b] : cuts[b + 1]]
-        out.append((int(b), kind, pack(*(c[at] for c in columns), *(x for h in symbols for x in _pack_symbols(h[at])))))
+        mine = [c[at] for c in columns]
+        if kind[0] == "h":
+            mine = _thin(*mine)
+        out.append((int(b), kind, pack(*mine, *(x for h in symbols for x in _pack_symbols(h[at])))))
+    return out
+
+
+def _thin(code: np.ndarray, types: np.ndarray, c: np.ndarray, less: np.ndarray) -> list[np.ndarray]:
+    """Sums that the types' number does not give are kept only where a count is over 5."""
+    return [code, _small(types), _small(c[code >> 3 > DISCOUNTED]), _small(less[code & 7 > DISCOUNTED])]
+
+
+def _thick(code: np.ndarray, types: np.ndarray, c: np.ndarray, less: np.ndarray) -> list[np.ndarray]:
+    """Count, sum of counts, shorter count and sum of those; a count of 6 stands for 6 and more."""
+    out = []
+    for r, big in ((code >> 3, c), (code & 7, less)):
+        total = r * types.astype(np.int64)
+        total[r > DISCOUNTED] = big
+        out += [r, total]
     return out
 
 
@@ -335,7 +361,7 @@ def _finish(model: Unigrams, order: int):
             rows = []
             for block in group["block"][group["kind"] == kind]:
                 x = unpack(block)
-                rows.append([*x[:columns], *(_unpack_symbols(len(x[0]), *x[columns + 3 * j : columns + 3 * j + 3]) for j in range(back))])
+                rows.append([*(_thick(*x[:columns]) if kind[0] == "h" else x[:columns]), *(_unpack_symbols(len(x[0]), *x[columns + 3 * j : columns + 3 * j + 3]) for j in range(back))])
             return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
         tables = [unpack(b) for b in group["block"][group["kind"] == "n"]]
@@ -350,19 +376,15 @@ def _finish(model: Unigrams, order: int):
             out.append(pd.DataFrame({"id": ids, "base": base, "score": score, "tokens": tokens.astype(np.int64), "known": known.astype(np.int64)}))
         shorter, totals = np.zeros(0, np.uint64), np.zeros(0)
         for k in range(1, order):
-            hist = of(f"h{k}", 2 + 2 * DISCOUNTED, k)
+            hist = of(f"h{k}", 4, k)
             keys, free = np.zeros(0, np.uint64), np.zeros(0)
             total = free
             if hist:
-                counts, mine = hist[: -k], _contexts(hist[-k:])
+                count, c, less_count, less, *mine = hist
+                mine = _contexts(mine)
                 keys, pick, at = np.unique(mine[-1], return_index=True, return_inverse=True)
-
-                def add(first: int, of_each: np.ndarray) -> np.ndarray:
-                    """Sums by history, of each column from `first` on times its number."""
-                    return sum(x * np.bincount(at, counts[first + i], len(keys)) for i, x in enumerate(of_each))
-
-                total = add(0, [1])
-                left = 1 + add(1, (1 - d[k][r]) * r)
+                total = np.bincount(at, c, len(keys))
+                left = 1 + np.bincount(at, np.append(1 - d[k], 0)[count] * c, len(keys))
                 if k == 1:
                     whole = model.total
                 else:
@@ -371,7 +393,7 @@ def _finish(model: Unigrams, order: int):
                     if k == 2:  # a common word's count is in the broadcast table
                         near = under < _RARE
                         whole[near] = model.counts[under[near].astype(np.int64)]
-                p = add(1 + DISCOUNTED, [1, *d[k - 1][r] * r]) / (whole + 1)
+                p = np.bincount(at, np.append(d[k - 1], 1)[less_count] * less, len(keys)) / (whole + 1)
                 free = np.log10(left / (1 - p))
             asked = of(f"u{k}", 3, k)
             if asked:
