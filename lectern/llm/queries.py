@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, katz, minhash, mixing, quality, secrets, sentencepiece, substring, topk, toxicity
+from . import ann, capfilters, collocations, katz, minhash, mixing, quality, secrets, sentencepiece, substring, topk, toxicity, turns
 from .tables import read, remainder
 
 
@@ -63,6 +63,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(read(spark, sf_dir, "embeddings"), limit=0.93)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), words=3, least=10, top=2000, share=50)
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return turns.repaired(rows, turns.damaged(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
@@ -74,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_katz": op9_katz,
     "op10_quality": op10_quality,
+    "op11_capfilters": op11_capfilters,
+    "op12_collocations": op12_collocations,
+    "op13_turns": op13_turns,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
@@ -128,5 +144,55 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op11_capfilters": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT u AS vec_id, u AS r FROM near UNION SELECT n.v, r FROM reach JOIN near n ON n.u = reach.vec_id
+), least AS (
+  SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id
+), links AS (
+  SELECT u AS vec_id, count(*) AS n FROM near GROUP BY u
+)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id) AS component_id, e.vec_id = coalesce(c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN links USING (vec_id) LEFT JOIN least USING (vec_id)
+""",
+    "op12_collocations": r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), spots AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM spots, (VALUES (1), (2), (3)) AS ks(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+), left_over AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer g USING (lang, phrase) WHERE g.a IS NULL OR 100 * g.a < 50 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, k, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:k], ' ') AS y FROM left_over, (VALUES (1), (2)) AS cs(c) WHERE c < k
+), scored AS (
+  SELECT cuts.*, p.f AS l, q.f AS r, (1000000 * CAST(a AS HUGEINT) * a) // (CAST(p.f AS HUGEINT) * q.f) AS score
+  FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = x JOIN f q ON q.lang = cuts.lang AND q.phrase = y
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
