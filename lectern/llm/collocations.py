@@ -1,9 +1,9 @@
 """Phrases whose words come together more often than apart, by language.
 
 Texts are cut into pieces at punctuation and line ends, and identical pieces are counted once, with their
-multiplicity.  Each word of a piece gives one row: the window of up to `words` words that it begins, with the
-piece's multiplicity.  Equal windows of a batch are added up before they are shuffled by their first two words,
-so that a shuffle partition (a hash bucket) holds all occurrences of the phrases of two words and
+multiplicity.  Each word of a piece gives the window of up to `words` words that it begins, with the
+piece's multiplicity.  Equal windows are added up, some hundred thousand at a time, and packed by the hash of their first two words,
+so that a shuffle partition (a hash bucket) gets all occurrences of the phrases of two words and
 more that begin so.  In each bucket DuckDB adds the windows up, on its own scratch file and with bounded memory,
 and gives the phrases that are frequent enough; its word counts are added up across buckets.  The counts
 of a phrase's two parts are then looked up by requests that are shuffled to where the counts are.
@@ -20,15 +20,20 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyarrow import csv
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import held
-from .words import buffers
+from .words import _TABLE, buffers, mix, rolling
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Where a text is cut into pieces, and what words of a piece are made of.
@@ -37,6 +42,8 @@ CUTS, BLANKS = r"[.,;:!?\x0A-\x0D]", " \t"
 SALTS = 64
 #: What DuckDB may hold in memory in a task.
 MEMORY = "256MB"
+#: Windows that a task adds up and packs at a time.
+PACKED = 400_000
 _FIRST = "split_part(head, ' ', 1)"
 
 
@@ -49,17 +56,16 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
 
 def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """data[start:end] as strings; null where end is not beyond start."""
+    """data[start:end] as strings; empty where end is not beyond start."""
     sizes = np.maximum(ends - starts, 0)
     at = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=at[1:])
     inner = np.arange(at[-1], dtype=np.int64) + np.repeat(starts - at[:-1], sizes)
-    missing = np.packbits(sizes > 0, bitorder="little")
-    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at), pa.py_buffer(data[inner]), pa.py_buffer(missing))
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at), pa.py_buffer(data[inner]))
 
 
 def windows(column: pa.Array, words: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """For each word of each piece: the piece's index, the word and the next as one string, and up to words - 2 more (null if none)."""
+    """For each word of each piece: the piece's index, the word and the next as one string, and up to words - 2 more (empty if none)."""
     at, data = buffers(column)
     data, at = data[at[0] : at[-1]], at - at[0]
     n = len(data)
@@ -90,39 +96,75 @@ def windows(column: pa.Array, words: int) -> tuple[np.ndarray, pa.Array, pa.Arra
     return piece, head, rest
 
 
-def _windowed(counted: DataFrame, words: int) -> DataFrame:
-    """lang, head, rest and times of the windows of counted pieces, added up within each batch."""
+def _packed(rows: list[pa.Table], parts: int) -> Iterator[tuple[int, bytes]]:
+    """A packet for each part: its windows, equal ones added up, as compressed lines."""
+    table = pa.concat_tables(rows).group_by(["part", "lang", "head", "rest"], use_threads=False).aggregate([("times", "sum")])
+    part = table["part"].to_numpy()
+    packer = zstandard.ZstdCompressor(level=6)
+    times = pc.binary_join_element_wise(table["times_sum"].cast(pa.string()), "", "\n")
+    lines = pc.binary_join_element_wise(table["lang"], table["head"], table["rest"], times, "\t")
+    lines = lines.take(pa.array(np.argsort(part, kind="stable"))).combine_chunks()
+    at, data = buffers(lines)
+    ends = at[np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))]
+    for p in np.unique(part).tolist():
+        yield p, packer.compress(data[ends[p] : ends[p + 1]])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            piece, head, rest = windows(batch.column(1), words)
-            lang = batch.column(0).dictionary_encode().take(pa.array(piece))
-            table = pa.table({"lang": lang, "head": head, "rest": rest, "times": pa.array(batch.column(2).to_numpy(zero_copy_only=False)[piece])})
-            table = table.group_by(["lang", "head", "rest"], use_threads=False).aggregate([("times", "sum")])
-            table = pa.table({"lang": table["lang"].cast(pa.string()), "head": table["head"], "rest": table["rest"], "times": table["times_sum"]})
-            yield from table.to_batches()
 
-    return counted.select("lang", "piece", "times").mapInArrow(found, "lang string, head string, rest string, times bigint")
+def _windowed(counted: DataFrame, words: int, parts: int) -> DataFrame:
+    """part, bytes and packet: the windows of counted pieces, dealt by language and first two words and packed many to a row."""
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.Table] = []
+        n = 0
+
+        def taken() -> pa.RecordBatch:
+            part, packet = zip(*_packed(rows, parts))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packet, pa.binary())], ["part", "packet"])
 
-def count_phrases(windowed: DataFrame, words: int, least: int) -> DataFrame:
+        for batch in batches:
+            piece, head, rest = windows(batch.column(1), words)
+            lang = batch.column(0).dictionary_encode()
+            marks = np.array([zlib.crc32(x.encode()) for x in lang.dictionary.to_pylist()], np.uint64)
+            at, data = buffers(head)
+            hashes = mix(rolling(_TABLE[data], at[:-1], at[1:]) + marks[lang.indices.to_numpy()][piece])
+            part = (hashes % np.uint64(parts)).astype(np.int32)
+            times = batch.column(2).to_numpy(zero_copy_only=False)[piece]
+            rows.append(pa.table({"part": part, "lang": lang.take(pa.array(piece)).cast(pa.string()), "head": head, "rest": rest, "times": times}))
+            n += len(part)
+            if n >= PACKED:
+                yield taken()
+                n = 0
+        if n:
+            yield taken()
+
+    return counted.select("lang", "piece", "times").mapInArrow(found, "part int, packet binary")
+
+
+def count_phrases(packets: DataFrame, words: int, least: int, parts: int) -> DataFrame:
     """lang, k, phrase and f: phrases of 2 and more words with f >= least, and words (k = 1) with the counts of their buckets."""
+    types = {"lang": pa.string(), "head": pa.string(), "rest": pa.string(), "times": pa.int64()}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        head = next(iter(batches), None)
-        if head is None:
-            return
+        unpacker = zstandard.ZstdDecompressor()
 
-        def all_() -> Iterator[pa.RecordBatch]:
-            yield head
-            yield from batches
+        def unpacked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packet in batch.column(1):
+                    lines = unpacker.decompress(packet.as_py())
+                    table = csv.read_csv(pa.BufferReader(lines), csv.ReadOptions(use_threads=False, column_names=list(types)), csv.ParseOptions(delimiter="\t", quote_char=False), csv.ConvertOptions(column_types=types, strings_can_be_null=False))
+                    yield from table.to_batches()
 
+        rows = unpacked()
+        head = next(rows, None)
+        if head is None:
+            return
         with tempfile.TemporaryDirectory() as scratch:  # DuckDB's own spill, gone with the task
             con = duckdb.connect(os.path.join(scratch, "bucket.duckdb"), config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False})
-            rows = pa.RecordBatchReader.from_batches(head.schema, all_())  # noqa: F841  (DuckDB reads it by its name)
-            con.execute("CREATE TABLE counts AS SELECT lang, head, rest, CAST(sum(times) AS BIGINT) AS f FROM rows GROUP BY ALL")
+            all_ = pa.RecordBatchReader.from_batches(head.schema, chain([head], rows))  # noqa: F841  (DuckDB reads it by its name)
+            con.execute("CREATE TABLE counts AS SELECT lang, head, rest, CAST(sum(times) AS BIGINT) AS f FROM all_ GROUP BY ALL")
             asked = [
                 f"SELECT lang, 1 AS k, {_FIRST} AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counts GROUP BY ALL",
                 f"SELECT lang, 2 AS k, head AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counts WHERE contains(head, ' ') GROUP BY ALL HAVING sum(f) >= {least}",
@@ -130,13 +172,13 @@ def count_phrases(windowed: DataFrame, words: int, least: int) -> DataFrame:
             for k in range(3, words + 1):
                 part = "rest" if words == 3 else f"array_to_string(string_split(rest, ' ')[1:{k - 2}], ' ')"
                 long_ = "" if words == 3 else f"AND len(string_split(rest, ' ')) >= {k - 2}"
-                asked.append(f"SELECT lang, {k} AS k, head || ' ' || {part} AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counts WHERE rest IS NOT NULL {long_} GROUP BY ALL HAVING sum(f) >= {least}")
+                asked.append(f"SELECT lang, {k} AS k, head || ' ' || {part} AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counts WHERE rest <> '' {long_} GROUP BY ALL HAVING sum(f) >= {least}")
             for sql in asked:
                 for part in con.sql(sql).to_arrow_reader(20_000):
                     yield part.cast(pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())]))
             con.close()
 
-    return windowed.repartition("lang", "head").mapInArrow(found, "lang string, k int, phrase string, f bigint")
+    return packets.repartitionById(parts, "part").mapInArrow(found, "lang string, k int, phrase string, f bigint")
 
 
 def _within(words: Column, lengths: Column, top: Column) -> Column:
@@ -150,7 +192,8 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, top: int = 20
 
     A phrase goes if it lies inside a longer candidate with share percent of its count or more.
     """
-    counted = held(count_phrases(_windowed(pieces(docs, text, lang), words), words, least))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = held(count_phrases(_windowed(pieces(docs, text, lang), words, parts), words, least, parts))
     single = counted.where("k = 1").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     single = held(single.select("lang", F.lit(1).alias("k"), "phrase", "f"))
     totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
