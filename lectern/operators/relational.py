@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---- filters and projections ----
@@ -160,11 +161,19 @@ def multiset_overlap(a: DataFrame, b: DataFrame, by: str, item: str) -> DataFram
 # ---- trees ----
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; only where all tasks run in this process may it be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or os.path.abspath("spark-warehouse/checkpoints")
+
+
 def hold(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the cluster shares, and read from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.abspath("spark-warehouse/checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

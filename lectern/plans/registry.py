@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_queries, library_queries, module_queries, reading_queries, relational_queries, text_queries
+from . import edit_queries, edited_queries, library_queries, module_queries, reading_queries, relational_queries, search_queries, text_queries
+
+_PARTS = (relational_queries, text_queries, module_queries, reading_queries, library_queries, edit_queries, search_queries, edited_queries)
 
 FLAGSHIP = "search_library"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational_queries.Q, **text_queries.Q, **module_queries.Q, **reading_queries.Q, **library_queries.Q, **edit_queries.Q}
-ORACLE_SQL: dict[str, str] = {**relational_queries.SQL, **text_queries.SQL, **module_queries.SQL, **reading_queries.SQL, **library_queries.SQL, **edit_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.Q.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

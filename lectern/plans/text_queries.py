@@ -159,20 +159,6 @@ def split_tts_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.split_texts(read(spark, d, "documents"), chunks.speech_pieces, keep=["doc_id"])
 
 
-@query()
-def search_library(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid search over chunks by words and by vector, fused and grouped. Every chunk has a vector: chunks are dealt the stored ones in turn."""
-    docs, vectors = read(spark, d, "documents"), read(spark, d, "embeddings")
-    cut = chunks.chunk_texts(docs, keep=["doc_id", "lang", "source"]).withColumn("id", F.concat_ws(":", "doc_id", "seq"))
-    words = retrieval.keyword_leg(cut, ASKED, key="id", text="text")
-    turn = (F.col("doc_id") * 7 + F.col("seq")) % F.lit(max(1, vectors.count()))
-    of_chunks = cut.select("id", turn.alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id")
-    near = retrieval.vector_leg(of_chunks, vectors.where("vec_id = 0"), key="id", vector="embedding")
-    fused = retrieval.fuse([words, near.select("id", "rank")], "id")
-    hits = cut.join(fused, "id").select("id", F.col("source").alias("book"), F.col("doc_id").alias("unit"), F.col("doc_id").cast("string").alias("file"), F.lit("chapter").alias("source"), F.col("lang").alias("language"), "text", "score", "char_start", "char_end", "page_start", "page_end")
-    return retrieval.grouped(hits, ASKED).select("place", "id", "book", "unit", "language", F.round("score", 9).alias("score"), T.snippet(F.col("text")).alias("snippet"))
-
-
 @query()
 def expand_passage(spark: SparkSession, d: str) -> DataFrame:
     """Each document's second chunk with its neighbours."""
