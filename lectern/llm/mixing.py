@@ -6,8 +6,10 @@ weight again.  A document is wanted target / source size times.  It is taken the
 whole part of that, and the fraction left over is rounded by pivotal sampling:
 two fractional documents of a source trade probability, keeping their expected words
 together, until one of them is settled at 0 or 1; the other goes on to the
-next.  So every document keeps its own probability, and a source's words miss
-the target by at most one document's size.
+next.  Large documents go first, each in one direction against all smaller ones, so that no large one is left to the
+end.  So every document keeps its own probability, and a source's words miss
+the target by at most one document's size: of about twice the median document's, unless the smaller
+documents of a block cannot make up for a large one.
 
 Trading runs in blocks of at most about ``block`` documents, which split any
 large source; each block leaves at most one unsettled document, and these meet
@@ -64,9 +66,36 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return per.select("source", "source_id", "source_size", "n_docs", target.alias("target"))
 
 
+def _settled(p: np.ndarray) -> np.ndarray:
+    """Probabilities within rounding of 0 or 1 are 0 or 1."""
+    return np.where((p < 1e-12) | (p > 1 - 1e-12), np.round(p), p)
+
+
+def directed(size: np.ndarray, p: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Settle each large row (over twice the median) against all smaller ones at once; sizes descend.
+
+    Its direction is drawn once, up with its own probability. It then moves all the way to 1 or 0, and each smaller row gives, or
+    takes, so many words that its own expectation stays. It stays between only if the smaller rows cannot bear that much.
+    """
+    p = p.copy()
+    open_ = (p > 0) & (p < 1)
+    most = 2 * np.median(size[open_]) if open_.any() else 0.0
+    for j in np.flatnonzero(open_ & (size > most)):
+        if not 0 < p[j] < 1:
+            continue
+        i = j + 1 + np.flatnonzero((p[j + 1 :] > 0) & (p[j + 1 :] < 1) & (size[j + 1 :] < size[j]))
+        bear = np.minimum(p[i] / (1 - p[j]), (1 - p[i]) / p[j]) * size[i]
+        part = min(1.0, size[j] / bear.sum()) if len(i) else 0.0
+        words = bear * part
+        step = 1 - p[j] if draw.random() < p[j] else -p[j]
+        p[i] = _settled(np.clip(p[i] - step * words / size[i], 0, 1))
+        p[j] = _settled(p[j] + step * min(1.0, words.sum() / size[j]))
+    return p
+
+
 def pivotal(size: np.ndarray, p: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Settle probabilities in pairs at 0 or 1; the place of the one that is left between, or -1."""
-    p, left = p.copy(), -1
+    """Settle probabilities in pairs at 0 or 1; the place of the one that is left between, or -1. Sizes descend."""
+    p, left = directed(size, p, draw), -1
     for i in range(len(p)):
         if not 0 < p[i] < 1:
             continue
@@ -79,9 +108,7 @@ def pivotal(size: np.ndarray, p: np.ndarray, draw: np.random.Generator) -> tuple
         moved = up if draw.random() * (up + down) < down else -down
         p[j] += moved / a
         p[i] -= moved / b
-        for k in (j, i):
-            if p[k] < 1e-12 or p[k] > 1 - 1e-12:
-                p[k] = round(p[k])
+        p[j], p[i] = _settled(p[j]), _settled(p[i])
         left = j if 0 < p[j] < 1 else i if 0 < p[i] < 1 else -1
     return p, left
 
