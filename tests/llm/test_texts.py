@@ -125,6 +125,33 @@ def test_mixing(spark, block, fan_in):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_mixing_with_a_giant_in_each_source(spark):
+    draw = random.Random(5)
+    rows = []
+    for s in range(8):
+        rows += [(1000 * s + i, " ".join(["w"] * draw.randrange(80, 160)), f"s{s}") for i in range(150)] + [(1000 * s + 999, " ".join(["w"] * 5000), f"s{s}")]
+    taken = {}
+    for r in mixing.mix(table(spark, rows)).collect():
+        s = r["doc_id"] // 1000
+        taken.setdefault(s, [r["target"], 0])[1] += r["taken"]
+    assert all(abs(got - want) <= 160 for want, got in taken.values()), taken
+
+
+def test_trades_keep_each_probability():
+    size = np.array([900.0, 400, 120, 110, 100, 100, 90, 80, 70, 60])
+    p = np.array([0.3, 0.7, 0.3, 0.4, 0.3, 0.6, 0.3, 0.2, 0.5, 0.3])
+    total = np.zeros(len(p))
+    for seed in range(4000):
+        draw = np.random.default_rng(seed)
+        q, left = mixing.pivotal(size, p, draw)
+        assert abs((q * size).sum() - (p * size).sum()) < 1e-6
+        if left >= 0:
+            q[left] = float(draw.random() < q[left])
+        assert set(q) <= {0.0, 1.0}
+        total += q
+    assert np.abs(total / 4000 - p).max() < 0.035
+
+
 def drop_plain(rows, k=13):
     """Windows by dictionary."""
     first, split = {}, {i: WORD.findall(t or "") for i, t in rows}
