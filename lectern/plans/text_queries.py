@@ -265,17 +265,6 @@ def detect_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return structure.detect_boundaries(blocks(spark, d), "doc_id")
 
 
-@query("""
-WITH o AS (SELECT DISTINCT l_suppkey, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem WHERE l_returnflag <> 'R'), n AS (SELECT DISTINCT l_suppkey, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem WHERE l_returnflag <> 'A')
-SELECT coalesce(o.l_suppkey, n.l_suppkey) AS l_suppkey, coalesce(o.start, n.start) AS start, coalesce(o."end", n."end") AS "end", CASE WHEN n.start IS NULL THEN 'removed' WHEN o.start IS NULL THEN 'new' ELSE 'kept' END AS action
-FROM o FULL JOIN n ON o.l_suppkey = n.l_suppkey AND o.start = n.start AND o."end" = n."end"
-""")
-def plan_structure(spark: SparkSession, d: str) -> DataFrame:
-    spans = read(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
-    side = lambda flag: spans.where(F.col("l_returnflag") != flag).drop("l_returnflag").distinct()
-    return structure.plan_recut(side("R"), side("A"), ["l_suppkey"])
-
-
 # ---- alignment and time ----
 
 

@@ -82,9 +82,6 @@ def test_contents(spark):
 
     heads = [{"text": t, "page": p} for t, p in (("The Long Road", 12), ("Notes", 13), ("A Second Start", 22), ("The Long Road", 90), ("An Ending Comes", 31))]
     entries = [{"title": t, "page": p} for t, p in (("The long road", 1), ("A second start", 11), ("An ending comes", 20), ("Missing part here", 25))]
-    chain = contents.page_chain(contents.anchors(entries, heads))
-    assert [(q, p) for _, q, p in chain] == [(1, 12), (11, 22), (20, 31)] and contents.expected_page(chain, 6) == 17
-    assert contents.locate_entries(entries, heads) == [0, 2, 4, None]
     e = spark.createDataFrame([(1, i, x["title"], x["page"]) for i, x in enumerate(entries)], "u int, entry int, title string, page int")
     h = spark.createDataFrame([(1, i * 10, x["text"], x["page"]) for i, x in enumerate(heads)], "u int, block int, text string, page int")
     assert [r["heading"] for r in contents.locate_contents(e, h, "u").orderBy("entry").collect()] == [0, 20, 40, None]
