@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -137,18 +140,86 @@ def reordered(files: DataFrame, wanted: DataFrame, unit: str, key: str) -> DataF
     return asked.join(bad, unit, "left_anti")
 
 
+def whole_digests(files: DataFrame, unit: str, order: str, text: str, *, title: str = "# file ", between: str = "\n\n") -> DataFrame:
+    """unit, chars, files and whole: the SHA-256 of a unit's files in order as one text, each under its own heading.
+
+    One hash goes over all of a unit, so its files pass one task in order, a batch at a time; they are never gathered.
+    """
+    part = F.concat(F.lit(title), F.col(order).cast("string"), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))
+    rows = files.select(F.col(unit).alias("u"), F.col(order).alias("o"), part.alias("part"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n"))
+    rows = rows.repartition("u").sortWithinPartitions("u", "o")
+    names = [unit, "chars", "files", "whole"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, chars, files_, kind = None, None, 0, 0, None
+        for batch in batches:
+            out, kind = [], batch.schema.field(0).type
+            for key, part, n in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if state is None or key != at:
+                    if state is not None:
+                        out.append((at, chars, files_, state.hexdigest()))
+                    at, state, chars, files_ = key, hashlib.sha256(), 0, 0
+                else:
+                    state.update(between.encode())
+                state.update(part.encode())
+                chars, files_ = chars + n, files_ + 1
+            yield _four(out, kind, names)
+        if state is not None:
+            yield _four([(at, chars, files_, state.hexdigest())], kind, names)
+
+    return rows.mapInArrow(run, f"`{unit}` {rows.schema['u'].dataType.simpleString()}, chars bigint, files bigint, whole string")
+
+
+def _four(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.string()))], names)
+
+
 # ---- pages ----
 
 
-def routes(lines: DataFrame, page: str, *, cell: int = 1000) -> DataFrame:
+def pages_with_columns(lines: DataFrame, page: str, gap: float = 80) -> DataFrame:
+    """page of pages where two lines (x0, y0, x1, y1) share some height, with a gap between them.
+
+    A sweep down each page: lines come in the order of their tops, and of those that reach the current top only the
+    leftmost right edge and the rightmost left edge matter.
+    """
+    rows = lines.where("y1 > y0").select(page, *[F.col(c).cast("double").alias(c) for c in ("y0", "y1", "x0", "x1")])
+    rows = rows.repartition(page).sortWithinPartitions(page, "y0")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: object = None
+        begun = done = False
+        right: list[tuple[float, float]] = []  # right edges, least first, with where the line ends
+        left: list[tuple[float, float]] = []  # left edges, greatest first
+        for batch in batches:
+            out = []
+            for key, y0, y1, x0, x1 in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or key != at:
+                    at, begun, done, right, left = key, True, False, [], []
+                if done:
+                    continue
+                heappush(right, (x1, y1))
+                heappush(left, (-x0, y1))
+                for heap in (right, left):
+                    while heap[0][1] <= y0:
+                        heappop(heap)
+                if right[0][0] + gap < -left[0][0]:
+                    out.append(key)
+                    done = True
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(0).type)], [page])
+
+    return rows.mapInArrow(found, rows.select(page).schema)
+
+
+def routes(lines: DataFrame, page: str) -> DataFrame:
     """page and route: lines (id, text, x0, y0, x1, y1, on a scale of 1000) of plain prose go the standard way."""
     body = lines.where((F.trim("text") != "") & (F.col("y0") > 70) & (F.col("y1") < 900))
     per = body.groupBy(page).agg(
         F.count("*").alias("n"), F.count_if(F.col("x1") - F.col("x0") > 500).alias("wide"),
         F.count_if(F.rlike("text", F.lit(r"[.!?…][”’\"')\]]?\s*$"))).alias("ends"), F.bool_or(F.rlike("text", F.lit(r"^\s*\d{1,3}\s+\p{L}"))).alias("counters"),
     )
-    side = lambda p: body.select(F.col(page), *[F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")])
-    beside = side("a").join(side("b"), page).where("a_x1 + 80 < b_x0 AND least(a_y1, b_y1) > greatest(a_y0, b_y0)").select(page).distinct().withColumn("columns", F.lit(True))
+    beside = pages_with_columns(body, page).withColumn("columns", F.lit(True))
     simple = (F.col("n") >= 8) & F.col("columns").isNull() & ~F.col("counters") & (F.col("wide") / F.col("n") >= 0.75) & (F.col("ends") / F.col("n") < 0.5)
     known = lines.select(page).distinct().join(per, page, "left").join(beside, page, "left")
     return known.select(page, F.when(F.coalesce(simple, F.lit(False)), "standard").otherwise("ordered").alias("route"))

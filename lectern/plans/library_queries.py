@@ -82,15 +82,11 @@ def search_language_rule(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS files, sha256(string_agg('# file ' || doc_id || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS whole FROM documents WHERE n_chars < 3000 GROUP BY source
+SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS files, sha256(string_agg('# file ' || doc_id || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS whole FROM documents GROUP BY source
 """)
 def text_stats_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's files in order as one text, under a heading each (a book's files fit in a row)."""
-    files = read(spark, d, "documents").where("n_chars < 3000")
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    rows = files.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("files"), parts.alias("p"))
-    whole = F.array_join(F.transform("p", lambda p: F.concat(F.lit("# file "), p["doc_id"], F.lit("\n"), p["text"])), "\n\n")
-    return rows.select("source", "chars", "files", F.sha2(whole, 256).alias("whole"))
+    """Each source's files in order as one text, under a heading each."""
+    return L.whole_digests(read(spark, d, "documents"), "source", "doc_id", "text")
 
 
 # ---- editions and chapters ----
@@ -111,7 +107,7 @@ def bilingual_step(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").groupBy(step.alias("step")).agg(F.count("*").alias("chapters"), F.sum(k % 6).alias("matched"))
 
 
-_READY = "r AS (SELECT o_orderpriority AS key, o_orderkey, o_orderstatus <> 'P' AS done, o_orderstatus <> 'P' AND o_orderkey % 3 <> 0 AS paired, o_orderkey % 2 = 0 AS linked FROM orders WHERE o_orderkey < 400)"
+_READY = "r AS (SELECT o_custkey AS key, o_orderkey, o_orderstatus <> 'P' AS done, o_orderstatus <> 'P' AND o_orderkey % 3 <> 0 AS paired, o_orderkey % 2 = 0 AS linked FROM orders)"
 
 
 @query(f"""
@@ -120,7 +116,7 @@ WITH {_READY} SELECT key, count(*) AS selected, count(*) FILTER (WHERE paired) A
 """)
 def bilingual_readiness(spark: SparkSession, d: str) -> DataFrame:
     k, done = F.col("o_orderkey"), F.col("o_orderstatus") != "P"
-    rows = read(spark, d, "orders").where("o_orderkey < 400").withColumn("key", F.col("o_orderpriority"))
+    rows = read(spark, d, "orders").withColumn("key", F.col("o_custkey"))
     return L.readiness(rows, "key", F.lpad(k.cast("string"), 6, "0"), done, done & (k % 3 != 0), k % 2 == 0)
 
 
