@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 def incremental_job(spark: SparkSession, d: str) -> DataFrame:
     """The turns as a stream, each worked on once and kept in a table: its words and characters."""
     folder = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(read(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet")
+    stream = spark.readStream.schema(read(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")  # a pattern: the source takes folders or patterns, and the table may be one file
     work = lambda rows: rows.select("conv_id", "turn", jobs.HASH, F.coalesce(T.word_count(F.col("text")), F.lit(0)).alias("words"), F.length("text").cast("long").alias("chars"))
     jobs.run_incremental(stream, ["conv_id", "turn"], ["role", "text"], work, f"{folder}/out", f"{folder}/checkpoint", availableNow=True).awaitTermination()
     return jobs.latest(jobs.results(spark, f"{folder}/out"), ["conv_id", "turn"]).drop(jobs.HASH)
