@@ -119,16 +119,23 @@ def violations(pairs: DataFrame, unit: str, order: str) -> DataFrame:
 def link_batches(pairs: DataFrame, unit: str, order: str, size: str, *, most: int = 5000, longest: int = 12_000) -> DataFrame:
     """unit, order and batch (from 0): pairs in order, a new batch where the size would pass `most`; one longer than `longest` is an error."""
     safe = F.when(F.col(size) > longest, F.raise_error(F.lit("a passage is too long to link")).cast("long")).otherwise(F.col(size).cast("long"))
-    lists = pairs.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), safe.alias("n")))).alias("p"))
-    empty = F.struct(F.array().cast("array<struct<o:bigint,batch:int>>").alias("done"), F.lit(0).alias("batch"), F.lit(0).cast("long").alias("held"))
+    rows = pairs.select(F.col(unit).alias("u"), F.col(order).cast("long").alias("o"), F.coalesce(safe, F.lit(0)).alias("n"))
+    rows = rows.repartition("u").sortWithinPartitions("u", "o", "n")
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["held"] > 0) & (acc["held"] + x["n"] > most)
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(F.array_append(acc["done"], F.struct(x["o"].alias("o"), batch.alias("batch"))).alias("done"), batch.alias("batch"), F.when(full, x["n"]).otherwise(acc["held"] + x["n"]).alias("held"))
-
-    out = lists.select(unit, F.explode(F.aggregate("p", empty, step, lambda acc: acc["done"])).alias("x"))
-    return out.select(unit, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, number, held = False, None, 0, 0
+        for batch in batches:
+            out = []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or key != at:
+                    begun, at, number, held = True, key, 0, 0
+                if held > 0 and held + n > most:
+                    number, held = number + 1, 0
+                held += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [unit, order, "batch"])
+
+    return rows.mapInArrow(run, f"`{unit}` {rows.schema['u'].dataType.simpleString()}, `{order}` bigint, batch int")
 
 
 def reordered(files: DataFrame, wanted: DataFrame, unit: str, key: str) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import _listed
 from .relational import as_of, running_total
 
-#: A private character that marks a cut; texts do not hold it.
+#: A private character that marks a cut where SQL cuts the same texts.
 CUT = ""
 MIN_CUE_MS = 1200
 CLOSING = r"[.!?…]+[\"'»”’)\]]*$"
@@ -48,30 +55,50 @@ def page_at(asks: DataFrame, spans: DataFrame, unit: str, offset: str, raw_lengt
 # ---- sentences and tokens ----
 
 
-def _pieces(rows: DataFrame, keys: list[str], cut: Column) -> DataFrame:
-    """Each piece of a text cut at CUT: keys, pos, piece and at, where it starts in the text."""
-    out = rows.select(*keys, F.posexplode(F.split(cut, CUT)).alias("pos", "piece")).withColumn("__n", F.length("piece").cast("long"))
-    return running_total(out, keys, [F.col("pos")], "__n", "at").drop("__n")
+_CLOSED = re.compile(r"[.!?…][\"”’)]?[ \t\r\n]+")
+_BLANK_LINE = re.compile(r"\n[ \t\r\n]*\n[ \t\r\n]*")
+_TOKEN = re.compile(r"\w+")
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
+SPANS = "array<struct<start:bigint,end:bigint,text:string>>"
+
+
+def sentence_spans(text: str | None) -> list[dict]:
+    """Where sentences stand: cut after a closing mark, and at a blank line unless the next word begins in lower case."""
+    text = text or ""
+    cuts = {m.end() for m in _CLOSED.finditer(text)}
+    for m in _BLANK_LINE.finditer(text):
+        after = text[m.end() : m.end() + 1]
+        if after and after not in "\x0b\f" and unicodedata.category(after) != "Ll":
+            cuts.add(m.end())
+    out = []
+    for start, end in pairwise(sorted(cuts | {0, len(text)})):
+        body = text[start:end].strip(" \t\r\n")
+        if body:
+            at = text.index(body, start)
+            out.append({"start": at, "end": at + len(body), "text": body})
+    return out
+
+
+def token_spans(text: str | None) -> list[dict]:
+    return [{"start": m.start(), "end": m.end(), "text": m[0]} for m in _TOKEN.finditer(text or "")]
 
 
 def sentences(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, number (from 0), start, end and sentence: cut after a closing mark, and at a blank line unless the next word begins in lower case."""
-    t = F.regexp_replace(text, F.lit(r"([.!?…][\"”’)]?[ \t\r\n]+)"), F.lit(f"$1{CUT}"))
-    t = F.regexp_replace(t, F.lit(rf"(\n[ \t\r\n]*\n[ \t\r\n]*)([^\p{{Ll}}\s{CUT}])"), F.lit(f"$1{CUT}$2"))
-    rows = _pieces(texts, keys, t)
-    blank = " \t\r\n"
-    body = F.btrim("piece", F.lit(blank))
-    lead = F.length("piece") - F.length(F.ltrim("piece", F.lit(blank)))
-    rows = rows.withColumn("sentence", body).where("sentence <> ''").withColumn("start", (F.col("at") + lead).cast("long"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1
-    return rows.select(*keys, number.alias("number"), "start", (F.col("start") + F.length("sentence")).cast("long").alias("end"), "sentence")
+    """keys, number (from 0), start, end and sentence of each row's text; a null text has none."""
+    rows = _listed(texts, keys, [text], sentence_spans, SPANS, _SPANS, "spans")
+    rows = rows.select(*keys, F.posexplode("spans").alias("number", "s"))
+    return rows.select(*keys, "number", "s.start", "s.end", F.col("s.text").alias("sentence"))
+
+
+def token_lists(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """keep and spans (start, end and text of runs of letters and digits, in order) of each row's text."""
+    return _listed(texts, keep, [text], token_spans, SPANS, _SPANS, "spans")
 
 
 def tokens(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, id (from 1), start, end and token: runs of letters and digits."""
-    rows = _pieces(texts, keys, F.regexp_replace(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(f"{CUT}$1{CUT}"))).where("pos % 2 = 1")
-    number = F.floor(F.col("pos") / 2) + 1
-    return rows.select(*keys, number.cast("int").alias("id"), F.col("at").alias("start"), (F.col("at") + F.length("piece")).cast("long").alias("end"), F.col("piece").alias("token"))
+    rows = token_lists(texts, keys, text).select(*keys, F.posexplode("spans").alias("pos", "s"))
+    return rows.select(*keys, (F.col("pos") + 1).alias("id"), "s.start", "s.end", F.col("s.text").alias("token"))
 
 
 def under_anchors(words: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,26 +113,62 @@ def under_anchors(words: DataFrame, anchors: DataFrame, keys: list[str]) -> Data
 
 
 def sentence_cues(words: DataFrame, unit: str, order: list[str], start: str, end: str, text: str) -> DataFrame:
-    """unit, cue (from 0), start_ms, end_ms and text: words up to a closing mark that make MIN_CUE_MS; a short rest joins the cue before."""
-    w = F.struct(*order, F.col(start).alias("s"), F.col(end).alias("e"), F.col(text).alias("t"), F.rlike(text, F.lit(CLOSING)).alias("closing"))
-    lists = words.groupBy(unit).agg(F.array_sort(F.collect_list(w)).alias("w"))
-    cue = "struct<s:bigint,e:bigint,t:string>"
-    empty = F.struct(F.array().cast(f"array<{cue}>").alias("done"), F.lit(None).cast(cue).alias("cur"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.struct(F.coalesce(acc["cur"]["s"], x["s"]).cast("long").alias("s"), x["e"].cast("long").alias("e"), F.concat(F.coalesce(acc["cur"]["t"], F.lit("")), x["t"], F.lit(" ")).alias("t"))
-        closed = x["closing"] & (now["e"] - now["s"] >= MIN_CUE_MS)
-        return F.struct(F.when(closed, F.array_append(acc["done"], now)).otherwise(acc["done"]).alias("done"), F.when(~closed, now).alias("cur"))
-
-    def finish(acc: Column) -> Column:
-        done, cur, n = acc["done"], acc["cur"], F.size(acc["done"])
-        last = F.element_at(done, -1)
-        longer = F.struct(last["s"].alias("s"), cur["e"].alias("e"), F.concat(last["t"], cur["t"]).alias("t"))
-        short = (n > 0) & (cur["e"] - cur["s"] < MIN_CUE_MS)
-        return F.when(cur.isNull(), done).when(short, F.array_append(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), longer)).otherwise(F.array_append(done, cur))
-
-    cues = lists.select(unit, F.posexplode(F.aggregate("w", empty, step, finish)).alias("cue", "x"))
-    return cues.select(unit, "cue", F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"), F.trim("x.t").alias("text"))
+    """unit, cue (from 0), start_ms, end_ms and text: words up to a closing mark that make MIN_CUE_MS; a short rest joins the cue before.
+
+    A unit's words pass one task in order, a batch at a time; a cue is given out when the next one ends.
+    """
+    names = [f"o{i}" for i in range(len(order))]
+    rows = words.select(F.col(unit).alias("u"), *[F.col(o).alias(n) for o, n in zip(order, names)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(text).alias("t"), F.coalesce(F.rlike(text, F.lit(CLOSING)), F.lit(False)).alias("closing"))
+    rows = rows.repartition("u").sortWithinPartitions("u", *names, "s", "e", "t").select("u", "s", "e", "t", "closing")
+    fields = [unit, "cue", "start_ms", "end_ms", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, n = False, None, 0
+        held: list | None = None  # the cue before, which a short rest may join
+        cue: list | None = None  # start, end, words
+        out: list[tuple] = []
+
+        def put(x: list) -> None:
+            nonlocal n
+            out.append((at, n, x[0], x[1], " ".join(x[2]).strip(" ")))
+            n += 1
+
+        def end_unit() -> None:
+            nonlocal held, cue
+            if held and cue and cue[1] - cue[0] < MIN_CUE_MS:
+                held, cue = [held[0], cue[1], held[2] + cue[2]], None
+            for x in (held, cue):
+                if x:
+                    put(x)
+            held = cue = None
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, s, e, t, closing in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or key != at:
+                    if begun:
+                        end_unit()
+                    begun, at, n = True, key, 0
+                cue = cue or [s, e, []]
+                cue[1] = e
+                cue[2].append(t or "")
+                if closing and cue[1] - cue[0] >= MIN_CUE_MS:
+                    if held:
+                        put(held)
+                    held, cue = cue, None
+            yield _cue_batch(out, kind, fields)
+            out.clear()
+        if begun:
+            end_unit()
+            yield _cue_batch(out, kind, fields)
+
+    return rows.mapInArrow(run, f"`{unit}` {rows.schema['u'].dataType.simpleString()}, cue int, start_ms bigint, end_ms bigint, text string")
+
+
+def _cue_batch(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (kind, pa.int32(), pa.int64(), pa.int64(), pa.string()))], names)
 
 
 def cue_at(asks: DataFrame, cues: DataFrame, unit: str, ms: str) -> DataFrame:

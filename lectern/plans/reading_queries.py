@@ -98,11 +98,11 @@ SELECT conv_id, turn, CAST(pos // 2 + 1 AS INTEGER) AS id, token, after FROM v W
 def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The tokens within characters 20 to 120 of a turn, each with what stands between it and the next one."""
     turns = read(spark, d, "conversations")
-    words = G.tokens(turns, ["conv_id", "turn"], "text")
-    following = F.lead("start").over(Window.partitionBy("conv_id", "turn").orderBy("id"))
-    rows = words.withColumn("next", following).join(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    after = F.substring("text", F.col("end").cast("int") + 1, (F.coalesce("next", F.length("text")) - F.col("end")).cast("int"))
-    return rows.where("start >= 20 AND `end` <= 120").select("conv_id", "turn", "id", "token", after.alias("after"))
+    rows = G.token_lists(turns, ["conv_id", "turn", "text"], "text").select("*", F.posexplode("spans").alias("pos", "s"))
+    end = F.col("s.end").cast("int")
+    following = F.coalesce(F.get("spans", F.col("pos") + 1)["start"].cast("int"), F.length("text"))
+    after = F.substring("text", end + 1, following - end)
+    return rows.where("s.start >= 20 AND s.`end` <= 120").select("conv_id", "turn", (F.col("pos") + 1).alias("id"), F.col("s.text").alias("token"), after.alias("after"))
 
 
 @query(rf"""
