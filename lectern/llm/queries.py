@@ -38,11 +38,12 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, keep=["doc_id"], learned=secrets.learned_words(docs))
     spans = F.col("secrets")
     counts = [secrets.count_of(spans, k).alias(f"n_{k}") for k in secrets.KINDS]
     base = secrets.digest(F.filter(spans, lambda s: s["kind"] != "guess"))
-    return found.select("doc_id", *counts[:3], F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans).alias("spans"), counts[3])
+    return found.select("doc_id", *counts[:3], F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans).alias("spans"), counts[3], secrets.prices(spans).alias("prices"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
