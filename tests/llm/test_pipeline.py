@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline as pipeline
 from lectern.llm import secrets, sentencepiece
-from tests.llm.test_texts import components_plain, mix_targets
+from tests.llm.test_texts import components_plain, mix_targets, learned_plain
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,9 +26,10 @@ def test_stages(spark, tmp_path):
     groups = components_plain(list(text["quality"].items()), 5, 80)
     assert sorted(ids["near_dedup"]) == sorted(i for i, (_, _, kept) in groups.items() if kept)
     assert sorted(ids["secrets"]) == sorted(ids["near_dedup"])
+    learned = learned_plain(text["near_dedup"].values())
     for i, t in text["secrets"].items():
         before = text["near_dedup"][i]
-        assert t == secrets.masked(before, secrets.scan(before)) and not [s for s in secrets.scan(t) if s.kind != "guess"]
+        assert t == secrets.masked(before, secrets.scan(before, learned=learned)) and not [s for s in secrets.scan(t) if s.kind != "guess"]
     size = {r["doc_id"]: (r["source"], len(WORD.findall(r["text"]))) for r in given["secrets"]}
     words, taken, largest = {}, {}, {}
     for s, n in size.values():

@@ -251,6 +251,36 @@ def test_secrets_against_plain(spark):
     assert secrets.find_secrets(table(spark, []), keep=["doc_id"]).count() == 0
 
 
+def learned_plain(texts, times=5):
+    """Words of letters outside credential values, most frequent first."""
+    found = {}
+    for t in texts:
+        t = t or ""
+        hidden = set()
+        for pattern in (secrets.CONTEXT, secrets.ASSIGN):
+            for m in pattern.finditer(t):
+                hidden |= set(range(*m.span(m.lastindex)))
+        shown = "".join("\n" if i in hidden else c for i, c in enumerate(t)) if hidden else t
+        for w in re.findall(r"[^\W\d_]{3,24}(?![^\W\d_])", shown.lower()):
+            found[w] = found.get(w, 0) + 1
+    return {w: i + 1 for i, (w, n) in enumerate(sorted(((w, n) for w, n in found.items() if n >= times), key=lambda x: (-x[1], x[0])))}
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    plain = ["Es war unglaublich, die Zusammenfassung ist unbelievable."] * 4 + ["zusammenfassung Unglaublich unbelievable!"] * 3
+    texts = [*plain, "password is unbelievable", "the token is Zusammenfassung", "secret: unglaublichZusammenfassung"] + ["passphrase = correcthorsebatterystaple"] * 30 + ["passphrase = Qwxzvbnmkjhgf"] * 30 + [None, "", "tokens " * 10_000]
+    df = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    learned = secrets.learned_words(df)
+    assert learned == learned_plain(texts) and {"zusammenfassung", "unbelievable"} <= set(learned) and "qwxzvbnmkjhgf" not in learned
+    found = {r["doc_id"]: [s for s in r["secrets"] if s["kind"] == "guess"] for r in secrets.find_secrets(df, keep=["doc_id"], learned=learned).collect()}
+    assert not any(found[i] for i in range(9)) and all(len(found[i]) == 1 for i in range(40, 70))
+    alone = {r["doc_id"]: [s["kind"] for s in r["secrets"]] for r in secrets.find_secrets(df, keep=["doc_id"]).collect()}
+    assert "guess" in alone[8]  # without the corpus' words
+    assert len(secrets.learned_words(df, most=2)) <= 2 and secrets.learned_words(table(spark, [])) == {}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, learned=learned).collect()}
+    assert out[7] == texts[7] and out[50] == f"passphrase = {secrets.MASK}" and out[69 + 1] is None
+
+
 def test_secret_values_whole():
     """A base match of a value's head does not hide the rest of the value."""
     text = 'password=Tr0ub4dor&3xyz$Q9 then secret: "abcdefgh1234"'
