@@ -6,7 +6,6 @@ as Parquet and read again as the next stage's docs.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash, mixing, quality, secrets, sentencepiece
-from lectern.llm.tables import held, read, remainder, small_batches
+from lectern.llm.tables import held, read, remainder, shared_folder, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; the values of secrets in them are masked, and n_chars follows the text."""
     small_batches(spark)
-    return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return secrets.redact(docs.select(*COLUMNS), learned=secrets.learned_words(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again in between."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.abspath("spark-warehouse")
+    folder = shared_folder(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
