@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .tables import tidy
 from .words import _TABLE, buffers, inverse_powers, mix, powers, rolling
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,9 +43,9 @@ SEED = 17
 BLANK = "▁"
 
 #: Bytes of text that one pass works on, unless one text alone is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Lattice edges that a task keeps for words met before.
-KEPT_EDGES = 6_000_000
+KEPT_EDGES = 4_000_000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -380,7 +381,7 @@ def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-2]), *out], schema.names)
 
     seeds = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))
-    return df.select(*keep, F.col(text).alias("__text"), seeds.alias("__seed")).mapInArrow(drawn, schema)
+    return df.select(*keep, F.col(text).alias("__text"), seeds.alias("__seed")).mapInArrow(lambda batches: tidy(drawn(batches)), schema)
 
 
 def decode(df: DataFrame, *, pieces_col: str = "pieces", keep: list[str] | None = None, model: str = MODEL, name: str = "text") -> DataFrame:
