@@ -20,6 +20,8 @@ also the shorter history's count is; the recursion is a sum over the lengths bac
 sums of each document meet by document.  Counts of counts travel with the blocks, so that
 every discount rests on all of the corpus.
 
+Keys are whole numbers (of any other type, only those that Spark casts to one).
+
 Defined results: a null or empty text has the end token only; each row is scored for itself, also where rows share a
 key or have none (rows equal in key and text get the same scores, and each teaches); with no training document every token is
 unknown with probability 1; an empty table gives an empty result; other columns
@@ -41,7 +43,7 @@ from .tables import held
 from .words import mix, words
 
 ORDER = 3
-FREQUENT = 65_000
+FREQUENT = 1 << 18
 DISCOUNTED = 5
 START, END = 0, 1  # symbols; the frequent words follow, and then all others by hash
 _RARE = np.uint64(1 << 63)
@@ -53,15 +55,18 @@ STEP = 1_500_000
 
 
 def pack(*columns: np.ndarray) -> bytes:
+    """Columns in a row, compressed: of each all numbers' first bytes, then all second bytes and so on, as small numbers then take little."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(columns, 5))
+    planes = [(c.dtype.str, np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T)) for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes, 5))
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+    return tuple(np.ascontiguousarray(x.T).ravel().view(kind) for kind, x in planes)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -141,21 +146,31 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """All numbers' first bytes, all second bytes and so on: small numbers then compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-
-
 def _pack_symbols(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Frequent words' ranks as their length in bits and the bits after the first, length by length; other words' hashes as they are."""
     rare = x >= _RARE
-    small = x[~rare]
-    return np.packbits(rare), _planes(small.astype(np.uint16 if small.max(initial=0) < 1 << 16 else np.uint32)), x[rare]
+    small = x[~rare].astype(np.uint32)
+    width = np.frexp(small.astype(np.float64))[1].astype(np.uint8)
+    tails = [np.packbits((small[width == w][:, None] >> np.arange(w - 1, dtype=np.uint32)).astype(np.uint8) & 1) for w in range(2, int(width.max(initial=0)) + 1)]
+    return np.packbits(rare), width, np.concatenate([np.zeros(0, np.uint8), *tails]), x[rare]
+
+
+#: Columns that _pack_symbols makes.
+PARTS = 4
 
 
-def _unpack_symbols(n: int, bits: np.ndarray, planes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+def _unpack_symbols(n: int, bits: np.ndarray, width: np.ndarray, tails: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    small = (width > 0).astype(np.uint64)
+    at = 0
+    for w in range(2, int(width.max(initial=0)) + 1):
+        here = np.flatnonzero(width == w)
+        size = -(-len(here) * (w - 1) // 8)
+        tail = np.unpackbits(tails[at : at + size], count=len(here) * (w - 1)).reshape(len(here), w - 1)
+        small[here] = tail.astype(np.uint64) @ (np.uint64(1) << np.arange(w - 1, dtype=np.uint64)) + np.uint64(1 << (w - 1))
+        at += size
     is_rare = np.unpackbits(bits, count=n).astype(bool)
     x = np.empty(n, np.uint64)
-    x[~is_rare], x[is_rare] = np.ascontiguousarray(planes.T).view(f"u{len(planes)}").ravel(), rare
+    x[~is_rare], x[is_rare] = small, rare
     return x
 
 
@@ -246,7 +261,7 @@ def _sums(model: Unigrams, buckets: int, order: int):
         for block in group["block"]:
             vals, runs, place, i, t, *packed = unpack(block)
             ws.append(np.repeat(vals, runs))
-            hss.append([_unpack_symbols(len(ws[-1]), *packed[3 * j : 3 * j + 3]) for j in range(order - 1)])
+            hss.append([_unpack_symbols(len(ws[-1]), *packed[PARTS * j : PARTS * j + PARTS]) for j in range(order - 1)])
             docs.append(place.astype(np.int32) + np.int32(base))
             ids.append(i)
             trains.append(t)
@@ -361,7 +376,7 @@ def _finish(model: Unigrams, order: int):
             rows = []
             for block in group["block"][group["kind"] == kind]:
                 x = unpack(block)
-                rows.append([*(_thick(*x[:columns]) if kind[0] == "h" else x[:columns]), *(_unpack_symbols(len(x[0]), *x[columns + 3 * j : columns + 3 * j + 3]) for j in range(back))])
+                rows.append([*(_thick(*x[:columns]) if kind[0] == "h" else x[:columns]), *(_unpack_symbols(len(x[0]), *x[columns + PARTS * j : columns + PARTS * j + PARTS]) for j in range(back))])
             return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
         tables = [unpack(b) for b in group["block"][group["kind"] == "n"]]

@@ -23,6 +23,8 @@ Rows are sets of word shingles.  Equal sets are one class.  A class's signature
 Nothing is capped: what the leaders leave open, step 4 settles.  A pair at exactly the
 similarity limit misses ``matches`` with a probability of at most 1e-6 (see matches_for).
 
+Keys are whole numbers (of any other type, only those that Spark casts to one).
+
 Defined results: lower-casing is for A-Z; a text with fewer words than the shingle has one
 shingle, all its words; null, empty and blank texts have no shingles and no links; a
 null key keeps its row, without links; rows with one key are linked each for its own text, and

@@ -26,6 +26,8 @@ A text is known by its key and, only where a key has different texts, a 64-bit h
 share a key are one document as a source (they never cover each other), but each loses what is
 repeated in its own text.
 
+Keys are whole numbers (of any other type, only those that Spark casts to one).
+
 Defined results: null, empty and blank texts have no words; a text with fewer
 than k words has no window; windows that repeat only within one document stay; rows with a null key
 keep all words and cover nobody's; an empty table gives an empty result; other columns
