@@ -100,7 +100,7 @@ def is_title_like(text: Column) -> Column:
     return (word_count(text) <= 8) & (F.regexp_count(text, F.lit(r"\p{L}")) >= 3) & ~F.rlike(text, F.lit(r"\p{Ll}"))
 
 
-# Frequent short words of each language.
+# Frequent short words of each language, and the letters of those that no other language here is written in.
 _COMMON = {
     "en": "the of and to in is that it was for on are as with by this from",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch",
@@ -109,16 +109,51 @@ _COMMON = {
     "it": "di e il la che in un per è del della non con una sono le da si",
     "pt": "de a o que e do da em um para é com não uma os no se na por",
     "nl": "de van het een en in is dat op te zijn met voor niet aan",
+    "da": "og i at det er en til af på for med den der som ikke de har var et",
+    "no": "og i det er en til av på for med den som ikke de har var et jeg",
+    "sv": "och i att det är en som på av för med den till inte de om ett han var",
+    "fi": "ja on ei se että oli hän mutta kun niin myös ovat joka hänen kuin",
+    "hu": "a az és hogy nem is egy ez volt meg de azt csak már van ha el mint",
+    "pl": "i w się na nie z do to że jest jak o po ale tak za co od przez",
+    "cs": "a se v na je že to s z do o k i jako ale po by jsem které",
+    "sk": "a sa v na je že to s z do o k aj ako ale po by som ktoré",
+    "sl": "in je v da se na za so z ne bi ki kot pa po tudi ali pri",
+    "hr": "i je u da se na za od s ne su što kao ali po bi sam koji",
+    "ro": "și de în a la cu pe nu că o un din este mai să pentru care sau fost",
+    "tr": "ve bir bu da de için ile ne o çok gibi daha olan kadar sonra ama en değil",
+    "vi": "và của là có không cho được trong một người với các này đã khi đến",
+    "id": "yang dan di dengan untuk dari ini itu pada tidak adalah dalam akan ke juga oleh",
+    "bg": "на и да се от за не в с по е са като до ще това който си беше",
+    "ru": "и в не на я что он с как это по но они мы за из от его было",
+    "uk": "і в не на що з та до як це за від про його він вона але є було",
+    "sr": "и је у да се на за од са не су што као али по би сам",
+    "ar": "في من على إلى أن التي هذا عن مع لا ما هو كان",
+    "fa": "و در به از که این را با است برای آن می تا",
 }
+_SCRIPTS = {"el": "Greek", "he": "Hebrew", "hi": "Devanagari", "ko": "Hangul"}
 
 
 def guess_language(words: Column) -> Column:
-    """The language with most of its frequent words among the words (lower case); null without any."""
-    scores = F.array(*[F.struct(F.size(F.filter(words, _among(c.split()))).alias("n"), F.lit(lang).alias("lang")) for lang, c in _COMMON.items()])
+    """The language with most of its frequent words, or of words in its letters, among the words (lower case); null without any."""
+    kana, han = r"[\p{IsHiragana}\p{IsKatakana}]", r"\p{IsHan}"
+    counts = {lang: F.size(F.filter(words, _among(c.split()))) for lang, c in _COMMON.items()}
+    counts |= {lang: F.size(F.filter(words, _written(rf"\p{{Is{name}}}"))) for lang, name in _SCRIPTS.items()}
+    counts |= {"ja": F.size(F.filter(words, _written(kana))), "zh": F.size(F.filter(words, lambda w: w.rlike(han) & ~w.rlike(kana)))}
+    # of equal counts the language listed first
+    scores = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("place"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(counts.items())])
     best = F.array_max(scores)
     return F.when(best["n"] > 0, best["lang"])
 
 
+def detect_language(text: Column, least: int = 200) -> Column:
+    """The language of a text of at least that many characters; null for a shorter one."""
+    return F.when(F.length(F.trim(text)) >= least, guess_language(words_of(text)))
+
+
+def _written(pattern: str):
+    return lambda w: w.rlike(pattern)
+
+
 def _among(common: list[str]):
     return lambda w: w.isin(*common)
 

@@ -136,8 +136,8 @@ def lowest_per(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 def queue_eta(queue: DataFrame, lane: str, owner: str, order: list[Column], amount: str) -> DataFrame:
     """For each owner in a lane: the amount of work up to its last item, in queue order."""
-    up_to = Window.partitionBy(lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return queue.withColumn("__upto", F.sum(amount).over(up_to)).groupBy(lane, owner).agg(F.max("__upto").alias("work_until_done"), F.count("*").alias("items"))
+    rows = long_running_total(queue, [lane], order, amount, "__before")
+    return rows.withColumn("__upto", F.col("__before") + F.coalesce(amount, F.lit(0))).groupBy(lane, owner).agg(F.max("__upto").alias("work_until_done"), F.count("*").alias("items"))
 
 
 def option_counts(values: DataFrame, column: str, chosen: list[str]) -> DataFrame:
@@ -218,6 +218,29 @@ def running_total(df: DataFrame, by: list[str], order: list[Column], value: str,
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
+def long_running_total(df: DataFrame, by: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """running_total for groups that may hold a large share of all rows.
+
+    Rows are ranged over partitions by group and order; each group's part of a partition is summed for itself, and
+    the sums of a group's earlier parts, a row each, are added. Rows with equal group and order may stand in either order.
+    """
+    keys = [F.col(b) for b in by]
+    # equal places may part, too, so that no value of the order fills a partition
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = hold(ranged.repartitionByRange(*keys, *order, F.col("__tie")).withColumn("__part", F.spark_partition_id()))
+    within = Window.partitionBy(*by, "__part").orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = ranged.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    parts = parts.withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).where("__base <> 0")
+    base = parts.select(*[F.col(b).alias(f"__{i}") for i, b in enumerate(by)], F.col("__part").alias("__p"), "__base")
+    same = F.col("__part") == F.col("__p")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"__{i}"))
+    total = F.coalesce(F.sum(value).over(within), F.lit(0))
+    rows = ranged.withColumn(name, total).join(base, same, "left")
+    return rows.withColumn(name, F.col(name) + F.coalesce("__base", F.lit(0))).select(*df.columns, name)
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, start: str, values: list[str]) -> DataFrame:
     """left with the values of right's last row of that group that starts no later; both sides meet in one sort."""
     marks = right.select(F.col(by), F.col(start).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != by])

@@ -462,7 +462,7 @@ SELECT doc_id, CAST(coalesce(o, 0) AS BIGINT) AS page_offset FROM s
 """)
 def page_offset(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "documents").select("doc_id", "source", F.ceil(F.col("n_chars") / 1800.0).alias("pages"))
-    return R.running_total(pages, ["source"], [F.col("doc_id")], "pages", "page_offset").select("doc_id", "page_offset")
+    return R.long_running_total(pages, ["source"], [F.col("doc_id")], "pages", "page_offset").select("doc_id", "page_offset")
 
 
 @query("""

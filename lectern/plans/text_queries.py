@@ -62,7 +62,7 @@ def infer_language_script(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "lang", T.guess_language(T.words_of(F.col("text"))).alias("guess"))
+    return read(spark, d, "documents").select("doc_id", "lang", T.guess_language(T.words_of(F.col("text"))).alias("guess"), T.detect_language(F.col("text")).alias("detected"))
 
 
 @query(r"""

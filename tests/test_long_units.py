@@ -120,3 +120,19 @@ def test_spans_of_rows_that_share_a_key_and_of_odd_texts(spark):
     assert out == [(1, 0, 4, "One."), (1, 0, 6, "Three?"), (1, 5, 9, "Two!"), (1, 7, 11, "four"), (4, 0, 4, "A\x07b."), (4, 5, 10, "­c\n\nd"), (4, 12, 15, 'E…"'), (4, 16, 17, "F")]
     assert reading.tokens(table, ["doc"], "text").where("doc = 5").count() == 50_001
     assert "Exchange" not in reading.tokens(table, ["doc"], "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_totals_of_large_groups(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import relational
+
+    draw = random.Random(6)
+    rows = [(draw.choice(["big"] * 8 + ["small", None]), n, draw.choice([1, 5, None])) for n in range(3000)]
+    table = spark.createDataFrame(rows, "g string, n int, v long").repartition(7)
+    got = {r["n"]: r["before"] for r in relational.long_running_total(table, ["g"], [F.col("n")], "v", "before").collect()}
+    sums = {}
+    for g, n, v in rows:
+        assert got[n] == sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + (v or 0)
+    assert relational.long_running_total(table.limit(0), ["g"], [F.col("n")], "v", "before").count() == 0
