@@ -309,3 +309,71 @@ def ready_outputs(outputs: DataFrame, inputs: DataFrame, key: str, settled: Colu
 def append_rows(rows: DataFrame, path: str, batch: int = 200) -> None:
     """Append rows as Parquet files of at most `batch` rows each."""
     rows.write.option("maxRecordsPerFile", batch).mode("append").parquet(path)
+
+
+# ---- filters of a chapter table ----
+
+# The steps on the way to a two-language text that each choice stands for, and ages in days (from, to).
+STEPS = {
+    "needs-translation": ["no-translation", "translating", "translation-stopped", "translation-failed", "no-text"], "needs-pairing": ["unpaired", "outdated", "pair-failed", "pairing"],
+    "readable": ["paired", "linking", "linked"], "needs-words": ["paired", "linking"], "linked": ["linked"],
+}
+AGES = {"day": (None, 1), "week": (None, 7), "older-week": (7, None), "older-month": (30, None)}
+STALE = "stale"
+
+
+def typed_bound(text: str | None) -> float | None:
+    """A typed bound: a comma may be the decimal mark; nothing, a negative or no number is none, and 0 is one."""
+    try:
+        n = float((text or "").strip().replace(",", "."))
+    except ValueError:
+        return None
+    return n if 0 <= n < float("inf") else None
+
+
+def stale_narration(voice: Column, speed: Column, current: tuple[str, float]) -> Column:
+    """Whether a chapter's audio was not made with the current voice and speed; audio of no known voice was not."""
+    has = F.col("audio").isNotNull() & (F.col("audio") != "")
+    other = F.coalesce(voice, F.lit("")) != current[0]
+    return has & (other | F.coalesce(speed != current[1], F.lit(False)))
+
+
+def chapter_filter(choice: dict, now: Column, current: tuple[str, float]) -> Column:
+    """Whether a chapter is kept by a filter panel's choice; what is not chosen keeps all.
+
+    choice: statuses (any of them), file, voice (a name, or STALE), step (of STEPS), age (of AGES) and typed bounds words_min, words_max, minutes_min,
+    minutes_max. Chapters: status, words, duration_ms, file, audio, voice, speed, made_at, step. A date, voice or length belongs to audio: a
+    chapter without audio has none.
+    """
+    has = F.col("audio").isNotNull() & (F.col("audio") != "")
+    rules = []
+    if choice.get("statuses"):
+        rules.append(F.col("status").isin(choice["statuses"]))
+    if choice.get("file") is not None:
+        rules.append(F.col("file") == choice["file"])
+    if choice.get("voice") == STALE:
+        rules.append(has & stale_narration(F.col("voice"), F.col("speed"), current))
+    elif choice.get("voice"):
+        rules.append(has & (F.col("voice") == choice["voice"]))
+    if choice.get("step"):
+        rules.append(F.col("step").isin(STEPS[choice["step"]]))
+    if choice.get("age"):
+        least, most = AGES[choice["age"]]
+        seconds = F.unix_micros(now) - F.unix_micros(F.col("made_at"))
+        day = 86_400_000_000
+        rules += [has, seconds >= least * day if least is not None else seconds < most * day]
+    for column, name in ((F.col("words"), "words"), (F.col("duration_ms") / 60_000, "minutes")):
+        least, most = typed_bound(choice.get(f"{name}_min")), typed_bound(choice.get(f"{name}_max"))
+        if name == "minutes" and (least is not None or most is not None):
+            rules += [has, F.col("duration_ms").isNotNull()]
+        rules += [column >= least] * (least is not None) + [column <= most] * (most is not None)
+    keep = F.lit(True)
+    for rule in rules:
+        keep &= F.coalesce(rule, F.lit(False))
+    return keep
+
+
+def active_filters(choice: dict) -> int:
+    """How many of a panel's filters are in use; a pair of bounds is one."""
+    bounds = [any(typed_bound(choice.get(f"{name}_{side}")) is not None for side in ("min", "max")) for name in ("words", "minutes")]
+    return sum([bool(choice.get("statuses")), choice.get("file") is not None, *(bool(choice.get(k)) for k in ("voice", "age", "step")), *bounds])

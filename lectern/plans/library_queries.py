@@ -377,3 +377,35 @@ def recovery_sweep(spark: SparkSession, d: str) -> DataFrame:
 def ttl_sweep(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return L.expired(rows, "at", F.lit("2024-01-20 00:00:00").cast("timestamp"), 72).select("event_id")
+
+
+# ---- filters of a chapter table ----
+
+#: Choices of a filter panel, by name.
+CHOICES = {
+    "done": {"statuses": ["F", "P"]}, "one-file": {"file": 3}, "voice": {"voice": "2-HIGH"}, "stale": {"voice": L.STALE}, "readable": {"step": "readable"}, "pairing": {"step": "needs-pairing"}, "words": {"words_min": " 2000,5 ", "words_max": "9000"}, "no-bound": {"words_min": "-3", "minutes_max": "x"},
+    "minutes": {"minutes_max": "1.5"}, "week": {"age": "week"}, "old": {"age": "older-month"}, "all": {"statuses": ["F"], "voice": "2-HIGH", "age": "older-week", "words_max": "12000", "minutes_min": "0"},
+}
+_STEPS = ["no-translation", "translating", "unpaired", "outdated", "pairing", "paired", "linking", "linked"]
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, o_orderstatus AS status, CAST(o_totalprice / 10 AS BIGINT) AS words, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 400) * 500 END AS ms, o_orderkey % 5 AS file, o_orderkey % 3 <> 0 AS audio, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS voice, CASE WHEN o_orderkey % 4 = 0 THEN 1.25 ELSE 1.0 END AS speed,
+  CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 40 + 0.5 END AS age, ['no-translation', 'translating', 'unpaired', 'outdated', 'pairing', 'paired', 'linking', 'linked'][o_orderkey % 8 + 1] AS step FROM orders),
+k AS (SELECT unnest(['done', 'one-file', 'voice', 'stale', 'readable', 'pairing', 'words', 'no-bound', 'minutes', 'week', 'old', 'all']) AS choice),
+m AS (SELECT choice, o_orderkey, CASE choice WHEN 'done' THEN status IN ('F', 'P') WHEN 'one-file' THEN file = 3 WHEN 'voice' THEN audio AND voice = '2-HIGH' WHEN 'stale' THEN audio AND (voice IS NULL OR voice <> '2-HIGH' OR speed <> 1.0) WHEN 'readable' THEN step IN ('paired', 'linking', 'linked') WHEN 'pairing' THEN step IN ('unpaired', 'outdated', 'pairing')
+  WHEN 'words' THEN words >= 2000.5 AND words <= 9000 WHEN 'no-bound' THEN TRUE WHEN 'minutes' THEN audio AND ms IS NOT NULL AND ms / 60000 <= 1.5 WHEN 'week' THEN audio AND age < 7 WHEN 'old' THEN audio AND age >= 30
+  WHEN 'all' THEN status = 'F' AND audio AND voice = '2-HIGH' AND age >= 7 AND words <= 12000 AND ms IS NOT NULL END AS kept FROM c, k)
+SELECT choice, count(*) AS chapters, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM m WHERE coalesce(kept, FALSE) GROUP BY choice
+""")
+def chapter_filters(spark: SparkSession, d: str) -> DataFrame:
+    """How many chapters each choice of a filter panel keeps."""
+    k = F.col("o_orderkey")
+    now = F.lit("2024-06-30 12:00:00").cast("timestamp")
+    made = F.timestamp_micros(F.unix_micros(now) - ((k % 40) * 2 + 1) * 43_200_000_000)
+    chapters = read(spark, d, "orders").select(
+        k, F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") / 10).cast("long").alias("words"), F.when(k % 7 != 0, (k % 400) * 500).alias("duration_ms"), (k % 5).cast("int").alias("file"), F.when(k % 3 != 0, "x.m4a").alias("audio"),
+        F.when(k % 11 != 0, F.col("o_orderpriority")).alias("voice"), F.when(k % 4 == 0, 1.25).otherwise(1.0).alias("speed"), F.when(k % 13 != 0, made).alias("made_at"), F.element_at(F.array(*map(F.lit, _STEPS)), (k % 8 + 1).cast("int")).alias("step"),
+    )
+    kept = F.array(*[F.when(L.chapter_filter(choice, now, ("2-HIGH", 1.0)), name) for name, choice in CHOICES.items()])
+    return chapters.select("o_orderkey", F.explode(F.array_compact(kept)).alias("choice")).groupBy("choice").agg(F.count("*").alias("chapters"), F.sum("o_orderkey").alias("keys"))

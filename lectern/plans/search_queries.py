@@ -15,6 +15,8 @@ from .relational_queries import read
 Q, SQL = {}, {}
 
 ASKED = "the and of"
+#: Partitions of these indexes, which are small.
+BUCKETS = 16
 PHRASES = '"of the" or "and the" -with'
 
 
@@ -31,7 +33,7 @@ def query(sql: str | None = None):
 def indexed(rows: DataFrame, key: str) -> str:
     """A new index of rows' texts in the shared folder."""
     path = f"{shared_folder(rows.sparkSession)}/index-{uuid.uuid4().hex}"
-    postings.write_index(rows, path, key=key, text="text")
+    postings.write_index(rows, path, key=key, text="text", buckets=BUCKETS, files=2)
     return path
 
 
@@ -55,7 +57,7 @@ SELECT doc_id FROM j WHERE contains(t, ' of the ') OR (contains(t, ' and the ')
 def fts_match(spark: SparkSession, d: str) -> DataFrame:
     """Documents that match a query with phrases, an alternative and an excluded word, by positions in the index."""
     parsed = retrieval.parse_query(PHRASES)
-    found = postings.lookup(spark, indexed(read(spark, d, "documents"), "doc_id"), postings.terms_of(parsed))
+    found = postings.lookup(spark, indexed(read(spark, d, "documents"), "doc_id"), postings.terms_of(parsed), BUCKETS)
     return postings.matched(found, parsed).select(F.col("key").alias("doc_id"))
 
 
@@ -68,7 +70,7 @@ SELECT doc_id, cover, CAST(row_number() OVER (ORDER BY cover DESC, doc_id) AS IN
 """)
 def fts_cover_top50(spark: SparkSession, d: str) -> DataFrame:
     """The documents that have the asked words closest together."""
-    found = postings.search(spark, indexed(read(spark, d, "documents"), "doc_id"), ASKED)
+    found = postings.search(spark, indexed(read(spark, d, "documents"), "doc_id"), ASKED, buckets=BUCKETS)
     return found.select(F.col("key").alias("doc_id"), "cover", "rank")
 
 
@@ -80,7 +82,7 @@ def search_library(spark: SparkSession, d: str) -> DataFrame:
     """
     docs, vectors = read(spark, d, "documents"), read(spark, d, "embeddings")
     cut = hold(chunks.chunk_texts(spread(docs), keep=["doc_id", "lang", "source"]).withColumn("id", F.concat_ws(":", "doc_id", "seq")))
-    words = postings.search(spark, indexed(cut, "id"), ASKED).select(F.col("key").alias("id"), "rank")
+    words = postings.search(spark, indexed(cut, "id"), ASKED, buckets=BUCKETS).select(F.col("key").alias("id"), "rank")
     turn = (F.col("doc_id") * 7 + F.col("seq")) % F.lit(max(1, vectors.count()))
     of_chunks = cut.select("id", turn.alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id")
     near = retrieval.vector_leg(of_chunks, vectors.where("vec_id = 0"), key="id", vector="embedding")
