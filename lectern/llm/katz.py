@@ -17,7 +17,7 @@ packed in compressed column blocks, so that all n-grams that end alike meet; eac
 training documents and scores its tokens as far as their longest n-gram met.  What a history has left over needs sums over its partitions: these
 and the held-out tokens that back off meet in a second shuffle, by the history's last word (last two where that one is common), where
 also the shorter history's count is; the recursion is a sum over the lengths backed off from.  The
-sums of each document meet by document.  Counts of counts travel with the blocks, so that
+sums of each document meet by document, in blocks again.  Counts of counts travel with the blocks, so that
 every discount rests on all of the corpus.
 
 Keys are whole numbers (of any other type, only those that Spark casts to one).
@@ -54,19 +54,35 @@ BUCKETS = 2
 STEP = 1_500_000
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns in a row, compressed: of each all numbers' first bytes, then all second bytes and so on, as small numbers then take little."""
+def _planes(c: np.ndarray) -> tuple[str, np.ndarray]:
+    """All numbers' first bytes, then all second bytes and so on, as small numbers then take little."""
+    return c.dtype.str, np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T)
+
+
+def _whole(kind: str, planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).ravel().view(kind)
+
+
+def bundle(parts: list[tuple[str, tuple[np.ndarray, ...]]]) -> bytes:
+    """Named lists of columns, compressed together."""
     import zstandard
 
-    planes = [(c.dtype.str, np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T)) for c in columns]
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes, 5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps([(name, [_planes(c) for c in columns]) for name, columns in parts], 5))
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, ...]:
+def unbundled(block: bytes) -> list[tuple[str, list[tuple[str, np.ndarray]]]]:
+    """The parts of a bundle; _whole makes columns of them."""
     import zstandard
 
-    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(block))
-    return tuple(np.ascontiguousarray(x.T).ravel().view(kind) for kind, x in planes)
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    return bundle([("", columns)])
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, ...]:
+    return tuple(_whole(*c) for c in unbundled(block)[0][1])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -115,30 +131,73 @@ class Unigrams:
         return np.log10((c + 1) / (self.total + self.types + 1))
 
 
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different words, ascending, and their counts."""
+    key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, count, len(key)).astype(np.int64)
+
+
+def _bins(c: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(c) * 16).astype(np.int32)
+
+
 def count_unigrams(df: DataFrame, frequent: int) -> Unigrams:
-    """From rows id, train, text. Only bounded results come to the driver."""
+    """From rows id, train, text. Only bounded results come to the driver: sums, a histogram of counts, and at most `frequent` words that occur twice or more."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            key, count = _counted(parts)
+            to = (mix(key) % np.uint64(buckets)).astype(np.int32)
+            there = [np.flatnonzero(to == b) for b in range(buckets)]
+            some = [b for b in range(buckets) if len(there[b])]
+            blocks = [pack(np.diff(key[there[b]], prepend=np.uint64(0)), _small(count[there[b]])) for b in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
         for batch in batches:
-            parts = [w.hashes() for w in words(batch.column(2), lower=True)]
-            key, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            key, count = np.append(key, np.uint64(END)), np.append(count, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["w", "c"])
-
-    counts = held(df.where("train").select("id", "train", "text").mapInArrow(found, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
-    ofs = [F.count_if(F.col("c") == r) for r in range(1, DISCOUNTED + 2)]
-    total, types, ends, *n = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("w") == END, F.col("c"))), *ofs).first()
+            parts += [np.unique(w.hashes(), return_counts=True) for w in words(batch.column(0), lower=True)]
+            parts.append((np.array([END], np.uint64), np.array([batch.num_rows])))
+            if len(parts) > 64:
+                parts = [_counted(parts)]
+            if len(parts[0][0]) > STEP:
+                yield dealt()
+                parts = []
+        if parts:
+            yield dealt()
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        key, c = _counted([(np.cumsum(k, dtype=np.uint64), n) for k, n in map(unpack, group["block"])])
+        end = key == END
+        often = (c > 1) & ~end
+        bins, n = np.unique(_bins(c[often]), return_counts=True)
+        row = [c.sum(), len(c), c[end].sum(), [int((c == r).sum()) for r in range(1, DISCOUNTED + 2)], bins.tolist(), n.tolist(), pack(key[often], c[often])]
+        return pd.DataFrame([row], columns=["total", "types", "ends", "n", "bins", "sizes", "block"])
+
+    kinds = "total long, types long, ends long, n array<long>, bins array<int>, sizes array<long>, block binary"
+    counts = held(df.where("train").select("text").mapInArrow(found, "bucket int, block binary").groupBy("bucket").applyInPandas(summed, kinds))
+    ofs = [F.sum(F.col("n")[r]) for r in range(DISCOUNTED + 1)]
+    total, types, ends, *n = counts.agg(F.sum("total"), F.sum("types"), F.sum("ends"), *ofs).first()
     # all words from some count on, at most `frequent`: found by a histogram of counts with few bins
-    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
-    bins = counts.where(F.col("w") != END).groupBy(step.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
+    bins = counts.select(F.explode(F.arrays_zip("bins", "sizes")).alias("b")).groupBy(F.col("b.bins").alias("bin")).agg(F.sum("b.sizes").alias("n")).orderBy(F.desc("bin")).collect()
     room, least = frequent, None
     for b in bins:
         room -= b["n"]
         if room < 0:
             break
         least = b["bin"]
-    top = counts.where((F.col("w") != END) & (step >= least)).collect() if least is not None else []
-    return Unigrams(total or 0, types, np.array([0, *n]), ends or 0, [(r["w"], r["c"]) for r in top])
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                key, c = unpack(block.as_py())
+                up = _bins(c) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(key[up].view(np.int64)), pa.array(c[up])], ["w", "c"])
+
+    top = counts.select("block").mapInArrow(upper, "w long, c long").collect() if least is not None else []
+    return Unigrams(total or 0, types or 0, np.array([0, *(x or 0 for x in n)]), ends or 0, [(r["w"], r["c"]) for r in top])
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -147,19 +206,21 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 def _pack_symbols(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Frequent words' ranks as their length in bits and the bits after the first, length by length; other words' hashes as they are."""
+    """Frequent words' ranks as their length in bits and the bits after the first, length by length; other words' hashes as they are. What is in order goes as steps."""
     rare = x >= _RARE
-    small = x[~rare].astype(np.uint32)
+    small, large = x[~rare].astype(np.uint32), x[rare]
+    steps = np.array([bool((c[1:] >= c[:-1]).all()) for c in (small, large)], np.uint8)
+    small, large = (np.diff(c, prepend=c.dtype.type(0)) if step else c for c, step in zip((small, large), steps))
     width = np.frexp(small.astype(np.float64))[1].astype(np.uint8)
     tails = [np.packbits((small[width == w][:, None] >> np.arange(w - 1, dtype=np.uint32)).astype(np.uint8) & 1) for w in range(2, int(width.max(initial=0)) + 1)]
-    return np.packbits(rare), width, np.concatenate([np.zeros(0, np.uint8), *tails]), x[rare]
+    return steps, np.packbits(rare), width, np.concatenate([np.zeros(0, np.uint8), *tails]), large
 
 
 #: Columns that _pack_symbols makes.
-PARTS = 4
+PARTS = 5
 
 
-def _unpack_symbols(n: int, bits: np.ndarray, width: np.ndarray, tails: np.ndarray, rare: np.ndarray) -> np.ndarray:
+def _unpack_symbols(n: int, steps: np.ndarray, bits: np.ndarray, width: np.ndarray, tails: np.ndarray, large: np.ndarray) -> np.ndarray:
     small = (width > 0).astype(np.uint64)
     at = 0
     for w in range(2, int(width.max(initial=0)) + 1):
@@ -168,9 +229,10 @@ def _unpack_symbols(n: int, bits: np.ndarray, width: np.ndarray, tails: np.ndarr
         tail = np.unpackbits(tails[at : at + size], count=len(here) * (w - 1)).reshape(len(here), w - 1)
         small[here] = tail.astype(np.uint64) @ (np.uint64(1) << np.arange(w - 1, dtype=np.uint64)) + np.uint64(1 << (w - 1))
         at += size
+    small, large = (np.cumsum(c, dtype=np.uint64) if step else c for c, step in zip((small, large), steps))
     is_rare = np.unpackbits(bits, count=n).astype(bool)
     x = np.empty(n, np.uint64)
-    x[~is_rare], x[is_rare] = small, rare
+    x[~is_rare], x[is_rare] = small, large
     return x
 
 
@@ -292,7 +354,8 @@ def _sums(model: Unigrams, buckets: int, order: int):
         part = np.where((c > 0) & (w != END), -np.log10(c + 1.0), 0.0)
         part[hs[0] == START] -= np.log10(model.counts[0] + 1.0)
         sums = [np.bincount(doc, model.base(count[0])[gram[0]], n), None, _small(np.bincount(doc, minlength=n)), _small(np.bincount(doc, count[0][gram[0]] > 0, n).astype(np.int64))]
-        out, open_ = [], np.arange(len(w))  # the tokens that no longer n-gram has matched
+        out: list[list] = [[] for _ in range(buckets)]  # what goes to each bucket
+        open_ = np.arange(len(w))  # the tokens that no longer n-gram has matched
         for k in range(order - 1, 0, -1):
             c = count[k][gram[k][open_]]
             part[open_] += np.where(c > DISCOUNTED, np.log10(np.maximum(c, 1)), 0.0)
@@ -306,7 +369,7 @@ def _sums(model: Unigrams, buckets: int, order: int):
                 lost = np.add.reduceat((count[k][gram[k][asks]] == 0)[o], first, dtype=np.int64)
                 first = o[first]
                 mine = [h[first] for h in mine]
-                out += _dealt(f"u{k}", _home(mine), buckets, mine, ids[whose[first]], _small(size), _small(lost))
+                _deal(out, f"u{k}", _home(mine), mine, ids[whose[first]], _small(size), _small(lost))
             open_ = open_[c == 0]
             # by history and by counts up to 5 or more, of the n-gram and of the shorter one that ends it: how many types, and both counts' sums
             met = count[k] > 0
@@ -318,29 +381,27 @@ def _sums(model: Unigrams, buckets: int, order: int):
                 types, c, less = np.diff(np.append(first, len(o))), np.add.reduceat(c[o], first), np.add.reduceat(less[o], first)
                 first = o[first]
                 mine = [h[first] for h in mine]
-                out += _dealt(f"h{k}", _home(mine), buckets, mine, code[first], types, c, less)
+                _deal(out, f"h{k}", _home(mine), mine, code[first], types, c, less)
         part[open_] += np.log10(p_word[gram[0][open_]])
         sums[1] = np.bincount(doc, part, n)
-        out += _dealt("d", mix(ids.view(np.uint64)), buckets, [], ids, *sums)
-        counts = pack(*(np.bincount(np.minimum(c[c > 0], DISCOUNTED + 2), minlength=DISCOUNTED + 3) for c in count[1:]))
-        out += [(b, "n", counts) for b in range(buckets)]
-        return pd.DataFrame(out, columns=["bucket", "kind", "block"])
+        _deal(out, "d", mix(ids.view(np.uint64)), [], ids, *sums)
+        counts = tuple(np.bincount(np.minimum(c[c > 0], DISCOUNTED + 2), minlength=DISCOUNTED + 3) for c in count[1:])
+        return pd.DataFrame({"bucket": np.arange(buckets), "block": [bundle([*parts, ("n", counts)]) for parts in out]})
 
     return run
 
 
-def _dealt(kind: str, home: np.ndarray, buckets: int, symbols: list[np.ndarray], *columns: np.ndarray) -> list[tuple[int, str, bytes]]:
-    to = home % np.uint64(buckets)
+def _deal(out: list[list], kind: str, home: np.ndarray, symbols: list[np.ndarray], *columns: np.ndarray) -> None:
+    """Add to each bucket's parts the rows that have their home there."""
+    to = home % np.uint64(len(out))
     order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    out = []
+    cuts = np.searchsorted(to[order], np.arange(len(out) + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[b] : cuts[b + 1]]
         mine = [c[at] for c in columns]
         if kind[0] == "h":
             mine = _thin(*mine)
-        out.append((int(b), kind, pack(*mine, *(x for h in symbols for x in _pack_symbols(h[at])))))
-    return out
+        out[b].append((kind, (*mine, *(x for h in symbols for x in _pack_symbols(h[at])))))
 
 
 def _thin(code: np.ndarray, types: np.ndarray, c: np.ndarray, less: np.ndarray) -> list[np.ndarray]:
@@ -366,29 +427,33 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def _finish(model: Unigrams, order: int):
-    """One bucket of documents and of histories: id, base, score, tokens, known, to be added up by id."""
+def _finish(model: Unigrams, buckets: int, order: int):
+    """One bucket of documents and of histories: id, base, score, tokens, known, to be added up by id, in blocks by id."""
     r = np.arange(1, DISCOUNTED + 1)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         def of(kind: str, columns: int, back: int = 0) -> list[np.ndarray]:
             """The kind's columns, and the last words of its histories."""
             rows = []
-            for block in group["block"][group["kind"] == kind]:
-                x = unpack(block)
+            for planes in parts.get(kind, ()):
+                x = [_whole(*c) for c in planes]
                 rows.append([*(_thick(*x[:columns]) if kind[0] == "h" else x[:columns]), *(_unpack_symbols(len(x[0]), *x[columns + PARTS * j : columns + PARTS * j + PARTS]) for j in range(back))])
             return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
-        tables = [unpack(b) for b in group["block"][group["kind"] == "n"]]
+        parts: dict[str, list] = {}
+        for block in group["block"]:
+            for kind, planes in unbundled(block):
+                parts.setdefault(kind, []).append(planes)
+        tables = [[_whole(*c) for c in planes] for planes in parts["n"]]
         d = [model.d, *(discounts(np.sum(x, axis=0)) for x in zip(*tables, strict=True))]  # by length less one
-        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "base": 0.0, "score": 0.0, "tokens": 0, "known": 0})]
+        out = []  # id, base, score, tokens, known
         docs = of("d", 4 + DISCOUNTED * (order - 1) + 1)
         if docs:
             ids, at = np.unique(docs[0], return_inverse=True)
             base, score, tokens, known, *by_count = (np.bincount(at, x, len(ids)) for x in docs[1:])
             for i, k in enumerate(range(order - 1, 0, -1)):
                 score = score + np.log10(d[k][r] * r) @ np.array(by_count[i * DISCOUNTED : (i + 1) * DISCOUNTED])
-            out.append(pd.DataFrame({"id": ids, "base": base, "score": score, "tokens": tokens.astype(np.int64), "known": known.astype(np.int64)}))
+            out.append((ids, base, score, tokens, known))
         shorter, totals = np.zeros(0, np.uint64), np.zeros(0)
         for k in range(1, order):
             hist = of(f"h{k}", 4, k)
@@ -417,13 +482,32 @@ def _finish(model: Unigrams, order: int):
                 # an unmet history backs off as it is
                 value = lost * _looked_up(keys, free, key, 0.0) - rests * _looked_up(keys, np.log10(total + 1), key, 0.0)
                 ids, at = np.unique(who, return_inverse=True)
-                out.append(pd.DataFrame({"id": ids, "base": 0.0, "score": np.bincount(at, value, len(ids)), "tokens": 0, "known": 0}))
+                zero = np.zeros(len(ids))
+                out.append((ids, zero, np.bincount(at, value, len(ids)), zero, zero))
             shorter, totals = keys, total
-        return pd.concat(out)
+        if not out:
+            return pd.DataFrame({"bucket": np.zeros(0, np.int32), "block": np.zeros(0, object)})
+        ids, *sums = _added(out)
+        dealt: list[list] = [[] for _ in range(buckets)]
+        _deal(dealt, "s", mix(ids.view(np.uint64)), [], ids, *sums)
+        return pd.DataFrame([(b, bundle(x)) for b, x in enumerate(dealt) if x], columns=["bucket", "block"])
 
     return run
 
 
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sums by id."""
+    ids, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, at = np.unique(ids, return_inverse=True)
+    return ids, *(np.bincount(at, v, len(ids)) for v in values)
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    """The whole sums of one bucket's documents."""
+    ids, base, score, tokens, known = _added([unpack(b) for b in group["block"]])
+    return pd.DataFrame({"id": ids, "base": base, "score": score, "tokens": tokens.astype(np.int64), "known": known.astype(np.int64)})
+
+
 def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
     """Per document: key, train, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
@@ -439,9 +523,9 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
     model = count_unigrams(rows, frequent)
     spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = _token_blocks(rows, model, BUCKETS * spread, order)
-    sums = tokens.groupBy("bucket").applyInPandas(_sums(model, BUCKETS * spread, order), "bucket int, kind string, block binary")
-    parts = sums.groupBy("bucket").applyInPandas(_finish(model, order), "id long, base double, score double, tokens long, known long")
-    out = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("base", "score", "tokens", "known")])
+    sums = tokens.groupBy("bucket").applyInPandas(_sums(model, BUCKETS * spread, order), "bucket int, block binary")
+    parts = sums.groupBy("bucket").applyInPandas(_finish(model, BUCKETS * spread, order), "bucket int, block binary")
+    out = parts.groupBy("bucket").applyInPandas(_merged, "id long, base double, score double, tokens long, known long")
     if several:
         named = documents.select(F.col(key), name.alias("name"))
         copies = named.groupBy("name").agg(F.count("*").alias("copies"))
