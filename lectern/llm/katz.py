@@ -43,7 +43,7 @@ from .tables import held
 from .words import mix, words
 
 ORDER = 3
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20  # words whose counts all tasks know: 24 MB at most
 DISCOUNTED = 5
 START, END = 0, 1  # symbols; the frequent words follow, and then all others by hash
 _RARE = np.uint64(1 << 63)
@@ -105,14 +105,13 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Unigrams:
     """N, V, the frequent words' counts, and p(w) by count."""
 
-    def __init__(self, total: int, types: int, n: np.ndarray, ends: int, top: list[tuple[int, int]]) -> None:
+    def __init__(self, total: int, types: int, n: np.ndarray, ends: int, frequent: np.ndarray, counts: np.ndarray) -> None:
         self.total, self.types = total, types
         # symbols go by rank, so that most are small numbers
-        top = sorted(top, key=lambda x: (-x[1], x[0]))
-        keys = np.array([w for w, _ in top], np.int64).view(np.uint64)
+        order = np.lexsort((frequent, -counts))
+        keys, counts = frequent[order].view(np.uint64), counts[order]
         by_key = np.argsort(keys)
         self.keys, self.rank = keys[by_key], by_key.astype(np.uint64)
-        counts = np.array([c for _, c in top], np.int64)
         self.counts = np.concatenate(([ends, ends], counts))  # of START as a history, END and the frequent words
         self.d = discounts(n)
         r = np.arange(1, DISCOUNTED + 1)
@@ -196,8 +195,9 @@ def count_unigrams(df: DataFrame, frequent: int) -> Unigrams:
                 up = _bins(c) >= least
                 yield pa.RecordBatch.from_arrays([pa.array(key[up].view(np.int64)), pa.array(c[up])], ["w", "c"])
 
-    top = counts.select("block").mapInArrow(upper, "w long, c long").collect() if least is not None else []
-    return Unigrams(total or 0, types or 0, np.array([0, *(x or 0 for x in n)]), ends or 0, [(r["w"], r["c"]) for r in top])
+    none = np.zeros(0, np.int64)
+    top = counts.select("block").mapInArrow(upper, "w long, c long").toArrow() if least is not None else {"w": none, "c": none}
+    return Unigrams(total or 0, types or 0, np.array([0, *(x or 0 for x in n)]), ends or 0, *(np.array(top[c], np.int64) for c in "wc"))
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -427,8 +427,8 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def _finish(model: Unigrams, buckets: int, order: int):
-    """One bucket of documents and of histories: id, base, score, tokens, known, to be added up by id, in blocks by id."""
+def _finish(model: Unigrams, homes: int, order: int):
+    """One bucket of documents and of histories: id, base, score, tokens, known, to be added up by id, in blocks by the id's home."""
     r = np.arange(1, DISCOUNTED + 1)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -488,7 +488,7 @@ def _finish(model: Unigrams, buckets: int, order: int):
         if not out:
             return pd.DataFrame({"bucket": np.zeros(0, np.int32), "block": np.zeros(0, object)})
         ids, *sums = _added(out)
-        dealt: list[list] = [[] for _ in range(buckets)]
+        dealt: list[list] = [[] for _ in range(homes)]
         _deal(dealt, "s", mix(ids.view(np.uint64)), [], ids, *sums)
         return pd.DataFrame([(b, bundle(x)) for b, x in enumerate(dealt) if x], columns=["bucket", "block"])
 
@@ -524,7 +524,7 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
     spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = _token_blocks(rows, model, BUCKETS * spread, order)
     sums = tokens.groupBy("bucket").applyInPandas(_sums(model, BUCKETS * spread, order), "bucket int, block binary")
-    parts = sums.groupBy("bucket").applyInPandas(_finish(model, BUCKETS * spread, order), "bucket int, block binary")
+    parts = sums.groupBy("bucket").applyInPandas(_finish(model, max(1, spread // 4), order), "bucket int, block binary")
     out = parts.groupBy("bucket").applyInPandas(_merged, "id long, base double, score double, tokens long, known long")
     if several:
         named = documents.select(F.col(key), name.alias("name"))
