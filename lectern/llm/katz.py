@@ -51,9 +51,9 @@ _RARE = np.uint64(1 << 63)
 _HISTORY = np.uint64((1 << 48) - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets for each shuffle partition: one bucket at a time is in memory.
-BUCKETS = 2
+BUCKETS = 1
 #: Tokens packed at a time.
-STEP = 1_500_000
+STEP = 2_200_000
 
 
 def _planes(c: np.ndarray) -> tuple[str, np.ndarray]:
@@ -253,7 +253,8 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int, order: int) -> D
             heads = np.flatnonzero(np.append(True, w[at][1:] != w[at][:-1]))
             runs = np.diff(np.append(heads, len(at))).astype(np.uint32)
             docs, place = np.unique(doc[at], return_inverse=True)
-            blocks.append(pack(w[at][heads], runs, _small(place), ids[docs], train[docs], *(x for h in hs for x in _pack_symbols(h[at]))))
+            steps = np.diff(ids[docs].view(np.uint64), prepend=np.uint64(0))  # keys are often in order
+            blocks.append(pack(_small(runs), _small(place), steps, train[docs], *(x for c in (w[at][heads], *(h[at] for h in hs)) for x in _pack_symbols(c))))
             which.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.array(which, np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
@@ -279,7 +280,7 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int, order: int) -> D
                     h = np.full_like(w, START)
                     h[back:] = np.where(place[back:] >= back, past[:-back], np.uint64(START))
                     hs.append(h)
-                parts.append((w, np.repeat(np.arange(x.lo, x.hi) + base, n), *hs))
+                parts.append((w, np.repeat(np.arange(x.lo, x.hi, dtype=np.int32) + np.int32(base), n), *hs))
                 size += len(w)
             if size >= STEP:
                 yield from flush(parts, np.concatenate(ids), np.concatenate(train))
@@ -324,9 +325,10 @@ def _sums(model: Unigrams, buckets: int, order: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ws, hss, docs, ids, trains, base = [], [], [], [], [], 0
         for block in group["block"]:
-            vals, runs, place, i, t, *packed = unpack(block)
-            ws.append(np.repeat(vals, runs))
-            hss.append([_unpack_symbols(len(ws[-1]), *packed[PARTS * j : PARTS * j + PARTS]) for j in range(order - 1)])
+            runs, place, steps, t, *packed = unpack(block)
+            i = np.cumsum(steps, dtype=np.uint64).view(np.int64)
+            ws.append(np.repeat(_unpack_symbols(len(runs), *packed[:PARTS]), runs))
+            hss.append([_unpack_symbols(len(ws[-1]), *packed[PARTS * j : PARTS * j + PARTS]) for j in range(1, order)])
             docs.append(place.astype(np.int32) + np.int32(base))
             ids.append(i)
             trains.append(t)
