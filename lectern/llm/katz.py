@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import held
+from .tables import give_back, held
 from .words import mix, words
 
 ORDER = 3
@@ -323,6 +323,7 @@ def _sums(model: Unigrams, buckets: int, order: int):
     """One bucket's tokens to blocks for the second shuffle: by document, by history, and counts of counts for all."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         ws, hss, docs, ids, trains, base = [], [], [], [], [], 0
         for block in group["block"]:
             runs, place, steps, t, *packed = unpack(block)
@@ -445,6 +446,7 @@ def _finish(model: Unigrams, homes: int, order: int):
                 rows.append([*(_thick(*x[:columns]) if kind[0] == "h" else x[:columns]), *(_unpack_symbols(len(x[0]), *x[columns + PARTS * j : columns + PARTS * j + PARTS]) for j in range(back))])
             return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
+        give_back()
         parts: dict[str, list] = {}
         for block in group["block"]:
             for kind, planes in unbundled(block):

@@ -44,14 +44,19 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Memory that this worker does not use any more goes back, as the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; then the memory that the task's worker does not use any more goes back, as the worker stays for later tasks."""
+    """The batches; then unused memory goes back."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # where the C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
 
 def remainder(key: Column, n: int) -> Column:
