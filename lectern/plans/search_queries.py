@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 def indexed(rows: DataFrame, key: str) -> str:
     """A new index of rows' texts in the shared folder."""
     path = f"{shared_folder(rows.sparkSession)}/index-{uuid.uuid4().hex}"
-    postings.write_index(rows, path, key=key, text="text", buckets=BUCKETS, files=2)
+    postings.write_index(spread(rows), path, key=key, text="text", buckets=BUCKETS, files=2)
     return path
 
 
