@@ -88,9 +88,10 @@ def bilingual_step(kind: Column, status: Column, has_texts: Column, pair_job: Co
     )
 
 
-def readiness(chapters: DataFrame, by: str, name: Column, done: Column, paired: Column, linked: Column) -> DataFrame:
-    """Per edition: how many chapters are selected, paired and linked, and which are not translated, paired or linked yet."""
-    names = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, name))), ",")
+def readiness(chapters: DataFrame, by: str, name: Column, done: Column, paired: Column, linked: Column, order: Column | None = None) -> DataFrame:
+    """Per edition: how many chapters are selected, paired and linked, and which are not translated, paired or linked yet, in the order given (else by name)."""
+    at = F.struct((name if order is None else order).alias("at"), name.alias("name"))
+    names = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, at))), lambda x: x["name"]), ",")
     return chapters.groupBy(by).agg(
         F.count("*").alias("selected"), F.count_if(paired).alias("paired"), F.count_if(paired & linked).alias("linked"),
         names(~done).alias("untranslated"), names(done & ~paired).alias("unpaired"), names(paired & ~linked).alias("unlinked"),

@@ -117,7 +117,7 @@ WITH {_READY} SELECT key, count(*) AS selected, count(*) FILTER (WHERE paired) A
 def bilingual_readiness(spark: SparkSession, d: str) -> DataFrame:
     k, done = F.col("o_orderkey"), F.col("o_orderstatus") != "P"
     rows = read(spark, d, "orders").withColumn("key", F.col("o_custkey"))
-    return L.readiness(rows, "key", F.lpad(k.cast("string"), 6, "0"), done, done & (k % 3 != 0), k % 2 == 0)
+    return L.readiness(rows, "key", F.lpad(k.cast("string"), 6, "0"), done, done & (k % 3 != 0), k % 2 == 0, order=k)
 
 
 @query("""
