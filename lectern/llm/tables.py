@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,17 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the folder that the cluster shares, and read from there.
+
+    A checkpoint keeps the size that the plan before it was expected to have, which is the product of what it joins.
+    In a loop that number doubles its digits each round and goes through every plan after it; a file has its own size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def give_back() -> None:
     """Memory that this worker does not use any more goes back, as the worker stays for later tasks."""
     pa.default_memory_pool().release_unused()
