@@ -141,13 +141,15 @@ def guess_language(words: Column) -> Column:
     counts |= {"ja": F.size(F.filter(words, _written(kana))), "zh": F.size(F.filter(words, lambda w: w.rlike(han) & ~w.rlike(kana)))}
     # of equal counts the language listed first
     scores = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("place"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(counts.items())])
-    best = F.array_max(scores)
-    return F.when(best["n"] > 0, best["lang"])
+    # by transform the scores are taken once, not once for each use
+    return F.transform(F.array(F.array_max(scores)), lambda best: F.when(best["n"] > 0, best["lang"]))[0]
 
 
 def detect_language(text: Column, least: int = 200) -> Column:
     """The language of a text of at least that many characters; null for a shorter one."""
-    return F.when(F.length(F.trim(text)) >= least, guess_language(words_of(text)))
+    # its words are cut out once, not once for each language
+    guess = F.transform(F.array(words_of(text)), guess_language)[0]
+    return F.when(F.length(F.trim(text)) >= least, guess)
 
 
 def _written(pattern: str):

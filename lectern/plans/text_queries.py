@@ -62,7 +62,9 @@ def infer_language_script(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "lang", T.guess_language(T.words_of(F.col("text"))).alias("guess"), T.detect_language(F.col("text")).alias("detected"))
+    guess = F.transform(F.array(T.words_of(F.col("text"))), T.guess_language)[0]
+    docs = read(spark, d, "documents").select("doc_id", "lang", "text").withColumn("guess", guess)
+    return docs.select("doc_id", "lang", "guess", F.when(F.length(F.trim("text")) >= 200, F.col("guess")).alias("detected"))
 
 
 @query(r"""
