@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import portions
+
 TARGET, OVERLAP = 1400, 250
 _GAP = re.compile(r"(?:\n\s*\n|\f)+")
 _STOP = re.compile(r"[.!?][ \n]")
@@ -100,7 +102,7 @@ def _listed(df: DataFrame, keep: list[str], inputs: list[str], cut: Callable[...
     n = len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             rows = zip(*[c.to_pylist() for c in batch.columns[-n:]], strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-n], pa.array([cut(*r) for r in rows], kind)], out.names)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +179,20 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a batch's rows that are Python objects at a time: lists and dicts of words take some hundred times the text.
+PORTION = 1 << 18
+
+
+def portions(batches: Iterator[pa.RecordBatch], most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, in order, in batches of at most so many bytes; a longer row stands alone."""
+    for batch in batches:
+        if batch.num_rows <= 1 or batch.nbytes <= most:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from portions(iter((batch.slice(0, half), batch.slice(half))), most)
+
+
 def closure(tree: DataFrame, node: str, parent: str, depth: int | None = None) -> DataFrame:
     """ancestor, node, depth: each node with itself and all above it, at any depth (or up to the one given); in a cycle every ancestor counts once, nearest first."""
     pairs = tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
