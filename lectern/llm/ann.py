@@ -17,7 +17,8 @@ and expands, again and again, the unexpanded nodes among its ``width`` best, unt
 inner products of the original vectors in double precision.
 
 Vectors are looked up in a table that goes to each task while it has at most
-``table_bytes``; beyond that they are joined.  Both ways compare the same pairs.
+``table_bytes``; beyond that, meetings (or queries) are dealt to parts of a bounded number of nodes, and each part is sent every vector
+it asks for once, with components in half precision of the vector's largest.  Both ways compare the same pairs.
 
 Defined results: vectors that are null, all zero (or empty) or hold a null or non-finite
 component take no part; vectors shorter than the longest count as padded with zeros; rows
@@ -28,7 +29,7 @@ them all; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import held
+from .tables import held, reclaim, stored
 from .topk import _matrix, usable
 from .words import mix
 
@@ -44,6 +45,8 @@ NEIGHBOURS, REVERSE, OFFERED = 40, 40, 12
 TREES, LEAF, ROUNDS, STILL = 6, 128, 8, 0.08
 WIDTH, ENTRIES = 100, 12
 TABLE_BYTES = 64 << 20
+#: Nodes, and queries, of a part that is sent its vectors; offers of a part before the same ones are merged.
+PART, ASKING, MERGED = 32768, 2048, 1 << 22
 
 
 class Table:
@@ -61,6 +64,66 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), dim)
 
 
+def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """node, g: the largest component, the one that makes vectors equally long, and the others as shares of the largest."""
+    for batch in batches:
+        x = _floats(batch.column(1), dim)
+        most = np.abs(x[:, :-1]).max(axis=1, initial=0)
+        most = np.where(most > 0, most, 1).astype(np.float32)
+        ends = np.stack((most, x[:, -1]), axis=1).astype(np.float32)
+        data = np.concatenate((ends.view(np.uint8), np.ascontiguousarray(x[:, :-1] / most[:, None], np.float16).view(np.uint8)), axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in data], pa.binary())], ["node", "g"])
+
+
+def _unpacked(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    size = 8 + 2 * (dim - 1)
+    data = np.concatenate([np.frombuffer(c.buffers()[2], np.uint8)[np.frombuffer(c.buffers()[1], np.int32)[c.offset] :][: len(c) * size] for c in column.chunks if len(c)]).reshape(-1, size)
+    ends = np.ascontiguousarray(data[:, :8]).view(np.float32)
+    body = np.ascontiguousarray(data[:, 8:]).view(np.float16).astype(np.float32) * ends[:, :1]
+    return np.concatenate((body, ends[:, 1:]), axis=1)
+
+
+def _sent(asked: DataFrame, nodes: DataFrame, spread: int) -> DataFrame:
+    """of and the nodes' columns: each node that a part asks for (rows part, node), once."""
+    return asked.select(F.col("part").alias("of"), "node").repartition(spread, "node").distinct().join(nodes.hint("shuffle_hash"), "node")
+
+
+def _merged(found: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """The different pairs among offers."""
+    a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((b, a))
+    a, b, s = a[order], b[order], s[order]
+    first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    return [(a[first], b[first], s[first])]
+
+
+def _met(dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Offers of a part's meetings: rows at, who; its nodes: rows node, g, worst."""
+
+    def run(meetings: pa.Table, sent: pa.Table) -> pa.Table:
+        ids = sent["node"].to_numpy()
+        order = np.argsort(ids)
+        ids, x, worst = ids[order], _unpacked(sent["g"], dim)[order], sent["worst"].to_numpy()[order]
+        at, who = meetings["at"].to_numpy(), meetings["who"].to_numpy()
+        order = np.lexsort((who, at))
+        at, who = at[order], who[order]
+        once = np.concatenate(([True], (at[1:] != at[:-1]) | (who[1:] != who[:-1])))
+        at, place = at[once], np.searchsorted(ids, who[once])
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+        found: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for one in np.split(place, starts[1:-1]):
+            found.append(_offers(ids[one], x[one], worst[one]))
+            n += len(found[-1][0])
+            if n > MERGED:
+                found = _merged(found)
+                n = 0
+        a, b, s = _merged(found)[0]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s.astype(np.float32))})
+
+    return run
+
+
 def _best_of(sims: np.ndarray, most: int) -> np.ndarray:
     m = min(most, sims.shape[1])
     return np.argpartition(-sims, m - 1, axis=1)[:, :m]
@@ -122,32 +185,37 @@ def _sampled_reverse(graph: DataFrame, most: int, seed: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, dim: int, count: int, table: Table | None, *, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
     """a, b, s, r: the k nearest found of each node, of rows node, g (dim floats of equal length)."""
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    graph = held(_lists(_cells(nodes, dim, count, spread), k, spread))
+    graph = stored(_lists(_cells(nodes, dim, count, spread), k, spread))
+    small = held(nodes.mapInArrow(lambda batches: _packed(batches, dim), "node long, g binary")) if table is None else None
+    parts = max(-(-count // PART), 2 * nodes.sparkSession.sparkContext.defaultParallelism)
     for i in range(rounds):
-        meetings = graph.select(F.col("a").alias("at"), F.col("b").alias("who")).union(_sampled_reverse(graph, reverse, i)).distinct()
+        reclaim(nodes.sparkSession)
+        meetings = graph.select(F.col("a").alias("at"), F.col("b").alias("who")).union(_sampled_reverse(graph, reverse, i))
         worst = graph.where(F.col("r") == k).select(F.col("a").alias("node"), F.col("s").alias("worst"))
         if table is not None:
-            met = meetings.join(worst, F.col("who") == F.col("node"), "left").groupBy("at").agg(F.collect_list("who").alias("ids"), F.collect_list(F.coalesce("worst", F.lit(-9.0))).alias("worst"))
+            met = meetings.distinct().join(worst, F.col("who") == F.col("node"), "left").groupBy("at").agg(F.collect_list("who").alias("ids"), F.collect_list(F.coalesce("worst", F.lit(-9.0))).alias("worst"))
         else:
-            known = nodes.join(worst, "node", "left")
-            met = meetings.join(known, F.col("who") == F.col("node")).groupBy("at").agg(F.collect_list("who").alias("ids"), F.collect_list(F.coalesce("worst", F.lit(-9.0))).alias("worst"), F.collect_list("g").alias("g"))
+            dealt = meetings.withColumn("part", F.pmod(F.xxhash64("at"), F.lit(parts)))
+            known = small.join(worst, "node", "left").select("node", "g", F.coalesce("worst", F.lit(-9.0)).cast("float").alias("worst"))
+            sent = _sent(dealt.select("part", F.col("who").alias("node")), known, spread)
+            offered = dealt.groupBy("part").cogroup(sent.groupBy("of")).applyInArrow(_met(dim), "a long, b long, s float")
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for j in range(batch.num_rows):
                     ids = batch.column(1)[j].values.to_numpy()
-                    x = table.of(ids) if table is not None else _floats(batch.column(3)[j].values, dim)
-                    out.append(_offers(ids, x, batch.column(2)[j].values.to_numpy()))
+                    out.append(_offers(ids, table.of(ids), batch.column(2)[j].values.to_numpy()))
                 if out:
                     a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], ["a", "b", "s"])
 
-        offered = met.mapInArrow(joined, "a long, b long, s float")
+        if table is not None:
+            offered = met.mapInArrow(joined, "a long, b long, s float")
         old = graph.select("a", "b", "s").withColumn("old", F.lit(1))
         both = old.unionByName(offered.withColumn("old", F.lit(0))).repartition(spread, "a")
         order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-        graph = held(both.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("old").alias("old")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k))
+        graph = stored(both.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("old").alias("old")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k))
         new, total = graph.agg(F.count_if(F.col("old") == 0), F.count("*")).first()
         graph = graph.drop("old")
         if not total or new / total < STILL:
@@ -168,6 +236,31 @@ def _merge(ids: np.ndarray, scores: np.ndarray, done: np.ndarray, new: np.ndarra
 
 
 _STATE = "q long, ids array<long>, scores array<float>, done array<boolean>, open array<long>"
+_ARROW_STATE = pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())), ("open", pa.list_(pa.int64()))])
+
+
+def _expanded(r: dict, new: np.ndarray, s: np.ndarray, width: int) -> dict:
+    """A query's row after it met the new nodes."""
+    ids, scores, done, opened = _merge(np.array(r["ids"], np.int64), np.array(r["scores"], np.float32), np.array(r["done"], bool), new, s.astype(np.float32), width)
+    return {"q": r["q"], "ids": ids, "scores": scores, "done": done, "open": opened}
+
+
+def _stepped(dim: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The state of a part's queries after a step: rows q, ids, scores, done, new, g; the nodes they meet: rows node, g."""
+
+    def run(asked: pa.Table, sent: pa.Table) -> pa.Table:
+        table = Table(sent["node"].to_numpy(), _unpacked(sent["g"], dim)) if sent.num_rows else None
+        out = []
+        for batch in asked.to_batches(64):
+            rows = []
+            for r in batch.to_pylist():
+                new = np.array(r["new"] or [], np.int64)
+                s = table.of(new) @ np.frombuffer(r["g"], np.float32) if len(new) else np.zeros(0)
+                rows.append(_expanded(r, new, s, width))
+            out.append(pa.RecordBatch.from_pylist(rows, _ARROW_STATE))
+        return pa.Table.from_batches(out, _ARROW_STATE)
+
+    return run
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, table: Table | None, *, width: int = WIDTH, entries: int = ENTRIES, reverse: int = REVERSE) -> DataFrame:
@@ -188,35 +281,30 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, tab
                 rows.append({"q": q, "ids": doors[other], "scores": door_g[other] @ np.frombuffer(g, np.float32), "done": np.zeros(other.sum(), bool)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_()))]))
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                new = np.array(r["new"] or [], np.int64)
+                rows.append(_expanded(r, new, table.of(new) @ np.frombuffer(r["g"], np.float32), width))
+            yield pa.RecordBatch.from_pylist(rows, _ARROW_STATE)
+
+    if table is None:
+        spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        small = held(nodes.mapInArrow(lambda batches: _packed(batches, dim), "node long, g binary"))
+        small_queries = held(queries.select(F.col("node").alias("q"), "g"))
+        parts = max(-(-small_queries.count() // ASKING), 2 * nodes.sparkSession.sparkContext.defaultParallelism)
     begin = queries.select("node", "g").mapInArrow(begun, "q long, ids array<long>, scores array<float>, done array<boolean>")
     state = begin.join(near, F.col("q") == F.col("at"), "left").select("q", "ids", "scores", "done", F.coalesce("near", F.array().cast("array<long>")).alias("found"))
     while True:
         fresh = state.withColumn("new", F.array_except(F.array_remove(F.array_distinct("found"), F.col("q")), F.col("ids"))).drop("found")
         if table is None:
-            pairs = fresh.select("q", F.explode("new").alias("node")).join(nodes.select("node", "g"), "node")
-            pairs = pairs.join(queries.select(F.col("node").alias("q"), F.col("g").alias("qg")), "q")
-
-            def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    s = (_floats(batch.column(2), dim) * _floats(batch.column(3), dim)).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["q", "node", "s"])
-
-            scored = pairs.select("q", "node", "g", "qg").mapInArrow(dots, "q long, node long, s float").groupBy("q").agg(F.collect_list("node").alias("new"), F.collect_list("s").alias("new_scores"))
-            fresh = fresh.drop("new").join(scored, "q", "left").join(queries.select(F.col("node").alias("q"), "g"), "q")
+            fresh = fresh.join(small_queries, "q").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
+            sent = _sent(fresh.select("part", F.explode("new").alias("node")), small, spread)
+            state = held(fresh.groupBy("part").cogroup(sent.groupBy("of")).applyInArrow(_stepped(dim, width), _STATE))
         else:
-            fresh = fresh.withColumn("new_scores", F.array().cast("array<float>")).join(queries.select(F.col("node").alias("q"), "g"), "q")
-
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for r in batch.to_pylist():
-                    new = np.array(r["new"] or [], np.int64)
-                    s = table.of(new) @ np.frombuffer(r["g"], np.float32) if table is not None else np.array(r["new_scores"] or [], np.float32)
-                    ids, scores, done, opened = _merge(np.array(r["ids"], np.int64), np.array(r["scores"], np.float32), np.array(r["done"], bool), new, s.astype(np.float32), width)
-                    rows.append({"q": r["q"], "ids": ids, "scores": scores, "done": done, "open": opened})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())), ("open", pa.list_(pa.int64()))]))
-
-        state = held(fresh.select("q", "ids", "scores", "done", "new", "new_scores", "g").mapInArrow(step, _STATE))
+            fresh = fresh.join(queries.select(F.col("node").alias("q"), "g"), "q")
+            state = held(fresh.select("q", "ids", "scores", "done", "new", "g").mapInArrow(step, _STATE))
         opened = state.select("q", F.explode("open").alias("at"))
         if not opened.limit(1).count():
             return state.select("q", F.explode("ids").alias("node"))

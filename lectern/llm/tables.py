@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import re
 import uuid
@@ -56,6 +57,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Shuffle files that nothing uses any more go when the driver's collector finds them, which a large heap may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def give_back() -> None:
     """Memory that this worker does not use any more goes back, as the worker stays for later tasks."""
     pa.default_memory_pool().release_unused()
