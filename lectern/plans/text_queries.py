@@ -146,8 +146,8 @@ def chunk_plain(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_paged(spark: SparkSession, d: str) -> DataFrame:
-    """Every fourth line end of a text stands for a page end."""
-    paged = read(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"((?:[^\n]*\n){3}[^\n]*)\n", "$1\f").alias("text"))
+    """Every fourth line end of a text stands for a page end. A match begins where the last one ended, or the text's end would be searched from each of its places."""
+    paged = read(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\G((?:[^\n]*+\n){3}[^\n]*+)\n", "$1\f").alias("text"))
     return chunks.chunk_texts(paged, keep=["doc_id"], paged=True)
 
 
