@@ -31,15 +31,14 @@ are not read.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import give_back, held
+from .tables import give_back, held, tidy
 from .words import mix, words
 
 ORDER = 3
@@ -54,6 +53,8 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 1
 #: Tokens packed at a time.
 STEP = 2_200_000
+#: Bytes of blocks that leave a task at once: Spark keeps what comes together outside its heap, too.
+PORTION = 2 << 20
 
 
 def _planes(c: np.ndarray) -> tuple[str, np.ndarray]:
@@ -87,6 +88,33 @@ def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     return tuple(_whole(*c) for c in unbundled(block)[0][1])
 
 
+def portions(blocks: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows bucket and block, some PORTION bytes at a time."""
+    some: list[tuple[int, bytes]] = []
+
+    def rows() -> pa.RecordBatch:
+        which, packed = zip(*some, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block"])
+
+    size = 0
+    for one in blocks:
+        some.append(one)
+        size += len(one[1])
+        if size >= PORTION:
+            yield rows()
+            some.clear()
+            size = 0
+    if some:
+        yield rows()
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """A group's blocks, one after another."""
+    for batch in batches:
+        for block in batch.column(batch.schema.get_field_index("block")):
+            yield block.as_py()
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """d[r] for counts r = 0..5 (d[0] is unused) from n[r], how many types have count r (r up to 6).
 
@@ -143,6 +171,16 @@ def _bins(c: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(c) * 16).astype(np.int32)
 
 
+def _tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for one group of rows at a time, whose memory goes back before the next."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from tidy(run(batches))
+
+    return one
+
+
 def count_unigrams(df: DataFrame, frequent: int) -> Unigrams:
     """From rows id, train, text. Only bounded results come to the driver: sums, a histogram of counts, and at most `frequent` words that occur twice or more."""
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -150,13 +188,13 @@ def count_unigrams(df: DataFrame, frequent: int) -> Unigrams:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def dealt() -> pa.RecordBatch:
+        def dealt() -> Iterator[tuple[int, bytes]]:
             key, count = _counted(parts)
             to = (mix(key) % np.uint64(buckets)).astype(np.int32)
-            there = [np.flatnonzero(to == b) for b in range(buckets)]
-            some = [b for b in range(buckets) if len(there[b])]
-            blocks = [pack(np.diff(key[there[b]], prepend=np.uint64(0)), _small(count[there[b]])) for b in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+            for b in range(buckets):
+                there = np.flatnonzero(to == b)
+                if len(there):
+                    yield b, pack(np.diff(key[there], prepend=np.uint64(0)), _small(count[there]))
 
         for batch in batches:
             parts += [np.unique(w.hashes(), return_counts=True) for w in words(batch.column(0), lower=True)]
@@ -164,21 +202,23 @@ def count_unigrams(df: DataFrame, frequent: int) -> Unigrams:
             if len(parts) > 64:
                 parts = [_counted(parts)]
             if len(parts[0][0]) > STEP:
-                yield dealt()
+                yield from portions(dealt())
                 parts = []
         if parts:
-            yield dealt()
+            yield from portions(dealt())
 
-    def summed(group: pd.DataFrame) -> pd.DataFrame:
-        key, c = _counted([(np.cumsum(k, dtype=np.uint64), n) for k, n in map(unpack, group["block"])])
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c = _counted([(np.cumsum(k, dtype=np.uint64), n) for k, n in map(unpack, blocks_of(batches))])
         end = key == END
         often = (c > 1) & ~end
         bins, n = np.unique(_bins(c[often]), return_counts=True)
-        row = [c.sum(), len(c), c[end].sum(), [int((c == r).sum()) for r in range(1, DISCOUNTED + 2)], bins.tolist(), n.tolist(), pack(key[often], c[often])]
-        return pd.DataFrame([row], columns=["total", "types", "ends", "n", "bins", "sizes", "block"])
+        row = [int(c.sum()), len(c), int(c[end].sum()), [int((c == r).sum()) for r in range(1, DISCOUNTED + 2)], bins.tolist(), n.tolist(), pack(key[often], c[often])]
+        longs = pa.list_(pa.int64())
+        types = [pa.int64(), pa.int64(), pa.int64(), longs, pa.list_(pa.int32()), longs, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["total", "types", "ends", "n", "bins", "sizes", "block"])
 
     kinds = "total long, types long, ends long, n array<long>, bins array<int>, sizes array<long>, block binary"
-    counts = held(df.where("train").select("text").mapInArrow(found, "bucket int, block binary").groupBy("bucket").applyInPandas(summed, kinds))
+    counts = held(df.where("train").select("text").mapInArrow(lambda batches: tidy(found(batches)), "bucket int, block binary").groupBy("bucket").applyInArrow(_tidied(summed), kinds))
     ofs = [F.sum(F.col("n")[r]) for r in range(DISCOUNTED + 1)]
     total, types, ends, *n = counts.agg(F.sum("total"), F.sum("types"), F.sum("ends"), *ofs).first()
     # all words from some count on, at most `frequent`: found by a histogram of counts with few bins
@@ -241,12 +281,13 @@ def _unpack_symbols(n: int, steps: np.ndarray, bits: np.ndarray, width: np.ndarr
 def _token_blocks(df: DataFrame, model: Unigrams, buckets: int, order: int) -> DataFrame:
     """bucket, block: the tokens (word, the order - 1 words before it, document) of rows id, train, text."""
 
-    def flush(parts: list[tuple[np.ndarray, ...]], ids: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(parts: list[tuple[np.ndarray, ...]], ids: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
         w, doc, *hs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         bucket = (mix(np.where(w < _RARE, w * _SPREAD + hs[0], w)) % np.uint64(buckets)).astype(np.uint32)
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-        which, blocks = [], []
+        del bucket
         for b in np.flatnonzero(np.diff(cuts)):
             at = by_bucket[cuts[b] : cuts[b + 1]]
             at = at[np.lexsort((hs[0][at], w[at]))]
@@ -254,9 +295,7 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int, order: int) -> D
             runs = np.diff(np.append(heads, len(at))).astype(np.uint32)
             docs, place = np.unique(doc[at], return_inverse=True)
             steps = np.diff(ids[docs].view(np.uint64), prepend=np.uint64(0))  # keys are often in order
-            blocks.append(pack(_small(runs), _small(place), steps, train[docs], *(x for c in (w[at][heads], *(h[at] for h in hs)) for x in _pack_symbols(c))))
-            which.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(which, np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
+            yield int(b), pack(_small(runs), _small(place), steps, train[docs], *(x for c in (w[at][heads], *(h[at] for h in hs)) for x in _pack_symbols(c)))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ids, train, size = [], [], [], 0
@@ -283,12 +322,12 @@ def _token_blocks(df: DataFrame, model: Unigrams, buckets: int, order: int) -> D
                 parts.append((w, np.repeat(np.arange(x.lo, x.hi, dtype=np.int32) + np.int32(base), n), *hs))
                 size += len(w)
             if size >= STEP:
-                yield from flush(parts, np.concatenate(ids), np.concatenate(train))
+                yield from portions(flush(parts, np.concatenate(ids), np.concatenate(train)))
                 parts, ids, train, size = [], [], [], 0
         if parts:
-            yield from flush(parts, np.concatenate(ids), np.concatenate(train))
+            yield from portions(flush(parts, np.concatenate(ids), np.concatenate(train)))
 
-    return df.select("id", "train", "text").mapInArrow(found, "bucket int, block binary")
+    return df.select("id", "train", "text").mapInArrow(lambda batches: tidy(found(batches)), "bucket int, block binary")
 
 
 def _contexts(hs: list[np.ndarray]) -> list[np.ndarray]:
@@ -322,10 +361,9 @@ def _by_value(at: np.ndarray, c: np.ndarray, n: int) -> list[np.ndarray]:
 def _sums(model: Unigrams, buckets: int, order: int):
     """One bucket's tokens to blocks for the second shuffle: by document, by history, and counts of counts for all."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        give_back()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ws, hss, docs, ids, trains, base = [], [], [], [], [], 0
-        for block in group["block"]:
+        for block in blocks_of(batches):
             runs, place, steps, t, *packed = unpack(block)
             i = np.cumsum(steps, dtype=np.uint64).view(np.int64)
             ws.append(np.repeat(_unpack_symbols(len(runs), *packed[:PARTS]), runs))
@@ -392,9 +430,12 @@ def _sums(model: Unigrams, buckets: int, order: int):
         sums[1] = np.bincount(doc, part, n)
         _deal(out, "d", mix(ids.view(np.uint64)), [], ids, *sums)
         counts = tuple(np.bincount(np.minimum(c[c > 0], DISCOUNTED + 2), minlength=DISCOUNTED + 3) for c in count[1:])
-        return pd.DataFrame({"bucket": np.arange(buckets), "block": [bundle([*parts, ("n", counts)]) for parts in out]})
+        # what is packed is not needed any more
+        del w, doc, hs, taught, gram, heads, part, sums, open_
+        out.reverse()
+        yield from portions((b, bundle([*out.pop(), ("n", counts)])) for b in range(buckets))
 
-    return run
+    return _tidied(run)
 
 
 def _deal(out: list[list], kind: str, home: np.ndarray, symbols: list[np.ndarray], *columns: np.ndarray) -> None:
@@ -437,18 +478,17 @@ def _finish(model: Unigrams, homes: int, order: int):
     """One bucket of documents and of histories: id, base, score, tokens, known, to be added up by id, in blocks by the id's home."""
     r = np.arange(1, DISCOUNTED + 1)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(kind: str, columns: int, back: int = 0) -> list[np.ndarray]:
             """The kind's columns, and the last words of its histories."""
             rows = []
-            for planes in parts.get(kind, ()):
+            for planes in parts.pop(kind, ()):
                 x = [_whole(*c) for c in planes]
                 rows.append([*(_thick(*x[:columns]) if kind[0] == "h" else x[:columns]), *(_unpack_symbols(len(x[0]), *x[columns + PARTS * j : columns + PARTS * j + PARTS]) for j in range(back))])
             return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
-        give_back()
         parts: dict[str, list] = {}
-        for block in group["block"]:
+        for block in blocks_of(batches):
             for kind, planes in unbundled(block):
                 parts.setdefault(kind, []).append(planes)
         tables = [[_whole(*c) for c in planes] for planes in parts["n"]]
@@ -492,14 +532,13 @@ def _finish(model: Unigrams, homes: int, order: int):
                 zero = np.zeros(len(ids))
                 out.append((ids, zero, np.bincount(at, value, len(ids)), zero, zero))
             shorter, totals = keys, total
-        if not out:
-            return pd.DataFrame({"bucket": np.zeros(0, np.int32), "block": np.zeros(0, object)})
-        ids, *sums = _added(out)
-        dealt: list[list] = [[] for _ in range(homes)]
-        _deal(dealt, "s", mix(ids.view(np.uint64)), [], ids, *sums)
-        return pd.DataFrame([(b, bundle(x)) for b, x in enumerate(dealt) if x], columns=["bucket", "block"])
+        if out:
+            ids, *sums = _added(out)
+            dealt: list[list] = [[] for _ in range(homes)]
+            _deal(dealt, "s", mix(ids.view(np.uint64)), [], ids, *sums)
+            yield from portions((b, bundle(x)) for b, x in enumerate(dealt) if x)
 
-    return run
+    return _tidied(run)
 
 
 def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -509,10 +548,10 @@ def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return ids, *(np.bincount(at, v, len(ids)) for v in values)
 
 
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole sums of one bucket's documents."""
-    ids, base, score, tokens, known = _added([unpack(b) for b in group["block"]])
-    return pd.DataFrame({"id": ids, "base": base, "score": score, "tokens": tokens.astype(np.int64), "known": known.astype(np.int64)})
+    ids, base, score, tokens, known = _added([unpack(b) for b in blocks_of(batches)])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, base, score, tokens.astype(np.int64), known.astype(np.int64))], ["id", "base", "score", "tokens", "known"])
 
 
 def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
@@ -530,9 +569,9 @@ def katz_scores(documents: DataFrame, train: Column, *, key: str = "doc_id", tex
     model = count_unigrams(rows, frequent)
     spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = _token_blocks(rows, model, BUCKETS * spread, order)
-    sums = tokens.groupBy("bucket").applyInPandas(_sums(model, BUCKETS * spread, order), "bucket int, block binary")
-    parts = sums.groupBy("bucket").applyInPandas(_finish(model, max(1, spread // 4), order), "bucket int, block binary")
-    out = parts.groupBy("bucket").applyInPandas(_merged, "id long, base double, score double, tokens long, known long")
+    sums = tokens.groupBy("bucket").applyInArrow(_sums(model, BUCKETS * spread, order), "bucket int, block binary")
+    parts = sums.groupBy("bucket").applyInArrow(_finish(model, max(1, spread // 4), order), "bucket int, block binary")
+    out = parts.groupBy("bucket").applyInArrow(_merged, "id long, base double, score double, tokens long, known long")
     if several:
         named = documents.select(F.col(key), name.alias("name"))
         copies = named.groupBy("name").agg(F.count("*").alias("copies"))
