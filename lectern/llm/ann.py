@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def _sampled_reverse(graph: DataFrame, most: int, seed: int) -> DataFrame:
     return graph.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select(F.col("b").alias("at"), F.col("a").alias("who"))
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, count: int, table: Table | None, *, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, dim: int, count: int, table: Broadcast[Table] | None, *, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
     """a, b, s, r: the k nearest found of each node, of rows node, g (dim floats of equal length)."""
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     graph = stored(_lists(_cells(nodes, dim, count, spread), k, spread))
@@ -205,7 +206,7 @@ def neighbour_graph(nodes: DataFrame, dim: int, count: int, table: Table | None,
                 out = []
                 for j in range(batch.num_rows):
                     ids = batch.column(1)[j].values.to_numpy()
-                    out.append(_offers(ids, table.of(ids), batch.column(2)[j].values.to_numpy()))
+                    out.append(_offers(ids, table.value.of(ids), batch.column(2)[j].values.to_numpy()))
                 if out:
                     a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], ["a", "b", "s"])
@@ -263,7 +264,7 @@ def _stepped(dim: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, table: Table | None, *, width: int = WIDTH, entries: int = ENTRIES, reverse: int = REVERSE) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, table: Broadcast[Table] | None, *, width: int = WIDTH, entries: int = ENTRIES, reverse: int = REVERSE) -> DataFrame:
     """q, node: the up to 2 * width best nodes found of each query node (rows node, g; g as the query's own vector is to be compared), at least min(entries, nodes) - 1."""
     links = graph.select(F.col("a").alias("at"), F.col("b").alias("who")).union(_sampled_reverse(graph, reverse, -1)).distinct()
     near = held(links.groupBy("at").agg(F.collect_list("who").alias("near")))
@@ -286,7 +287,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, tab
             rows = []
             for r in batch.to_pylist():
                 new = np.array(r["new"] or [], np.int64)
-                rows.append(_expanded(r, new, table.of(new) @ np.frombuffer(r["g"], np.float32), width))
+                rows.append(_expanded(r, new, table.value.of(new) @ np.frombuffer(r["g"], np.float32), width))
             yield pa.RecordBatch.from_pylist(rows, _ARROW_STATE)
 
     if table is None:
@@ -297,6 +298,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, tab
     begin = queries.select("node", "g").mapInArrow(begun, "q long, ids array<long>, scores array<float>, done array<boolean>")
     state = begin.join(near, F.col("q") == F.col("at"), "left").select("q", "ids", "scores", "done", F.coalesce("near", F.array().cast("array<long>")).alias("found"))
     while True:
+        reclaim(nodes.sparkSession)
         fresh = state.withColumn("new", F.array_except(F.array_remove(F.array_distinct("found"), F.col("q")), F.col("ids"))).drop("found")
         if table is None:
             fresh = fresh.join(small_queries, "q").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
@@ -337,13 +339,17 @@ def nearest(vectors: DataFrame, query_filter: Column, *, key: str = "vec_id", ve
     count = nodes.count()
     table = None
     if count * 4 * (dim + 1) <= table_bytes:
-        got = nodes.toPandas()
-        table = Table(got["node"].to_numpy(np.int64), np.frombuffer(b"".join(got["g"]), np.float32).reshape(count, dim + 1))
+        got = nodes.toArrow()
+        # one broadcast for all rounds and steps: in their functions it would be sent, and kept by the driver, once for each
+        table = nodes.sparkSession.sparkContext.broadcast(Table(got["node"].to_numpy(), np.concatenate([np.zeros((0, dim + 1), np.float32), *(_floats(c, dim + 1) for c in got["g"].chunks)])))
+        del got
     graph = neighbour_graph(nodes, dim + 1, count, table)
     asking = held(members.withColumnRenamed("id", key).where(query_filter).withColumnRenamed(key, "id").groupBy("id").agg(F.min_by("node", "v").alias("node"), F.min("v").alias("qv")))
     # a query's own vector has nothing to lengthen it
     flat = asking.groupBy("node").agg(F.min("qv").alias("v")).withColumn("norm", F.lit(most))
     found = search(graph, nodes, flat.mapInArrow(lengthened, "node long, g binary"), dim + 1, table, width=max(width, k + 1 + ENTRIES), entries=k + 1 + ENTRIES)
+    if table is not None:
+        table.unpersist()  # the steps' rows are stored
     found = found.union(asking.select("node", "node")).distinct()
 
     # final scores on the original vectors; then the members of the best nodes

@@ -2,6 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark import Broadcast
+from pyspark.sql import functions as F
 
 from lectern.llm import ann
 
@@ -36,3 +39,22 @@ def test_meetings_of_a_part_offer_what_beats_the_lists():
     at = {n: r for n, r in zip([5, 3, 9, 1, 7, 2], x)}
     assert set(got) == {(a, b) for a in (5, 3, 9) for b in (5, 3, 9, 2) if a != b}
     assert all(abs(s - at[a] @ at[b]) < 0.02 for (a, b), s in got.items())
+
+
+def test_the_table_is_sent_once(spark, monkeypatch):
+    """All rounds and steps read one broadcast; their functions do not hold the vectors."""
+
+    class Seen(Exception):
+        pass
+
+    def graph(nodes, dim, count, table, **_):
+        raise Seen(table)
+
+    monkeypatch.setattr(ann, "neighbour_graph", graph)
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 9)], "vec_id long, embedding array<float>")
+    with pytest.raises(Seen) as seen:
+        ann.nearest(rows, F.col("vec_id") % 4 == 0, k=2)
+    sent = seen.value.args[0]
+    assert isinstance(sent, Broadcast)
+    assert sent.value.ids.tolist() == list(range(1, 9)) and sent.value.data.shape == (8, 3)
+    assert np.allclose((sent.value.data**2).sum(axis=1), 1) and np.allclose(sent.value.of(np.array([8]))[0, :2], np.array([8, 1]) / 65**0.5)
