@@ -46,6 +46,8 @@ MEASURES = """
 #: A word's sign, and no such sign before or after.
 _SIGN = r"[\p{L}\p{N}_]"
 _B, _E = rf"(?<!{_SIGN})", rf"(?!{_SIGN})"
+#: Where a figure begins a number, and where a Cyrillic letter (of either case, old forms too) comes: that is seen sooner than what stands before.
+_FIGURE, _LETTER = rf"(?=[0-9]){_B}", "(?=[\u0400-\u052f\u1c80-\u1c8f\ua640-\ua69f])"
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -157,13 +159,13 @@ def decimal_in_words(whole: Column, places: Column) -> Column:
 
 
 def rewritten(text: Column, pattern: str, to: Callable[[Column], Column]) -> Column:
-    """text with each match of pattern replaced by what `to` makes of it."""
+    """text with each match of pattern replaced by what `to` makes of it; a text without any is not taken apart."""
 
     def put(t: Column) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: to(m))
         return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    return _let(text, put)
+    return _let(text, lambda t: F.when(F.rlike(t, F.lit(pattern)), put(t)).otherwise(t))
 
 
 def _group(pattern: str) -> Callable[[Column, int], Column]:
@@ -194,9 +196,9 @@ def abbreviations() -> list[Pass]:
     low = {k.lower(): v for k, v in folded.items()}
     measures = _table(MEASURES)
     return [
-        (f"(?iu){_B}(?:{_alternatives(list(folded))}){_E}", lambda m: lookup(low, F.lower(m))),
-        (f"{_B}(?:{_alternatives(list(exact))}){_E}", lambda m: lookup(exact, m)),
-        (f"{_B}(?:{_alternatives(list(signs))}){_E}", lambda m: lookup(signs, m)),
+        (f"{_LETTER}(?iu){_B}(?:{_alternatives(list(folded))}){_E}", lambda m: lookup(low, F.lower(m))),
+        (f"{_LETTER}{_B}(?:{_alternatives(list(exact))}){_E}", lambda m: lookup(exact, m)),
+        (f"(?=[{''.join(signs)}]){_B}(?:{_alternatives(list(signs))}){_E}", lambda m: lookup(signs, m)),
         (f"(?<=[0-9]){WS}*(?:{_alternatives(list(measures))}){_E}", lambda m: F.concat(F.lit(" "), lookup(measures, F.regexp_replace(m, f"^{WS}+", "")))),
     ]
 
@@ -222,7 +224,7 @@ def date(day: Column, month: Column, year_: Column | None = None) -> Column:
 
 def dates() -> list[Pass]:
     """Days, months and years in figures, and days before a month's name."""
-    day, sep, number = rf"{_B}([0-9]{{1,2}})", r"[./\-]", "([0-9]{1,2})"
+    day, sep, number = rf"{_FIGURE}([0-9]{{1,2}})", r"[./\-]", "([0-9]{1,2})"
     names = f"({MONTHS.replace(' ', '|')})"
     month = lambda m: F.array_position(F.split(F.lit(MONTHS), " "), F.lower(m))
     with_suffix, whole = rf"{day}{sep}{number}{sep}([0-9]{{4}}){WS}*г\.?", rf"{day}{sep}{number}{sep}([0-9]{{4}}){_E}"
@@ -256,7 +258,7 @@ def _dated(g: Callable[[Column, int], Column], suffix: str) -> Callable[[Column]
 
 
 def times() -> list[Pass]:
-    clock = rf"{_B}([0-9]{{1,2}}):([0-9]{{2}})"
+    clock = rf"{_FIGURE}([0-9]{{1,2}}):([0-9]{{2}})"
     return [(p, _timed(_group(p), suffix)) for p, suffix in ((rf"{clock}{WS}*(?:ч\.|часът|часа)", " часа"), (rf"{clock}{_E}", ""))]
 
 
@@ -281,9 +283,9 @@ def money(amount: Column, currency: str) -> Column:
 
 def currencies() -> list[Pass]:
     amount = rf"([0-9](?:[0-9]|{WS})*(?:[.,][0-9]{{1,2}})?)"
-    out = [(rf"{_B}{amount}{WS}*(?:лв\.|(?:лв|лева|BGN){_E})", _priced("BGN", ""))]
+    out = [(rf"{_FIGURE}{amount}{WS}*(?:лв\.|(?:лв|лева|BGN){_E})", _priced("BGN", ""))]
     for sign, names, code in (("€", "EUR|евро", "EUR"), (r"\$", "USD|долара?", "USD")):
-        out += [(rf"{sign}{WS}*{amount}{WS}*", _priced(code, " ")), (rf"{_B}{amount}{WS}*(?:{names}){_E}", _priced(code, ""))]
+        out += [(rf"{sign}{WS}*{amount}{WS}*", _priced(code, " ")), (rf"{_FIGURE}{amount}{WS}*(?:{names}){_E}", _priced(code, ""))]
     return out
 
 
@@ -314,7 +316,7 @@ def roman_places() -> list[Pass]:
     out: list[Pass] = []
     for gender, words in NUMBERED.items():
         names = words.replace(" ", "|")
-        for pattern, number in ((rf"(?iu){_B}({names})({WS}+)({numeral}){_E}", 3), (rf"(?iu){_B}({numeral})({WS}+)({names}){_E}", 1)):
+        for pattern, number in ((rf"{_LETTER}(?iu){_B}({names})({WS}+)({numeral}){_E}", 3), (rf"(?iu)(?=[IVXLCDM]){_B}({numeral})({WS}+)({names}){_E}", 1)):
             out.append((pattern, _placed(_group(pattern), number, gender)))
     return out
 
@@ -328,7 +330,7 @@ def _placed(g: Callable[[Column, int], Column], number: int, gender: str) -> Cal
 
 
 def ordinals() -> list[Pass]:
-    return [(rf"{_B}([0-9]+){WS}*-?{WS}*(?:{signs.replace(' ', '|')}){_E}", _ranked(gender)) for gender, signs in ORDINAL_SIGNS.items()]
+    return [(rf"{_FIGURE}([0-9]+){WS}*-?{WS}*(?:{signs.replace(' ', '|')}){_E}", _ranked(gender)) for gender, signs in ORDINAL_SIGNS.items()]
 
 
 def _ranked(gender: str) -> Callable[[Column], Column]:
@@ -337,25 +339,25 @@ def _ranked(gender: str) -> Callable[[Column], Column]:
 
 def years() -> list[Pass]:
     n = lambda m: _long(F.substring(m, 1, 4))
-    return [(rf"{_B}[0-9]{{4}}{WS}*(?:г\.|година)(?!и)", lambda m: F.when(n(m).between(1000, 2100), F.concat(year(n(m)), F.lit(" година"))).otherwise(m))]
+    return [(rf"{_FIGURE}[0-9]{{4}}{WS}*(?:г\.|година)(?!и)", lambda m: F.when(n(m).between(1000, 2100), F.concat(year(n(m)), F.lit(" година"))).otherwise(m))]
 
 
 def numbers() -> list[Pass]:
     """What no other pass has read: numbers with a mark, and whole ones."""
     part = lambda m, k: F.regexp_extract(m, r"^([0-9]+)(?:[.,]([0-9]+))?", k)
     long_ = lambda m: F.length(F.regexp_replace(m, "^0+", "")) > 12
-    return [(rf"{_B}[0-9]+[.,][0-9]+{_E}", lambda m: decimal_in_words(part(m, 1), part(m, 2))), (rf"{_B}[0-9]+{_E}", lambda m: F.when(long_(m), m).otherwise(in_words(m)))]
+    return [(rf"{_FIGURE}[0-9]+[.,][0-9]+{_E}", lambda m: decimal_in_words(part(m, 1), part(m, 2))), (rf"{_FIGURE}[0-9]+{_E}", lambda m: F.when(long_(m), m).otherwise(in_words(m)))]
 
 
 def percentages() -> list[Pass]:
     part = lambda m, k: F.regexp_extract(m, r"^([0-9]+)(?:[.,]([0-9]+))?", k)
     number = lambda m: F.when(part(m, 2) != "", decimal_in_words(part(m, 1), part(m, 2))).otherwise(in_words(part(m, 1)))
-    return [(rf"{_B}[0-9]+(?:[.,][0-9]+)?{WS}*%", lambda m: F.concat(number(m), F.lit(" процента")))]
+    return [(rf"{_FIGURE}[0-9]+(?:[.,][0-9]+)?{WS}*%", lambda m: F.concat(number(m), F.lit(" процента")))]
 
 
 def passes(abbreviated: bool = True) -> list[Pass]:
     """All passes in their order: what is said in a special way comes before plain numbers."""
-    spaced = (rf"{_B}[0-9]{{1,3}}(?:{WS}[0-9]{{3}})+{_E}", lambda m: F.translate(m, " ", ""))
+    spaced = (rf"{_FIGURE}[0-9]{{1,3}}(?:{WS}[0-9]{{3}})+{_E}", lambda m: F.translate(m, " ", ""))
     signs = [("№", lambda m: F.lit("номер ")), ("&", lambda m: F.lit(" и "))]
     return [*(abbreviations() if abbreviated else []), spaced, *percentages(), *dates(), *times(), *currencies(), *phones(), *roman_places(), *signs, *ordinals(), *years(), *numbers()]
 
