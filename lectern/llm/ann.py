@@ -16,9 +16,9 @@ Search: a query starts from its node's list and from a fixed set of more than k
 and expands, again and again, the unexpanded nodes among its ``width`` best, until there are none.  The final scores are
 inner products of the original vectors in double precision.
 
-Vectors are looked up in a table that goes to each task while it has at most
-``table_bytes``; beyond that, meetings (or queries) are dealt to parts of a bounded number of nodes, and each part is sent every vector
-it asks for once, with components in half precision of the vector's largest.  Both ways compare the same pairs.
+Vectors are looked up in a table that goes to each task while it and the lists of neighbours have at most
+``table_bytes``; a query then walks the lists within its task. Beyond that, meetings (or queries) are dealt to parts of a bounded number of nodes, and each part is sent every vector
+it asks for once, with components in half precision of the vector's largest; a step of all queries is a round of joins.  Both ways compare the same pairs.
 
 Defined results: vectors that are null, all zero (or empty) or hold a null or non-finite
 component take no part; vectors shorter than the longest count as padded with zeros; rows
@@ -61,6 +61,21 @@ class Table:
         return self.data[np.searchsorted(self.ids, ids)]
 
 
+class Lists:
+    """Each node's neighbours, as places in a table of vectors."""
+
+    def __init__(self, near: pa.Table, table: Table) -> None:
+        at, lists = np.searchsorted(table.ids, near["at"].to_numpy()), near["near"].combine_chunks()
+        sizes = np.zeros(len(table.ids) + 1, np.int64)
+        sizes[at + 1] = lists.value_lengths().to_numpy(zero_copy_only=False)
+        self.starts = np.cumsum(sizes)
+        of = np.repeat(at, sizes[at + 1])
+        self.who = np.searchsorted(table.ids, lists.flatten().to_numpy()).astype(np.int32)[np.argsort(of, kind="stable")]
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([self.who[self.starts[p] : self.starts[p + 1]] for p in places])).astype(np.int64)
+
+
 def _floats(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), dim)
 
@@ -236,6 +251,17 @@ def _merge(ids: np.ndarray, scores: np.ndarray, done: np.ndarray, new: np.ndarra
     return ids, scores, done, opened
 
 
+def _walked(table: Table, lists: Lists, doors: np.ndarray, q: int, g: np.ndarray, width: int) -> np.ndarray:
+    """The best places found for the query at place q, from the doors' places and its own list on."""
+    ids = doors[doors != q]
+    scores, done, opened = table.data[ids] @ g, np.zeros(len(ids), bool), np.array([q])
+    while len(opened):
+        new = lists.of(opened)
+        new = new[~np.isin(new, ids) & (new != q)]
+        ids, scores, done, opened = _merge(ids, scores, done, new, table.data[new] @ g, width)
+    return ids
+
+
 _STATE = "q long, ids array<long>, scores array<float>, done array<boolean>, open array<long>"
 _ARROW_STATE = pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())), ("open", pa.list_(pa.int64()))])
 
@@ -267,10 +293,26 @@ def _stepped(dim: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, table: Broadcast[Table] | None, *, width: int = WIDTH, entries: int = ENTRIES, reverse: int = REVERSE) -> DataFrame:
     """q, node: the up to 2 * width best nodes found of each query node (rows node, g; g as the query's own vector is to be compared), at least min(entries, nodes) - 1."""
     links = graph.select(F.col("a").alias("at"), F.col("b").alias("who")).union(_sampled_reverse(graph, reverse, -1)).distinct()
-    near = held(links.groupBy("at").agg(F.collect_list("who").alias("near")))
+    near = links.groupBy("at").agg(F.collect_list("who").alias("near"))
     # all queries meet the entry nodes: their vectors and lists go to each task
     fixed = nodes.orderBy(F.xxhash64("node"), "node").limit(entries).collect()
     doors, door_g = np.array([r["node"] for r in fixed], np.int64), np.frombuffer(b"".join(r["g"] for r in fixed), np.float32).reshape(-1, dim)
+    if table is not None:
+        sent = nodes.sparkSession.sparkContext.broadcast(Lists(near.toArrow(), table.value))
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, lists = table.value, sent.value
+            at_doors = np.searchsorted(known.ids, doors)
+            for batch in batches:
+                places = np.searchsorted(known.ids, batch.column(0).to_numpy())
+                found = [_walked(known, lists, at_doors, p, g, width) for p, g in zip(places, _floats(batch.column(1), dim), strict=True)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))), pa.array(known.ids[np.concatenate(found)])], ["q", "node"])
+
+        out = held(queries.select("node", "g").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "node").mapInArrow(walk, "q long, node long"))
+        sent.unpersist()
+        return out
+    near = held(near)
     is_door = F.col("at").isin(doors.tolist())
     near_doors = F.broadcast(held(near.where(is_door)))
 
@@ -282,31 +324,18 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, tab
                 rows.append({"q": q, "ids": doors[other], "scores": door_g[other] @ np.frombuffer(g, np.float32), "done": np.zeros(other.sum(), bool)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_()))]))
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                new = np.array(r["new"] or [], np.int64)
-                rows.append(_expanded(r, new, table.value.of(new) @ np.frombuffer(r["g"], np.float32), width))
-            yield pa.RecordBatch.from_pylist(rows, _ARROW_STATE)
-
-    if table is None:
-        spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        small = held(nodes.mapInArrow(lambda batches: _packed(batches, dim), "node long, g binary"))
-        small_queries = held(queries.select(F.col("node").alias("q"), "g"))
-        parts = max(-(-small_queries.count() // ASKING), 2 * nodes.sparkSession.sparkContext.defaultParallelism)
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = held(nodes.mapInArrow(lambda batches: _packed(batches, dim), "node long, g binary"))
+    small_queries = held(queries.select(F.col("node").alias("q"), "g"))
+    parts = max(-(-small_queries.count() // ASKING), 2 * nodes.sparkSession.sparkContext.defaultParallelism)
     begin = queries.select("node", "g").mapInArrow(begun, "q long, ids array<long>, scores array<float>, done array<boolean>")
     state = begin.join(near, F.col("q") == F.col("at"), "left").select("q", "ids", "scores", "done", F.coalesce("near", F.array().cast("array<long>")).alias("found"))
     while True:
         reclaim(nodes.sparkSession)
         fresh = state.withColumn("new", F.array_except(F.array_remove(F.array_distinct("found"), F.col("q")), F.col("ids"))).drop("found")
-        if table is None:
-            fresh = fresh.join(small_queries, "q").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
-            sent = _sent(fresh.select("part", F.explode("new").alias("node")), small, spread)
-            state = held(fresh.groupBy("part").cogroup(sent.groupBy("of")).applyInArrow(_stepped(dim, width), _STATE))
-        else:
-            fresh = fresh.join(queries.select(F.col("node").alias("q"), "g"), "q")
-            state = held(fresh.select("q", "ids", "scores", "done", "new", "g").mapInArrow(step, _STATE))
+        fresh = fresh.join(small_queries, "q").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
+        sent = _sent(fresh.select("part", F.explode("new").alias("node")), small, spread)
+        state = held(fresh.groupBy("part").cogroup(sent.groupBy("of")).applyInArrow(_stepped(dim, width), _STATE))
         opened = state.select("q", F.explode("open").alias("at"))
         if not opened.limit(1).count():
             return state.select("q", F.explode("ids").alias("node"))
@@ -338,7 +367,7 @@ def nearest(vectors: DataFrame, query_filter: Column, *, key: str = "vec_id", ve
     nodes = held(one.mapInArrow(lengthened, "node long, g binary"))
     count = nodes.count()
     table = None
-    if count * 4 * (dim + 1) <= table_bytes:
+    if count * 4 * (dim + 1 + NEIGHBOURS + REVERSE) <= table_bytes:
         got = nodes.toArrow()
         # one broadcast for all rounds and steps: in their functions it would be sent, and kept by the driver, once for each
         table = nodes.sparkSession.sparkContext.broadcast(Table(got["node"].to_numpy(), np.concatenate([np.zeros((0, dim + 1), np.float32), *(_floats(c, dim + 1) for c in got["g"].chunks)])))
@@ -349,7 +378,7 @@ def nearest(vectors: DataFrame, query_filter: Column, *, key: str = "vec_id", ve
     flat = asking.groupBy("node").agg(F.min("qv").alias("v")).withColumn("norm", F.lit(most))
     found = search(graph, nodes, flat.mapInArrow(lengthened, "node long, g binary"), dim + 1, table, width=max(width, k + 1 + ENTRIES), entries=k + 1 + ENTRIES)
     if table is not None:
-        table.unpersist()  # the steps' rows are stored
+        table.unpersist()  # the rows found are stored
     found = found.union(asking.select("node", "node")).distinct()
 
     # final scores on the original vectors; then the members of the best nodes
