@@ -15,14 +15,22 @@ one row, whose texts' positions are merged; a query without words finds nothing;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .relational import portions
 from .retrieval import LEG, parse_query
 
-#: Partitions of the index by term; files that one partition is dealt to.
+#: Partitions of the index by term; files that one partition is dealt to, at least.
 BUCKETS, FILES = 64, 8
+#: Bytes of words that are put in order at a time.
+PORTION = 1 << 22
 
 Parsed = list[list[tuple[bool, list[str]]]]
 
@@ -31,19 +39,49 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _listed(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """term, key and positions of a batch of rows key, words."""
+    sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    terms = batch.column(1).flatten().dictionary_encode()
+    code = terms.indices.to_numpy().astype(np.int64) * batch.num_rows + row  # the rows of a term stand together
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), pa.array(at[order], pa.int32()))
+    of = code[starts]
+    yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(of // batch.num_rows)), batch.column(0).take(pa.array(of % batch.num_rows)), positions], names)
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(batch.num_rows + 1), pa.int32()), pa.array([], pa.int32()))
+    yield pa.RecordBatch.from_arrays([pa.array([""] * batch.num_rows), batch.column(0), none], names)
+
+
 def postings(rows: DataFrame, *, key: str, text: str) -> DataFrame:
-    """term, key and positions (ascending, from 0) of every word of every row."""
-    words = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), T.words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    stands = words.select("key", F.posexplode("words").alias("at", "term")).where("term <> ''")
-    of_terms = stands.groupBy("term", "key").agg(F.array_sort(F.array_distinct(F.collect_list("at"))).alias("positions"))
-    every = words.select(F.lit("").alias("term"), "key", F.array().cast("array<int>").alias("positions")).distinct()
-    return of_terms.union(every)
+    """term, key and positions (ascending, from 0) of every word of every row.
+
+    A row's words are put in order where the row is; postings meet only where rows share a key, which the keys alone tell.
+    """
+    own = rows.where(F.col(key).isNotNull())
+    words = own.select(F.col(key).alias("key"), T.words_of(F.col(text)).alias("words"))
+    schema = StructType(StructType.fromDDL("term string").fields + words.select("key").schema.fields + StructType.fromDDL("positions array<int>").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, PORTION):
+            if batch.num_rows:
+                yield from _listed(batch, schema.names)
+
+    listed = words.mapInArrow(run, schema)
+    if not own.groupBy(key).count().where("count > 1").limit(1).count():
+        return listed
+    return listed.groupBy("term", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
 
 
 def write_index(rows: DataFrame, path: str, *, key: str, text: str, buckets: int = BUCKETS, files: int = FILES) -> None:
     """Write the index of rows to path (a folder all executors share)."""
     listed = postings(rows, key=key, text=text).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    dealt = listed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(files))).sortWithinPartitions("bucket", "term", "key")
+    # parts enough that all of a shuffle's tasks have some, however large the index; Spark puts small ones together
+    deals = max(files, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    dealt = listed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(deals))).sortWithinPartitions("bucket", "term", "key")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
