@@ -24,9 +24,13 @@ def effective_text(custom: Column, clean: Column, raw: Column) -> Column:
     return F.coalesce(custom, clean, raw)
 
 
+_NOT_WS = WS.replace("[", "[^", 1)
+
+
 def word_count(text: Column) -> Column:
     """Runs of anything but white space; null for null."""
-    return F.regexp_count(text, F.lit(WS.replace("[", "[^", 1) + "+")).cast("long")
+    # most signs are ASCII, which a plain range tells faster than the long list of white space
+    return F.regexp_count(text, F.lit(f"(?:[!-~]++|{_NOT_WS})++")).cast("long")
 
 
 def ascii_counts(text: Column) -> tuple[Column, Column]:

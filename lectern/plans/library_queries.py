@@ -349,7 +349,8 @@ def propose_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Detected boundaries of each file with title and page."""
     rows = blocks(spark, d)
     found = structure.detect_boundaries(rows, "doc_id").select("doc_id", "block")
-    return found.join(rows.select("doc_id", "block", F.col("text").alias("title"), "page"), ["doc_id", "block"])
+    heads = rows.where("type = 'SectionHeader'")  # boundaries are headings; other blocks' texts stay where they are
+    return found.join(heads.select("doc_id", "block", F.col("text").alias("title"), "page"), ["doc_id", "block"])
 
 
 # ---- intake, jobs and sweeps ----
