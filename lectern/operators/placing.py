@@ -7,17 +7,17 @@ unknown size, gives no rectangles; empty tables give empty results; other column
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .align import DOUBT, align_words, word_key
+from .align import DOUBT, Likeness, align_words, word_key
 from .chunks import locate_parts
 from .edited import carried, edit_alignment
 from .relational import portions
@@ -31,6 +31,7 @@ JOINED, KEY, WINDOW, FOUND, MOST, SLACK = 16, 8, 64, 0.6, 4, 2.0
 def units(text: str, keys: set[str]) -> list[tuple[str, int, int]]:
     """The words of a text (word, start, end); words that together read as one key are one, the longest such run."""
     words = [(m.start(), m.end(), word_key(m[0])) for m in re.finditer(r"\S+", text)]
+    longest = max(map(len, keys), default=0)
     out, i = [], 0
     while i < len(words):
         last, joined = i, words[i][2]
@@ -38,6 +39,8 @@ def units(text: str, keys: set[str]) -> list[tuple[str, int, int]]:
             if not words[j][2]:
                 break
             joined += words[j][2]
+            if len(joined) > longest:
+                break
             if joined in keys:
                 last = j
         out.append((text[words[i][0] : words[last][1]], words[i][0], words[last][1]))
@@ -50,43 +53,49 @@ def place_page(blocks: list[str], seen: list[tuple[str, int, tuple[float, float,
 
     def whole(box: tuple[float, ...]) -> bool:
         inside = width is None or height is None or (box[0] >= 0 and box[1] >= 0 and box[2] <= width and box[3] <= height)
-        return all(np.isfinite(box)) and box[0] < box[2] and box[1] < box[3] and inside
+        return all(map(math.isfinite, box)) and box[0] < box[2] and box[1] < box[3] and inside
 
     free = [i for i, s in enumerate(seen) if whole(s[2])]
+    keys = {i: word_key(seen[i][0]) for i in free}
+    # the page's words are compared once for all blocks
+    alike = Likeness(list(keys.values()))
+    alike.of([word_key(w) for text in blocks for w in (text or "").split()], [])
     out = []
     for block, text in enumerate(blocks):
-        words = units(text or "", {word_key(seen[i][0]) for i in free})
-        found = align_words([w for w, _, _ in words], [seen[i][:2] for i in free], local=True)
+        words = units(text or "", {keys[i] for i in free})
+        found = align_words([w for w, _, _ in words], [seen[i][:2] for i in free], local=True, alike=alike)
         taken = set()
         for at, ((word, start, end), (hit, merged, score)) in enumerate(zip(words, found)):
             indices = [] if hit is None else [free[hit], free[hit + 1]] if merged else [free[hit]]
-            taken |= set(indices)
-            boxes = np.array([seen[i][2] for i in indices]).reshape(-1, 4)
-            box = [*boxes[:, :2].min(0), *boxes[:, 2:].max(0)] if indices else [None] * 4
-            out.append({"block": block, "at": at, "text": word, "start": start, "end": end, "seen": indices, **dict(zip(("x0", "y0", "x1", "y1"), box)), "score": score if indices else None})
+            taken.update(indices)
+            x0, y0, x1, y1 = zip(*(seen[i][2] for i in indices)) if indices else [(None,)] * 4
+            out.append({"block": block, "at": at, "text": word, "start": start, "end": end, "seen": indices, "x0": min(x0), "y0": min(y0), "x1": max(x1), "y1": max(y1), "score": score if indices else None})
         free = [i for i in free if i not in taken]
     return out
 
 
+_BOX = ["x0", "y0", "x1", "y1"]
+
+
 def place_blocks(blocks: DataFrame, seen: DataFrame, page: str) -> DataFrame:
     """page and the words of its blocks with their boxes. blocks: (page, block, text), in the order of block; seen: (page, word, text, line, x0, y0, x1, y1), in the order of word."""
     kind = blocks.schema[page].dataType.simpleString()
     order = blocks.schema["block"].dataType.simpleString()
     schema = f"`{page}` {kind}, block {order}, at int, text string, start int, end int, seen array<int>, x0 double, y0 double, x1 double, y1 double, score double"
-    names = ["block", "at", "text", "start", "end", "seen", "x0", "y0", "x1", "y1", "score"]
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("block"), b.sort_values("word")
-        words = [(t or "", int(n), (x0, y0, x1, y1)) for t, n, x0, y0, x1, y1 in b[["text", "line", "x0", "y0", "x1", "y1"]].itertuples(index=False)]
-        rows = place_page(a["text"].tolist(), words)
-        numbers = a["block"].tolist()
-        out = pd.DataFrame([{**r, "block": numbers[r["block"]]} for r in rows], columns=names)
-        out.insert(0, page, [key[0]] * len(out))
-        return out
+    kinds = [("at", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("seen", pa.list_(pa.int32())), *[(c, pa.float64()) for c in (*_BOX, "score")]]
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.sort_by("block"), b.sort_by("word")
+        texts, lines, *box = (b.column(c).to_pylist() for c in ("text", "line", *_BOX))
+        nan = lambda x: math.nan if x is None else x
+        rows = place_page(a.column("text").to_pylist(), [(t or "", int(n), tuple(map(nan, x))) for t, n, *x in zip(texts, lines, *box)])
+        numbers = a.column("block").combine_chunks().take(pa.array([r["block"] for r in rows], pa.int64()))
+        pages = pa.array([key[0].as_py()] * len(rows), key[0].type)
+        return pa.table([pages, numbers, *[pa.array([r[c] for r in rows], t) for c, t in kinds]], names=[page, "block", *[c for c, _ in kinds]])
 
     asked = blocks.select(page, "block", "text")
-    words = seen.select(page, "word", "text", "line", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return asked.groupBy(page).cogroup(words.groupBy(page)).applyInPandas(run, schema)
+    words = seen.select(page, "word", "text", "line", *[F.col(c).cast("double").alias(c) for c in _BOX])
+    return asked.groupBy(page).cogroup(words.groupBy(page)).applyInArrow(run, schema)
 
 
 def block_boxes(placed: DataFrame, page: str) -> DataFrame:
