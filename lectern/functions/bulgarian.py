@@ -68,17 +68,20 @@ _TENS = ["", "", *[w + "десет" for w in TENS.split()]]
 _HUNDREDS = ["", *HUNDREDS.split()]
 
 
-def _under_hundred(n: Column, gender: str) -> Column:
+def _below_hundred(gender: str) -> list[str]:
+    """0 to 99; nothing for 0. Such tables keep a number's expression small, which each pass holds at least once."""
     small = _small(gender)
-    ones = F.when(n % 10 > 0, F.concat(F.lit(" и "), _picked(small[:10], n % 10))).otherwise("")
-    return F.when(n < 20, _picked(small, F.least(n, F.lit(19)))).otherwise(F.concat(_picked(_TENS, F.floor(n / 10)), ones))
+    return small + [_TENS[n // 10] + (" и " + small[n % 10] if n % 10 else "") for n in range(20, 100)]
+
+
+def _joint(h: Column, r: Column) -> Column:
+    return F.when((h == 0) | (r == 0), "").when((r < 20) | (r % 10 == 0), " и ").otherwise(" ")
 
 
 def _under_thousand(n: Column, gender: str) -> Column:
     def words(n: Column) -> Column:
         h, r = F.floor(n / 100), n % 100
-        joint = F.when((h == 0) | (r == 0), "").when((r < 20) | (r % 10 == 0), " и ").otherwise(" ")
-        return F.concat(_picked(_HUNDREDS, h), joint, _let(r, lambda r: _under_hundred(r, gender)))
+        return F.concat(_picked(_HUNDREDS, h), _joint(h, r), _picked(_below_hundred(gender), r))
 
     return _let(n, words)
 
@@ -88,16 +91,24 @@ def _part(n: Column, thousand: int) -> Column:
     return F.floor(n / 1000**thousand).cast("long") % 1000
 
 
+def two_figures(n: Column, gender: str = "m") -> Column:
+    """A number from 0 to 99 in words."""
+    return _picked(["нула", *_below_hundred(gender)[1:]], n)
+
+
 def cardinal(n: Column, gender: str = "m") -> Column:
     """A whole number below 10 ** 12 in words; one and two have a gender."""
-
-    def great(a: Column, k: int, one: str, many: str, gender: str) -> Column:
-        return _let(_part(a, k), lambda x: F.when(x == 1, one).when(x > 1, F.concat(_under_thousand(x, gender), F.lit(many))).otherwise(""))
+    one, many = ["един милиард", "един милион", "хиляда"], [" милиарда", " милиона", " хиляди", ""]
+    below = [w for g in ("m", "m", "f", gender) for w in _below_hundred(g)]
 
     def words(a: Column) -> Column:
-        r = _part(a, 0)
-        last = F.concat(F.when((a >= 1000) & (r > 0) & ((r < 100) | (r % 100 == 0)), "и ").otherwise(""), _under_thousand(r, gender))
-        parts = F.array(great(a, 3, "един милиард", " милиарда", "m"), great(a, 2, "един милион", " милиона", "m"), great(a, 1, "хиляда", " хиляди", "f"), last)
+        def great(x: Column, i: Column) -> Column:
+            h, r = F.floor(x / 100), x % 100
+            lead = F.when((i == 3) & (a >= 1000) & ((h == 0) | (r == 0)), "и ").otherwise("")
+            said = F.concat(lead, _picked(_HUNDREDS, h), _joint(h, r), _picked(below, i * 100 + r), _picked(many, i))
+            return F.when(x == 0, "").when((x == 1) & (i < 3), _picked(one, F.least(i, F.lit(2)))).otherwise(said)
+
+        parts = F.transform(F.array(*[_part(a, k) for k in (3, 2, 1, 0)]), great)
         return F.when(a == 0, "нула").otherwise(F.array_join(F.filter(parts, lambda w: w != ""), " "))
 
     return _let(n, lambda n: F.concat(F.when(n < 0, "минус ").otherwise(""), _let(F.abs(n).cast("long"), words)))
@@ -108,28 +119,29 @@ def _stem(hundred: str) -> str:
     return {"сто": "сто", "двеста": "двесто", "триста": "тристо"}.get(hundred) or hundred.removesuffix("отин") + "о"
 
 
-def ordinal(n: Column, gender: str = "m") -> Column:
-    """A number's place in words; numbers that are not positive, and round numbers from a million on, stay cardinal."""
-    end, hundredth = ENDINGS[gender]
+def _places_below_hundred(gender: str) -> list[str]:
+    """The places 0 to 99; nothing for 0."""
+    end = ENDINGS[gender][0]
     small = ["", *[w + end for w in ORDINALS.split()], *[w + end for w in _small("m")[11:]]]
-    tens = ["", "", *[w + end for w in _TENS[2:]]]
-    hundreds = ["", *[_stem(w) + "т" + hundredth for w in HUNDREDS.split()]]
+    return small + [_TENS[n // 10] + (" и " + small[n % 10] if n % 10 else end) for n in range(20, 100)]
 
-    def under_hundred(r: Column) -> Column:
-        return F.when(r < 20, _picked(small, F.least(r, F.lit(19)))).when(r % 10 == 0, _picked(tens, F.floor(r / 10))).otherwise(F.concat(_picked(_TENS, F.floor(r / 10)), F.lit(" и "), _picked(small, r % 10)))
 
-    def under_thousand(h: Column) -> Column:
-        below = _let(h % 100, under_hundred)
-        return F.when(h < 100, below).when(h % 100 == 0, _picked(hundreds, F.floor(h / 100))).otherwise(F.concat(_picked(_HUNDREDS, F.floor(h / 100)), F.lit(" "), below))
+def ordinal(n: Column, gender: str = "m") -> Column:
+    """A number's place in words; numbers that are not positive, and round numbers from a million on, stay cardinal."""
+    hundredth = ENDINGS[gender][1]
+    hundreds = ["", *[_stem(w) + "т" + hundredth for w in HUNDREDS.split()]]
 
     def round_(t: Column) -> Column:
         return F.concat(F.when(t == 1, "").when(t == 2, "две").otherwise(_under_thousand(t, "f")), F.lit("хиляд" + hundredth))
 
     def words(n: Column) -> Column:
         h = _part(n, 0)
-        whole = F.when((n > 0) & (n < 1_000_000) & (h == 0), _let(_part(n, 1), round_)).when((n <= 0) | (h == 0), cardinal(n, gender))
-        lead = F.when(n >= 1000, F.concat(cardinal(n - h, gender), F.lit(" "))).otherwise("")
-        return F.coalesce(whole, F.concat(lead, _let(h, under_thousand)))
+        hundred, r = F.floor(h / 100), h % 100
+        whole = F.when((n <= 0) | (n >= 1000), cardinal(F.when(n <= 0, n).otherwise(n - h), gender))
+        first = F.when((n > 0) & (hundred > 0), F.when(r == 0, _picked(hundreds, hundred)).otherwise(_picked(_HUNDREDS, hundred)))
+        last = F.when((n > 0) & (r > 0), _picked(_places_below_hundred(gender), r))
+        place = F.when((n > 0) & (n < 1_000_000) & (h == 0), _let(_part(n, 1), round_)).otherwise(F.array_join(F.array(whole, first, last), " "))
+        return F.when(n.isNotNull(), place)
 
     return _let(n.cast("long"), words)
 
@@ -165,7 +177,10 @@ def rewritten(text: Column, pattern: str, to: Callable[[Column], Column]) -> Col
         found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: to(m))
         return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    return _let(text, lambda t: F.when(F.rlike(t, F.lit(pattern)), put(t)).otherwise(t))
+    # most texts have no figures, or none any more: that is seen sooner than that the whole pattern fits nowhere
+    of_figures = pattern.removeprefix("(?iu)").startswith(("(?=[0-9])", "(?<=[0-9])"))
+    fits = lambda t: F.rlike(t, F.lit("[0-9]")) & F.rlike(t, F.lit(pattern)) if of_figures else F.rlike(t, F.lit(pattern))
+    return _let(text, lambda t: F.when(fits(t), put(t)).otherwise(t))
 
 
 def _group(pattern: str) -> Callable[[Column, int], Column]:
@@ -212,10 +227,10 @@ def year(n: Column) -> Column:
 
 
 def date(day: Column, month: Column, year_: Column | None = None) -> Column:
-    """The words of a date; figures where there is no such month."""
+    """The words of a date, whose day has two figures at most; figures where there is no such month."""
 
     def words(month: Column) -> Column:
-        parts = [ordinal(day, "m"), _picked(["", *MONTHS.split()], F.greatest(F.least(month, F.lit(12)), F.lit(0))), *([year(year_)] if year_ is not None else [])]
+        parts = [_picked(["нула", *_places_below_hundred("m")[1:]], day), _picked(["", *MONTHS.split()], F.greatest(F.least(month, F.lit(12)), F.lit(0))), *([year(year_)] if year_ is not None else [])]
         plain = F.array_join(F.array(*[x.cast("string") for x in (day, month, *([year_] if year_ is not None else []))]), ".")
         return F.when(month.between(1, 12), F.array_join(F.array(*parts), " ")).otherwise(plain)
 
@@ -265,7 +280,7 @@ def times() -> list[Pass]:
 def _timed(g: Callable[[Column, int], Column], suffix: str) -> Callable[[Column], Column]:
     def words(m: Column) -> Column:
         minutes = _long(g(m, 2))
-        return F.concat(cardinal(_long(g(m, 1))), F.when(minutes > 0, F.concat(F.lit(" и "), cardinal(minutes))).otherwise(""), F.lit(suffix))
+        return F.concat(two_figures(_long(g(m, 1))), F.when(minutes > 0, F.concat(F.lit(" и "), two_figures(minutes))).otherwise(""), F.lit(suffix))
 
     return words
 
@@ -276,13 +291,14 @@ def money(amount: Column, currency: str) -> Column:
     whole, part = F.regexp_extract(amount, "^([0-9]+)", 1), _long(F.substring(F.concat(F.regexp_extract(amount, "[.,]([0-9]+)$", 1), F.lit("00")), 1, 2))
     some = F.regexp_replace(whole, "^0+", "")
     a = F.when(some != "", F.concat(in_words(whole, gender), F.when(some == "1", " " + one).otherwise(" " + many)))
-    b = F.when(part > 0, F.concat(cardinal(part, part_gender), F.when(part == 1, " " + part_one).otherwise(" " + part_many)))
+    b = F.when(part > 0, F.concat(two_figures(part, part_gender), F.when(part == 1, " " + part_one).otherwise(" " + part_many)))
     both = F.array_join(F.array_compact(F.array(a, b)), " и ")
     return F.when(both != "", both).otherwise(f"нула {many}")
 
 
 def currencies() -> list[Pass]:
-    amount = rf"([0-9](?:[0-9]|{WS})*(?:[.,][0-9]{{1,2}})?)"
+    # all figures and blanks in one step: none of them begins what may follow, and a loop of alternatives takes a stack as deep as the run is long
+    amount = rf"([0-9][0-9{WS[1:]}*+(?:[.,][0-9]{{1,2}})?)"
     out = [(rf"{_FIGURE}{amount}{WS}*(?:лв\.|(?:лв|лева|BGN){_E})", _priced("BGN", ""))]
     for sign, names, code in (("€", "EUR|евро", "EUR"), (r"\$", "USD|долара?", "USD")):
         out += [(rf"{sign}{WS}*{amount}{WS}*", _priced(code, " ")), (rf"{_FIGURE}{amount}{WS}*(?:{names}){_E}", _priced(code, ""))]
@@ -303,7 +319,7 @@ def phones() -> list[Pass]:
     def words(m: Column) -> Column:
         abroad = F.startswith(m, F.lit("+359"))
         digits = F.regexp_replace(F.when(abroad, F.substring(m, 5, 100)).otherwise(m), "[^0-9]", "")
-        pair = lambda p: F.when((F.length(p) == 1) | F.startswith(p, F.lit("0")), _figures(p)).otherwise(cardinal(_long(p)))
+        pair = lambda p: F.when((F.length(p) == 1) | F.startswith(p, F.lit("0")), _figures(p)).otherwise(two_figures(_long(p)))
         read = F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("[0-9]{1,2}"), F.lit(0)), pair), " ")
         return F.concat(F.when(abroad, "плюс три пет девет ").otherwise(""), read)
 
@@ -330,7 +346,7 @@ def _placed(g: Callable[[Column, int], Column], number: int, gender: str) -> Cal
 
 
 def ordinals() -> list[Pass]:
-    return [(rf"{_FIGURE}([0-9]+){WS}*-?{WS}*(?:{signs.replace(' ', '|')}){_E}", _ranked(gender)) for gender, signs in ORDINAL_SIGNS.items()]
+    return [(rf"{_FIGURE}([0-9]+){WS}*+(?:-{WS}*+)?(?:{signs.replace(' ', '|')}){_E}", _ranked(gender)) for gender, signs in ORDINAL_SIGNS.items()]
 
 
 def _ranked(gender: str) -> Callable[[Column], Column]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import bulgarian
 from .relational_queries import read
-from .search_queries import spread
 
 Q, SQL = {}, {}
 
@@ -51,4 +50,6 @@ def bg_normalize(spark: SparkSession, d: str) -> DataFrame:
     day = F.concat(figures(n % 28 + 1, 2), F.lit("."), figures(n % 12 + 1, 2), F.lit("."), (n % 200 + 1850).cast("string"))
     head = F.concat(F.lit("На "), day, F.lit(" г. в "), figures(n % 24, 2), F.lit(":"), figures(n % 60, 2), F.lit(" ч. за "), n.cast("string"), F.lit(",50 лв. "))
     docs = read(spark, d, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
-    return bulgarian.spoken(spread(docs), "text", "spoken").select("doc_id", "spoken")
+    # dealt out by key: of a file's parts only those that hold the middle of a row group have rows
+    tasks = max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    return bulgarian.spoken(docs.repartition(tasks, "doc_id"), "text", "spoken").select("doc_id", "spoken")
